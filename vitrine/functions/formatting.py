@@ -24,7 +24,12 @@ def signed_percent(x: Column, decimals: int = 1) -> Column:
     """Signed percent with a fixed number of decimals: ``+1.2%`` / ``-0.4%``."""
     pattern = "0." + "0" * decimals if decimals > 0 else "0"
     sign = F.when(x >= 0, F.lit("+")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_number(x, pattern), F.lit("%"))
+    return F.concat(sign, decimal_pattern(x, pattern), F.lit("%"))
+
+
+def decimal_pattern(x: Column, pattern: str) -> Column:
+    """``format_number`` with a DecimalFormat pattern such as ``0.0`` (no grouping)."""
+    return F.call_function("format_number", x, F.lit(pattern))
 
 
 def thousands(n: Column) -> Column:

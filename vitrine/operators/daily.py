@@ -20,7 +20,7 @@ def daily_context(sales: DataFrame, day: str = "data_venda", customer: str = "id
     return sales.groupBy(day).agg(
         F.count(F.lit(1)).alias("total_vendas"),
         F.countDistinct(customer).alias("total_clientes_unicos"),
-        (F.sum(revenue).cast("double") / F.count(revenue)).alias("ticket_medio"),
+        F.try_divide(F.sum(revenue).cast("double"), F.count(revenue)).alias("ticket_medio"),
     )
 
 

@@ -35,7 +35,7 @@ def _revenue() -> Column:
 def mean(col: str | Column) -> Column:
     """Average as ``sum / count`` in DOUBLE (exact sum, one rounding)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c).cast("double") / F.count(c)
+    return F.try_divide(F.sum(c).cast("double"), F.count(c))
 
 
 # ----------------------------------------------------------------- sales mart
@@ -150,7 +150,7 @@ def competitor_price_stats(raw: RawTables, keep_sums: bool = False) -> DataFrame
         F.max(p).alias("preco_maximo_concorrentes"),
         F.count(F.lit(1)).alias("qtd_concorrentes"),
     ).withColumn("preco_medio_concorrentes",
-                 F.col("_soma_precos").cast("double") / F.col("_n_precos"))
+                 F.try_divide(F.col("_soma_precos").cast("double"), F.col("_n_precos")))
     cols = ["id_produto", "preco_medio_concorrentes", "preco_minimo_concorrentes",
             "preco_maximo_concorrentes", "qtd_concorrentes"]
     return stats.select(*cols, *(["_soma_precos", "_n_precos"] if keep_sums else []))
