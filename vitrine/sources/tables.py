@@ -1,12 +1,28 @@
-"""Gold tables: definition, type and key contracts, full-refresh loading."""
+"""Gold tables: definition, type and key contracts, full-refresh loading.
+
+Local warehouse tables are Parquet tables in the session catalog, created from
+the fixed contract in ``vitrine.schemas.GOLD_TABLES`` (CHAR/VARCHAR lengths,
+DECIMAL precision, SMALLINT/INT ranges). Spark enforces those on insert under
+ANSI store assignment, so an out-of-contract row fails the whole load and the
+old rows stay. The primary key is checked before writing.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.schemas import GOLD_TABLES
+
+_LENGTH_TYPE = re.compile(r"^(CHAR|VARCHAR)\((\d+)\)$")
+
+
+class ContractViolation(ValueError):
+    """The data breaks the table contract; nothing was written."""
+
 
 def key_violations(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Keys that break a primary-key contract (NULL or not unique).
@@ -25,3 +41,104 @@ def key_violations(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
             .select(F.lit(name).alias("tabela"), F.col("chave").cast("string").alias("chave"),
                     "ocorrencias"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def table_ddl(table: str, location: str | None = None) -> str:
+    spec = GOLD_TABLES[table]
+    cols = ",\n  ".join(f"{name} {typ}" for name, typ in spec["columns"])
+    ddl = f"CREATE TABLE {table} (\n  {cols}\n) USING parquet"
+    if spec["partitioned_by"]:
+        ddl += f"\nPARTITIONED BY ({', '.join(spec['partitioned_by'])})"
+    if location:
+        ddl += f"\nLOCATION '{location}'"
+    return ddl
+
+
+def create_gold_tables(spark: SparkSession, location: str | None = None) -> list[str]:
+    """Drop and create the three gold tables (and their schemas).
+
+    ``location``, when given, is a base folder; each table lives in
+    ``{location}/{schema}/{table}``. Otherwise the warehouse folder is used.
+    """
+    created = []
+    for table in GOLD_TABLES:
+        schema = table.split(".")[0]
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        loc = f"{location}/{table.replace('.', '/')}" if location else None
+        spark.sql(table_ddl(table, loc))
+        created.append(table)
+    return created
+
+
+def _string_type(typ: str) -> bool:
+    return typ == "STRING" or bool(_LENGTH_TYPE.match(typ))
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """Select the contract's columns in table order, cast to the declared types.
+
+    Strings are passed as STRING; the table's CHAR/VARCHAR length check runs on
+    insert. Numeric casts follow ANSI rules (overflow raises).
+    """
+    spec = GOLD_TABLES[table]
+    part = spec["partitioned_by"]
+    ordered = [c for c in spec["columns"] if c[0] not in part] + \
+        [c for c in spec["columns"] if c[0] in part]
+    return df.select(*[
+        (F.col(name) if _string_type(typ) else F.col(name).cast(typ)).alias(name)
+        for name, typ in ordered
+    ])
+
+
+def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
+    """Replace all rows of ``table`` with ``df``; returns the rows written.
+
+    The key is checked first (a distributed aggregation; only the first few
+    offending keys are fetched for the message). The write is an
+    ``INSERT OVERWRITE`` of the whole table: if any row fails a type contract
+    the job fails and the previous contents remain. The row count is observed
+    during the write, not by a second pass.
+    """
+    key = GOLD_TABLES[table]["key"]
+    if check_key:
+        bad = key_violations({table: (df, key)}).limit(5).collect()
+        if bad:
+            raise ContractViolation(
+                f"{table}: key {key} is NULL or repeated, e.g. "
+                + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
+    obs = Observation(f"rows_{table.replace('.', '_')}")
+    conform(df, table).observe(obs, F.count(F.lit(1)).alias("n")).write.insertInto(
+        table, overwrite=True)
+    return int(obs.get["n"])
+
+
+def load_marts(marts, check_key: bool = True) -> dict[str, int]:
+    """Full refresh of the three gold tables from ``marts``; rows per table."""
+    from vitrine.schemas import CUSTOMERS_MART, CUSTOMERS_SCHEMA, PRICING_MART, PRICING_SCHEMA
+    from vitrine.schemas import SALES_MART, SALES_SCHEMA
+
+    plan = {
+        f"{SALES_SCHEMA}.{SALES_MART}": marts.sales,
+        f"{CUSTOMERS_SCHEMA}.{CUSTOMERS_MART}": marts.customers,
+        f"{PRICING_SCHEMA}.{PRICING_MART}": marts.pricing,
+    }
+    return {table: full_refresh(df, table, check_key) for table, df in plan.items()}
+
+
+def full_refresh_jdbc(df: DataFrame, table: str, url: str, properties: dict | None = None,
+                      batch_size: int = 500) -> int:
+    """Replace the rows of a warehouse table over JDBC (truncate, then insert).
+
+    ``truncate`` keeps the warehouse's own table definition (types, key);
+    rows go in batches of ``batch_size`` per executor connection. Each task
+    commits its own partition, so readers may see a partial table while the
+    load runs.
+    """
+    obs = Observation(f"jdbc_rows_{table.replace('.', '_')}")
+    (conform(df, table).observe(obs, F.count(F.lit(1)).alias("n"))
+     .write.format("jdbc").mode("overwrite")
+     .option("url", url).option("dbtable", table)
+     .option("truncate", "true").option("batchsize", str(batch_size))
+     .options(**(properties or {})).save())
+    return int(obs.get["n"])
