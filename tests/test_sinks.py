@@ -1,0 +1,110 @@
+"""Gold table contract, full refresh, observed counts, JDBC round trip."""
+
+from __future__ import annotations
+
+from decimal import Decimal as D
+
+import pytest
+
+from tests.fixtures import customer, obs, product, raw, sale
+from vitrine.plans.marts import build_marts
+from vitrine.sources.tables import (
+    ContractViolation, create_gold_tables, full_refresh, full_refresh_jdbc, load_marts, table_ddl,
+)
+from vitrine.sources.warehouse import MartSource
+
+CUSTOMERS = "public_gold_cs.clientes_segmentacao"
+SALES = "public_gold_sales.vendas_temporais"
+PRICING = "public_gold_pricing.precos_competitividade"
+
+
+def _marts(spark, clientes=None, produtos=None, precos=None, vendas=None):
+    vendas = vendas or [sale(1, "2024-01-07 10:00:00", cliente="a", produto="p1"),
+                        sale(2, "2024-02-08 11:00:00", cliente="b", produto="p1", qty=3)]
+    clientes = clientes or [customer("a"), customer("b"), customer("c")]
+    produtos = produtos or [product("p1", "10.00"), product("p2", "11.00")]
+    precos = precos or [obs("p1", "A", "9.00", "2024-01-01 00:00:00"),
+                        obs("p2", "A", "12.00", "2024-01-01 00:00:00")]
+    return build_marts(raw(spark, vendas, clientes, produtos, precos))
+
+
+@pytest.fixture
+def tables(spark):
+    create_gold_tables(spark)
+    yield
+    for t in (SALES, CUSTOMERS, PRICING):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_ddl_has_contract_types():
+    ddl = table_ddl(SALES)
+    assert "estado CHAR(2)" in ddl and "receita_total DECIMAL(12,2)" in ddl
+    assert "PARTITIONED BY (ano_venda, mes_venda)" in ddl
+
+
+def test_load_counts_and_rerun_is_idempotent(spark, tables):
+    marts = _marts(spark)
+    first = load_marts(marts)
+    assert first == {SALES: 2, CUSTOMERS: 3, PRICING: 2}
+    again = load_marts(marts)
+    assert again == first
+    assert spark.table(SALES).count() == 2 and spark.table(CUSTOMERS).count() == 3
+    declared = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE {SALES}").collect()}
+    assert declared["estado"] == "char(2)" and declared["dia_semana_nome"] == "varchar(10)"
+    types = dict(spark.table(SALES).dtypes)
+    assert types["ano_venda"] == "smallint"
+    assert types["ticket_medio"] == "decimal(10,2)"
+    row = spark.table(PRICING).where("id_produto = 'p2'").first()
+    assert row.classificacao_preco == "ABAIXO_DA_MEDIA" or row.classificacao_preco == "MAIS_BARATO_QUE_TODOS"
+    assert row.preco_medio_concorrentes == D("12.00")
+    parts = {(r.ano_venda, r.mes_venda) for r in spark.table(SALES).select("ano_venda", "mes_venda").collect()}
+    assert parts == {(2024, 1), (2024, 2)}
+
+
+def _refused(spark, table, df):
+    before = sorted(spark.table(table).collect())
+    with pytest.raises(Exception) as info:
+        full_refresh(df, table)
+    assert sorted(spark.table(table).collect()) == before      # old rows kept
+    return info.value
+
+
+def test_state_longer_than_two_is_refused(spark, tables):
+    load_marts(_marts(spark))
+    bad = _marts(spark, clientes=[customer("a", estado="SPX"), customer("b")])
+    _refused(spark, CUSTOMERS, bad.customers)
+
+
+def test_duplicate_and_null_keys_are_refused(spark, tables):
+    load_marts(_marts(spark))
+    dup = _marts(spark, clientes=[customer("a"), customer("a"), customer("b")])
+    assert isinstance(_refused(spark, CUSTOMERS, dup.customers), ContractViolation)
+    null = _marts(spark, clientes=[customer(None), customer("b")])
+    assert isinstance(_refused(spark, CUSTOMERS, null.customers), ContractViolation)
+
+
+def test_price_over_decimal_10_2_is_refused(spark, tables):
+    load_marts(_marts(spark))
+    huge = _marts(spark, vendas=[sale(1, "2024-01-07 10:00:00", cliente="a", qty=2,
+                                      price="99999999.99")])
+    _refused(spark, SALES, huge.sales)                          # revenue over DECIMAL(12,2)
+
+
+def test_jdbc_round_trip_on_embedded_derby(spark):
+    url = "jdbc:derby:memory:vitrine_test;create=true"
+    marts = _marts(spark)
+    props = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    for _ in range(2):                                          # second run truncates
+        assert full_refresh_jdbc(marts.customers, "clientes", url, props, contract=CUSTOMERS) == 3
+    src = MartSource(spark, jdbc_url=url, jdbc_options={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    assert src.mode == "jdbc"
+    back = src.query("SELECT COUNT(*) AS n FROM clientes").first()[0]
+    assert back == 3
+
+
+def test_local_source(spark):
+    src = MartSource(spark, marts=_marts(spark))
+    assert src.mode == "local"
+    assert src.query("SELECT COUNT(*) AS n FROM vendas_temporais").first().n == 2
+    ranks = [r.ranking_receita for r in src.mart("customers", order_by_rank=True).collect()]
+    assert ranks == [1, 2, None]

@@ -3,8 +3,9 @@
 Local warehouse tables are Parquet tables in the session catalog, created from
 the fixed contract in ``vitrine.schemas.GOLD_TABLES`` (CHAR/VARCHAR lengths,
 DECIMAL precision, SMALLINT/INT ranges). Spark enforces those on insert under
-ANSI store assignment, so an out-of-contract row fails the whole load and the
-old rows stay. The primary key is checked before writing.
+ANSI store assignment. An ``INSERT OVERWRITE`` removes the old files before
+its job runs, so a load is first written to a staging table with the same
+contract; only when that write and the key check pass is the target replaced.
 """
 
 from __future__ import annotations
@@ -43,10 +44,11 @@ def key_violations(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_ddl(table: str, location: str | None = None) -> str:
+def table_ddl(table: str, location: str | None = None, name: str | None = None) -> str:
+    """``CREATE TABLE`` text of a gold table (``name`` overrides the table name)."""
     spec = GOLD_TABLES[table]
-    cols = ",\n  ".join(f"{name} {typ}" for name, typ in spec["columns"])
-    ddl = f"CREATE TABLE {table} (\n  {cols}\n) USING parquet"
+    cols = ",\n  ".join(f"{col} {typ}" for col, typ in spec["columns"])
+    ddl = f"CREATE TABLE {name or table} (\n  {cols}\n) USING parquet"
     if spec["partitioned_by"]:
         ddl += f"\nPARTITIONED BY ({', '.join(spec['partitioned_by'])})"
     if location:
@@ -91,26 +93,53 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     ])
 
 
+def _table_location(spark: SparkSession, table: str) -> str | None:
+    for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():
+        if row.col_name == "Location":
+            return row.data_type
+    return None
+
+
 def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
     """Replace all rows of ``table`` with ``df``; returns the rows written.
 
-    The key is checked first (a distributed aggregation; only the first few
-    offending keys are fetched for the message). The write is an
-    ``INSERT OVERWRITE`` of the whole table: if any row fails a type contract
-    the job fails and the previous contents remain. The row count is observed
-    during the write, not by a second pass.
+    1. ``df`` is computed once and written to ``{table}__staging`` (same
+       contract, next to the target): a row that breaks a type contract fails
+       this write and the target is untouched;
+    2. the key is checked on the staged files (a partially aggregated
+       ``groupBy``; only the first few offending keys reach the driver);
+    3. the target is overwritten from the staged files, which already satisfy
+       the contract, and the staging table is dropped.
+
+    The row count is observed during the staging write, not by another pass.
     """
-    key = GOLD_TABLES[table]["key"]
-    if check_key:
-        bad = key_violations({table: (df, key)}).limit(5).collect()
-        if bad:
-            raise ContractViolation(
-                f"{table}: key {key} is NULL or repeated, e.g. "
-                + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
-    obs = Observation(f"rows_{table.replace('.', '_')}")
-    conform(df, table).observe(obs, F.count(F.lit(1)).alias("n")).write.insertInto(
-        table, overwrite=True)
-    return int(obs.get["n"])
+    spark = df.sparkSession
+    staging = f"{table}__staging"
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    target_loc = _table_location(spark, table)
+    loc = f"{target_loc.rstrip('/')}__staging" if target_loc else None
+    spark.sql(table_ddl(table, loc, name=staging))
+    try:
+        obs = Observation(f"rows_{table.replace('.', '_')}")
+        conform(df, table).observe(obs, F.count(F.lit(1)).alias("n")).write.insertInto(
+            staging, overwrite=True)
+        n = int(obs.get["n"])
+        if check_key:
+            key = GOLD_TABLES[table]["key"]
+            bad = key_violations({table: (spark.table(staging), key)}).limit(5).collect()
+            if bad:
+                raise ContractViolation(
+                    f"{table}: key {key} is NULL or repeated, e.g. "
+                    + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
+        spark.table(staging).write.insertInto(table, overwrite=True)
+        spark.sql(f"REFRESH TABLE {table}")
+        return n
+    except ContractViolation:
+        raise
+    except Exception as exc:
+        raise ContractViolation(f"{table}: load refused: {exc}") from exc
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
 
 
 def load_marts(marts, check_key: bool = True) -> dict[str, int]:
@@ -127,16 +156,17 @@ def load_marts(marts, check_key: bool = True) -> dict[str, int]:
 
 
 def full_refresh_jdbc(df: DataFrame, table: str, url: str, properties: dict | None = None,
-                      batch_size: int = 500) -> int:
+                      batch_size: int = 500, contract: str | None = None) -> int:
     """Replace the rows of a warehouse table over JDBC (truncate, then insert).
 
     ``truncate`` keeps the warehouse's own table definition (types, key);
     rows go in batches of ``batch_size`` per executor connection. Each task
     commits its own partition, so readers may see a partial table while the
-    load runs.
+    load runs. ``contract`` names the gold table whose columns and types apply
+    (default: ``table``).
     """
     obs = Observation(f"jdbc_rows_{table.replace('.', '_')}")
-    (conform(df, table).observe(obs, F.count(F.lit(1)).alias("n"))
+    (conform(df, contract or table).observe(obs, F.count(F.lit(1)).alias("n"))
      .write.format("jdbc").mode("overwrite")
      .option("url", url).option("dbtable", table)
      .option("truncate", "true").option("batchsize", str(batch_size))
