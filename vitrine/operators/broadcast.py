@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.session import checkpoint_dir
+from vitrine.operators.materialize import materialize
 
 # A broadcast side is shipped to every executor and held in memory there; one
 # million narrow rows is a few tens of MB.
@@ -16,13 +16,12 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
     """Write ``df`` to the checkpoint folder, count it, and mark it for broadcast
     only when it has at most ``max_rows`` rows.
 
-    The checkpoint computes ``df`` once (its lineage is cut, so a lost executor
-    re-reads the files instead of recomputing), the count reads the written
-    files, and above the bound the relation is returned unhinted so the
-    planner falls back to a shuffle join.
+    ``df`` is computed once (its lineage is cut, so a lost executor re-reads
+    the files instead of recomputing), the count reads the written files, and
+    above the bound the relation is returned unhinted so the planner falls
+    back to a shuffle join.
     """
-    checkpoint_dir(df.sparkSession)
-    pinned = df.checkpoint(eager=True)
+    pinned = materialize(df, "bounded")
     if pinned.count() <= max_rows:
         return F.broadcast(pinned)
     return pinned

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming, watermark, window-over-time or state code:
+every mart, report and dashboard dataset is a full batch recompute, and the
+warehouse load is a full refresh. Nothing is built here, so this package only
+records that decision. The batch plans in ``vitrine.plans`` read files through
+``spark.read``; if an incremental feed is ever needed, the same DataFrame
+functions apply to a ``readStream`` source inside ``foreachBatch``.
+"""
