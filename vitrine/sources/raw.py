@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.schemas import RAW_SCHEMAS
+from vitrine.sources.spread import spread_small_scan
+
+FACT_TABLES = ("vendas", "preco_competidores")
 
 
 @dataclass(frozen=True)
@@ -39,12 +42,15 @@ def read_raw(spark: SparkSession, base_dir: str) -> RawTables:
     """Scan the four raw Parquet datasets under ``base_dir`` with fixed schemas.
 
     Explicit schemas skip inference; columns not used by a query are pruned by
-    the Parquet reader and filters are pushed into the scan.
+    the Parquet reader and filters are pushed into the scan. The two fact
+    tables are spread over the cluster's parallelism if their files split
+    into fewer partitions (see ``spread_small_scan``).
     """
     frames = {}
     for name, schema in RAW_SCHEMAS.items():
         df = spark.read.schema(schema).parquet(f"{base_dir}/{name}.parquet")
-        frames[name] = df.select(*[F.col(f.name) for f in schema.fields])
+        df = df.select(*[F.col(f.name) for f in schema.fields])
+        frames[name] = spread_small_scan(df) if name in FACT_TABLES else df
     return RawTables(**frames)
 
 

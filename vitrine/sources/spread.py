@@ -1,0 +1,21 @@
+"""Spread a scan that yields fewer partitions than the cluster can run at once."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over ``defaultParallelism`` partitions when its scan
+    produces fewer, else return it unchanged.
+
+    Parquet splits at row-group boundaries, so a file written as one large row
+    group is read by one task however many cores wait. On large inputs the
+    scan already has far more partitions than cores and nothing changes; for
+    an under-split input one small exchange lets the joins and projections
+    after the scan run in parallel.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.schemas import PRICE
 from vitrine.sources.raw import RawTables
+from vitrine.sources.spread import spread_small_scan
 
 # Fixed values of the mapping (FIXTURES.md §2.1): key residues that are left
 # out so that every NULL branch of the marts is reached, and constants.
@@ -27,12 +29,28 @@ SIGNUP_EPOCH = "2020-01-01"
 COMPETITOR_PREFIX = "Concorrente_"
 
 
+# Column types of the driver tables that the mapping reads (TESTDATA.md).
+DRIVER_TYPES = {
+    "lineitem": {"l_orderkey": T.LongType(), "l_partkey": T.LongType(), "l_suppkey": T.LongType(),
+                 "l_linenumber": T.IntegerType(), "l_quantity": T.DoubleType(),
+                 "l_extendedprice": T.DoubleType(), "l_shipdate": T.TimestampNTZType()},
+    "orders": {"o_orderkey": T.LongType(), "o_custkey": T.LongType(),
+               "o_orderdate": T.TimestampNTZType(), "o_orderpriority": T.StringType()},
+    "customer": {"c_custkey": T.LongType(), "c_name": T.StringType(), "c_nationkey": T.IntegerType()},
+    "nation": {"n_nationkey": T.IntegerType()},
+    "part": {"p_partkey": T.LongType(), "p_name": T.StringType(), "p_brand": T.StringType(),
+             "p_type": T.StringType(), "p_retailprice": T.DoubleType()},
+}
+
+
 def _keep(key: Column, gap: tuple[int, int]) -> Column:
     return (key % gap[0]) != gap[1]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+    types = DRIVER_TYPES[name]
+    schema = T.StructType([T.StructField(c, types[c]) for c in cols])
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_vendas(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
@@ -57,10 +75,13 @@ def map_vendas(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def map_clientes(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    key = F.col("n_nationkey")
+    """Customers of a known nation. Only customer columns are used, so the join
+    with the (unique-keyed) nation table is a semi join: same rows, and the
+    planner's size estimate stays that of the customer table."""
+    key = F.col("c_nationkey")
     estado = F.when(key < 10, F.concat(F.lit("N"), key.cast("string"))).otherwise(key.cast("string"))
     return (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
         .where(_keep(F.col("c_custkey"), CUSTOMER_GAP))
         .select(
             F.col("c_custkey").cast("string").alias("id_cliente"),
@@ -104,8 +125,9 @@ def map_precos(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 def raw_from_testdata(spark: SparkSession, sf_dir: str) -> RawTables:
     """Raw relations derived from ``{sf_dir}/{table}.parquet`` (whole tables)."""
-    lineitem = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-                      "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    lineitem = spread_small_scan(_table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
+        "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate",
                     "o_orderpriority")
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
