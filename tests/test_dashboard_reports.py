@@ -150,3 +150,29 @@ def test_dated_report_output(spark, marts, scratch):
     back = spark.read.parquet(f"{scratch}/vendas")
     counts = {r.data_relatorio: r["count"] for r in back.groupBy("data_relatorio").count().collect()}
     assert {str(k): v for k, v in counts.items()} == {"2024-03-01": 4, "2024-03-02": 4}
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("month", [None, 2])
+def test_sales_page_bundle_equals_single_datasets(marts, month):
+    page = dash.sales_page(marts.sales, month)
+    got = dash.sales_page_datasets(marts.sales, month)
+    assert _rows(got["revenue_by_day"]) == _rows(dash.revenue_by_day(page))
+    assert [tuple(r) for r in got["revenue_by_weekday"].collect()] == \
+        [tuple(r) for r in dash.revenue_by_weekday(page).collect()]
+    assert _rows(got["sales_by_hour"]) == _rows(dash.sales_by_hour(page))
+    assert _rows(got["revenue_by_channel"]) == _rows(dash.revenue_by_channel(page))
+    assert [tuple(r) for r in got["top_categories"].collect()] == \
+        [tuple(r) for r in dash.top_categories(page).collect()]
+    assert _rows(got["kpis"]) == _rows(dash.sales_kpis(page))
+
+
+def test_other_page_bundles(marts):
+    c = dash.customers_page_datasets(marts.customers, "VIP")
+    assert c["table"].count() == 2 and c["kpis"].first().total_clientes == 4
+    p = dash.pricing_page_datasets(marts.pricing, ["moda"])
+    assert p["kpis"].first().total_produtos == 1 and p["alerts"].count() == 1
+    assert p["categories"].count() == 2

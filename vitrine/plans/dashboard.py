@@ -224,3 +224,86 @@ def price_alerts(pricing: DataFrame) -> DataFrame:
             brl(F.col("receita_total")).alias("Receita"),
         )
     )
+
+
+# ------------------------------------------------------------ page bundles
+_SALES_CHART_KEYS = ("data_venda", "dia_semana_nome", "hora_venda", "canal_venda", "categoria")
+
+
+def sales_chart_totals(sales: DataFrame) -> DataFrame:
+    """Revenue and sale count per day, weekday, hour, channel and category in
+    one aggregation: ``GROUPING SETS`` expands each row once per key inside
+    the partial aggregate, so the sales are scanned and shuffled once instead
+    of five times. ``grupo`` names the key of each row; NULL keys are dropped
+    as the page did. The result has one row per distinct key value."""
+    keys = [F.col(k) for k in _SALES_CHART_KEYS]
+    gid = F.col("_gid")
+    full = (1 << len(keys)) - 1
+    which = F.lit(None).cast("string")
+    for i, k in enumerate(_SALES_CHART_KEYS):
+        which = F.when(gid == full - (1 << (len(keys) - 1 - i)), F.lit(k)).otherwise(which)
+    agg = (sales.groupingSets([[k] for k in keys], *keys)
+           .agg(_sum_or_zero("receita_total").alias("receita_total"),
+                F.count("id_venda").alias("vendas"),
+                F.grouping_id(*keys).alias("_gid"))
+           .withColumn("grupo", which).drop("_gid"))
+    present = F.lit(False)
+    for k in _SALES_CHART_KEYS:
+        present = present | ((F.col("grupo") == k) & F.col(k).isNotNull())
+    return agg.where(present)
+
+
+def sales_page_datasets(sales: DataFrame, month: int | None = None) -> dict[str, DataFrame]:
+    """Every dataset of the sales page for one month filter.
+
+    The grouped charts come from one materialized ``sales_chart_totals``
+    (bounded by the number of distinct days, hours, weekdays, channels and
+    categories); the KPIs are one global aggregate.
+    """
+    from vitrine.operators.materialize import materialize
+
+    page = sales_page(sales, month)
+    totals = materialize(sales_chart_totals(page), "sales-page")
+
+    def part(key: str) -> DataFrame:
+        return totals.where(F.col("grupo") == key)
+
+    top = (part("categoria").orderBy(F.col("receita_total").desc(), F.col("categoria").asc())
+           .limit(DASHBOARD_TOP_CATEGORIES))
+    return {
+        "kpis": sales_kpis(page),
+        "months": sales_months(sales),
+        "revenue_by_day": part("data_venda").select("data_venda", "receita_total").orderBy("data_venda"),
+        "revenue_by_weekday": part("dia_semana_nome").select("dia_semana_nome", "receita_total")
+        .orderBy(weekday_order(F.col("dia_semana_nome")).asc_nulls_last(), "dia_semana_nome"),
+        "sales_by_hour": part("hora_venda").select("hora_venda", "vendas").orderBy("hora_venda"),
+        "revenue_by_channel": part("canal_venda").select("canal_venda", "receita_total"),
+        "top_categories": top.select("categoria", "receita_total")
+        .orderBy(F.col("receita_total").asc(), F.col("categoria").desc()),
+    }
+
+
+def customers_page_datasets(customers: DataFrame, segment: str | None = None) -> dict[str, DataFrame]:
+    """Every dataset of the customers page; ``segment`` filters the detail table."""
+    return {
+        "kpis": customer_kpis(customers),
+        "customers_by_segment": customers_by_segment(customers),
+        "revenue_by_segment": revenue_by_segment(customers),
+        "top_customers": top_customers(customers),
+        "customers_by_state": customers_by_state(customers),
+        "table": customer_table(customers, segment),
+    }
+
+
+def pricing_page_datasets(pricing: DataFrame,
+                          categories: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Every dataset of the pricing page for one category choice."""
+    page = pricing_page(pricing, categories)
+    return {
+        "categories": price_categories(pricing),
+        "kpis": pricing_kpis(page),
+        "products_by_price_class": products_by_price_class(page),
+        "price_gap_by_category": price_gap_by_category(page),
+        "price_vs_volume": price_vs_volume(page),
+        "alerts": price_alerts(page),
+    }
