@@ -31,17 +31,22 @@ def sales_last_days(sales: DataFrame, days: int = REPORT_LAST_DAYS) -> DataFrame
     """Revenue, distinct sales, distinct customers and mean ticket for the last
     ``days`` dates that have sales (not calendar days), newest first.
 
-    The dates are chosen first (a top-k over the distinct dates), so only those
-    days' rows reach the aggregation with its two distinct counts; the chosen
-    set has at most ``days`` rows and is broadcast into a semi join.
+    The dates are chosen first: a top-k over the distinct dates (Catalyst drops
+    the dimension joins from that branch, so it reads one column of the sales),
+    at most ``days`` values reach the driver. They become a literal predicate
+    that is pushed below the dimension joins to the sales rows, so only those
+    days are joined and aggregated with the two distinct counts.
     """
-    last = (sales.select("data_venda").distinct()
-            .orderBy(F.col("data_venda").desc_nulls_last()).limit(days))
-    recent = sales.join(F.broadcast(last.withColumnRenamed("data_venda", "_d")),
-                        sales["data_venda"].eqNullSafe(F.col("_d")), "left_semi")
+    chosen = [r[0] for r in sales.select("data_venda").distinct()
+              .orderBy(F.col("data_venda").desc_nulls_last()).limit(days).collect()]
+    known = [d for d in chosen if d is not None]
+    day = F.col("data_venda")
+    keep = day.isin(known) if known else F.lit(False)
+    if len(known) < len(chosen):
+        keep = keep | day.isNull()
     rev = F.col("preco_unitario") * F.col("quantidade")
     return (
-        recent.groupBy("data_venda", "dia_semana_nome").agg(
+        sales.where(keep).groupBy("data_venda", "dia_semana_nome").agg(
             F.sum("receita_total").cast(MONEY).alias("receita"),
             F.countDistinct("id_venda").alias("vendas"),
             F.countDistinct("id_cliente").alias("clientes"),
