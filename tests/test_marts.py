@@ -174,3 +174,17 @@ def test_empty_sales(spark):
     assert [x.segmento_cliente for x in mt.customer_mart(r).collect()] == ["REGULAR"]
     assert mt.pricing_mart(r).count() == 0
     assert mt.customer_stats(r).where(F.col("id_cliente").isNotNull()).count() == 0
+
+
+def test_segment_mart_equals_full_mart(spark):
+    ids = [f"c{k:02d}" for k in range(1, 31)]
+    vendas = [sale(k, "2024-01-01 10:00:00", cliente=ids[k % 30], price=f"{(k * 37) % 50 + 1}.00")
+              for k in range(1, 200)] + [sale(999, "2024-01-01 10:00:00", cliente="ghost", price="999.00")]
+    r = raw(spark, vendas=vendas, clientes=[customer(i) for i in ids + ["lonely"]],
+            produtos=[product("p1")])
+    full = {x.id_cliente: (x.segmento_cliente, x.receita_total, x.total_compras)
+            for x in mt.customer_mart(r).collect()}
+    seg = {x.id_cliente: (x.segmento_cliente, x.receita_total, x.total_compras)
+           for x in mt.customer_segment_mart(r).collect()}
+    assert full == seg
+    assert sum(v[0] == "VIP" for v in seg.values()) == 9          # ghost holds rank 1

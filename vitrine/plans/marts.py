@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.calendar import weekday_name
@@ -112,11 +112,7 @@ def customer_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     the customer table (a buyer missing from it still uses up a rank). Rank
     order: revenue descending (NULL last), then customer id.
     """
-    ranked = global_row_number(
-        customer_stats(raw),
-        [F.col("receita_total").desc_nulls_last(), F.col("id_cliente").asc_nulls_last()],
-        out="ranking_receita",
-    )
+    ranked = global_row_number(customer_stats(raw), _rank_order(), out="ranking_receita")
     rank = F.col("ranking_receita")
     return raw.clientes.join(ranked, "id_cliente", "left").select(
         "id_cliente", "nome_cliente", "estado", "pais",
@@ -126,6 +122,36 @@ def customer_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     )
 
 
+def _rank_order() -> list[Column]:
+    return [F.col("receita_total").desc_nulls_last(), F.col("id_cliente").asc_nulls_last()]
+
+
+def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
+                          top_max: int = TOP_TIER_MAX_RANK) -> DataFrame:
+    """The customer mart without ``ranking_receita``, for datasets that need
+    only the segment.
+
+    A segment depends only on whether a customer is among the ``top_max`` best
+    ranks, so the ranks are taken from a top-k (each task keeps ``top_max``
+    rows, no global sort) and the at most ``top_max`` ranked ids are broadcast.
+    Segments equal those of :func:`customer_mart`.
+    """
+    stats = customer_stats(raw)
+    top = (stats.orderBy(*_rank_order()).limit(top_max).select("id_cliente", "receita_total")
+           .withColumn("_rank", F.row_number().over(Window.orderBy(*_rank_order())))
+           .select("id_cliente", "_rank"))
+    return (
+        raw.clientes.join(stats, "id_cliente", "left")
+        .join(F.broadcast(top), "id_cliente", "left")
+        .select(
+            "id_cliente", "nome_cliente", "estado", "pais",
+            F.col("data_cadastro").cast("date").alias("data_cadastro"),
+            "receita_total", "total_compras", "ticket_medio",
+            segment(F.col("_rank"), vip_max, top_max).alias("segmento_cliente"),
+        )
+    )
+
+
 # -------------------------------------------------------------- pricing mart
 def latest_competitor_prices(raw: RawTables) -> DataFrame:
     """Newest observation per (product, competitor); ties broken by
@@ -206,6 +232,11 @@ class Marts:
     def customers(self) -> DataFrame:
         return customer_mart(self.raw)
 
+    @cached_property
+    def customer_segments(self) -> DataFrame:
+        """Customers with segment but without the global rank (no global sort)."""
+        return customer_segment_mart(self.raw)
+
     @cached_property
     def pricing(self) -> DataFrame:
         return pricing_mart(self.raw)
