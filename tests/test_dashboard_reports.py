@@ -112,6 +112,10 @@ def test_pricing_page(marts):
     assert dash.price_vs_volume(p).count() == 3
 
 
+def test_daily_grain_hourly_equals_sales_by_hour(marts):
+    assert _rows(dash.daily_grain_sales_by_hour(marts.sales)) == _rows(dash.sales_by_hour(marts.sales))
+
+
 def test_daily_grain_kpis(marts):
     k = dash.daily_grain_kpis(marts.sales).first()
     assert (k.receita_total, k.total_vendas, k.dias) == (D("62.00"), 4, 4)
