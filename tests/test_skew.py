@@ -73,3 +73,22 @@ def test_hot_customer_rank_is_exact(spark):
     ranks = {x.id_cliente: x.ranking_receita for x in mt.customer_mart(r).collect()}
     stats = mt.customer_stats(r).orderBy(F.col("receita_total").desc(), "id_cliente").collect()
     assert [ranks[s.id_cliente] for s in stats] == list(range(1, len(stats) + 1))
+
+
+def test_hot_competitor_history_latest_is_exact(spark):
+    from tests.fixtures import obs
+
+    precos = [obs("hot", "A", f"{10 + i % 90}.00", f"2020-01-01 00:00:00") for i in range(1500)]
+    precos[777] = obs("hot", "A", "42.42", "2021-06-01 00:00:00")             # the newest
+    precos += [obs(f"p{i % 50}", f"C{i % 3}", f"{i % 70 + 1}.00", f"2020-{1 + i % 12:02d}-01 00:00:00")
+               for i in range(3000)]
+    r = raw(spark, produtos=[product("hot")] + [product(f"p{k}") for k in range(50)], precos=precos)
+    df = spark.createDataFrame(precos, r.preco_competidores.schema).repartition(7)
+    r = r.__class__(vendas=r.vendas, clientes=r.clientes, produtos=r.produtos, preco_competidores=df)
+    latest = mt.latest_competitor_prices(r)
+    text = plan_text(latest)
+    # printed root first: a WindowGroupLimit after the exchange line runs below it, map side
+    assert text.rindex("WindowGroupLimit") > text.index("Exchange hashpartitioning")
+    rows = {(x.id_produto, x.nome_concorrente): x.preco_concorrente for x in latest.collect()}
+    assert rows[("hot", "A")] == __import__("decimal").Decimal("42.42")
+    assert len(rows) == 1 + len({(f"p{i % 50}", f"C{i % 3}") for i in range(3000)})
