@@ -100,11 +100,18 @@ def test_jdbc_round_trip_on_embedded_derby(spark):
     assert src.mode == "jdbc"
     back = src.query("SELECT COUNT(*) AS n FROM clientes").first()[0]
     assert back == 3
+    assert src.query_readonly("SELECT COUNT(*) AS n FROM clientes").first()[0] == 3
+    with pytest.raises(Exception):
+        src.query_readonly("SELECT 1 FROM clientes; DROP TABLE clientes")
+    assert src.query("SELECT COUNT(*) AS n FROM clientes").first()[0] == 3
 
 
 def test_local_source(spark):
     src = MartSource(spark, marts=_marts(spark))
     assert src.mode == "local"
+    assert src.query_readonly("SELECT COUNT(*) AS n FROM clientes_segmentacao").first().n == 3
+    with pytest.raises(ValueError):
+        src.query_readonly("DROP VIEW clientes_segmentacao")
     assert src.query("SELECT COUNT(*) AS n FROM vendas_temporais").first().n == 2
     ranks = [r.ranking_receita for r in src.mart("customers", order_by_rank=True).collect()]
     assert ranks == [1, 2, None]

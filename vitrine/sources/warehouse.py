@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.plans.marts import Marts
-from vitrine.plans.readonly import register_marts
+from vitrine.plans.readonly import ReadOnlyViolation, register_marts, sql_readonly
 from vitrine.schemas import (
     CUSTOMERS_MART, CUSTOMERS_SCHEMA, PRICING_MART, PRICING_SCHEMA, SALES_MART, SALES_SCHEMA,
 )
@@ -53,6 +53,23 @@ class MartSource:
             self._registered = True
         return self.spark.sql(sql)
 
+    def query_readonly(self, sql: str) -> DataFrame:
+        """Like :meth:`query`, but only a single read-only query is accepted.
+
+        Locally the text is planned as a subquery by Spark (see
+        ``sql_readonly``). Over JDBC, Spark sends the ``query`` option wrapped
+        as ``SELECT * FROM (<text>) alias``, so the warehouse's own grammar
+        refuses anything but a query there; the prefix check runs first.
+        """
+        if self.jdbc_url:
+            if not sql.lstrip()[:6].upper().startswith(("SELECT", "WITH")):
+                raise ReadOnlyViolation("Only SELECT or WITH queries are allowed.")
+            return self.query(sql.rstrip().rstrip(";"))
+        if not self._registered:
+            register_marts(self.marts)
+            self._registered = True
+        return sql_readonly(self.spark, sql)
+
     def mart(self, name: str, order_by_rank: bool = False) -> DataFrame:
         """Whole mart (``SELECT *``); customers optionally by rank, NULLs last."""
         if self.jdbc_url:
