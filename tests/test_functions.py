@@ -28,7 +28,7 @@ def test_brl_or_dash(spark):
 
 
 def test_signed_percent_matches_python(spark):
-    for v in [0.25, -0.04, 1.25, 12.35, 0.0, 3.14159, -12.25]:
+    for v in [0.25, -0.04, 1.25, 12.35, 0.0, -0.0, 3.14159, -12.25]:
         assert _one(spark, signed_percent, v, "double") == f"{v:+.1f}%", v
 
 

@@ -23,8 +23,9 @@ def brl_or_dash(x: Column) -> Column:
 def signed_percent(x: Column, decimals: int = 1) -> Column:
     """Signed percent with a fixed number of decimals: ``+1.2%`` / ``-0.4%``."""
     pattern = "0." + "0" * decimals if decimals > 0 else "0"
-    sign = F.when(x >= 0, F.lit("+")).otherwise(F.lit(""))
-    return F.concat(sign, decimal_pattern(x, pattern), F.lit("%"))
+    text = decimal_pattern(x, pattern)
+    sign = F.when(text.startswith("-"), F.lit("")).otherwise(F.lit("+"))
+    return F.concat(sign, text, F.lit("%"))
 
 
 def decimal_pattern(x: Column, pattern: str) -> Column:
