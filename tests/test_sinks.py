@@ -61,6 +61,21 @@ def test_load_counts_and_rerun_is_idempotent(spark, tables):
     assert parts == {(2024, 1), (2024, 2)}
 
 
+def test_catalog_source_reads_loaded_tables_with_pruning(spark, tables):
+    from vitrine.plans import dashboard as dash
+    from tests.test_plans import plan_text
+
+    load_marts(_marts(spark))
+    src = MartSource(spark, catalog=True)
+    assert src.mode == "catalog"
+    n = src.query_readonly("SELECT COUNT(*) AS n FROM public_gold_sales.vendas_temporais").first().n
+    assert n == 2
+    page = dash.sales_page(src.mart("sales"), 2)
+    assert "PartitionFilters: [isnotnull(mes_venda" in plan_text(page)
+    assert dash.sales_kpis(page).first().total_vendas == 1
+    assert [r.ranking_receita for r in src.mart("customers", order_by_rank=True).collect()] == [1, 2, None]
+
+
 def _refused(spark, table, df):
     before = sorted(spark.table(table).collect())
     with pytest.raises(Exception) as info:

@@ -24,33 +24,41 @@ MART_TABLES = {
 
 
 class MartSource:
-    """``query(sql)`` and ``mart(name)`` over a JDBC warehouse or local marts.
+    """``query(sql)`` and ``mart(name)`` over a JDBC warehouse, the loaded gold
+    tables, or marts built from the raw files.
 
-    With ``jdbc_url`` the SQL runs in the warehouse and Spark reads the result
-    (pass ``numPartitions``/``partitionColumn`` options for large reads).
-    Otherwise ``marts`` are registered as temporary views under their mart
-    names and the SQL runs in Spark.
+    * ``jdbc_url``: the SQL runs in the warehouse and Spark reads the result
+      (pass ``numPartitions``/``partitionColumn`` options for large reads);
+    * ``catalog=True``: the gold tables loaded by ``vitrine.sources.tables``
+      are read from the session catalog under their schema-qualified names;
+      filters on ``ano_venda``/``mes_venda`` prune the sales table's partitions;
+    * ``marts``: the lazily built marts are registered as temporary views under
+      their single-part mart names and the SQL runs in Spark.
     """
 
     def __init__(self, spark: SparkSession, marts: Marts | None = None,
-                 jdbc_url: str | None = None, jdbc_options: dict | None = None):
-        if marts is None and not jdbc_url:
-            raise ValueError("give local marts or a JDBC URL")
-        self.spark, self.marts = spark, marts
+                 jdbc_url: str | None = None, jdbc_options: dict | None = None,
+                 catalog: bool = False):
+        if marts is None and not jdbc_url and not catalog:
+            raise ValueError("give local marts, a JDBC URL or catalog=True")
+        self.spark, self.marts, self.catalog = spark, marts, catalog
         self.jdbc_url, self.jdbc_options = jdbc_url, dict(jdbc_options or {})
         self._registered = False
 
     @property
     def mode(self) -> str:
-        return "jdbc" if self.jdbc_url else "local"
+        return "jdbc" if self.jdbc_url else ("catalog" if self.catalog else "local")
+
+    def _register(self) -> None:
+        if self.mode == "local" and not self._registered:
+            register_marts(self.marts)
+            self._registered = True
 
     def query(self, sql: str) -> DataFrame:
         if self.jdbc_url:
             return (self.spark.read.format("jdbc").option("url", self.jdbc_url)
                     .option("query", sql).options(**self.jdbc_options).load())
-        if not self._registered:
-            register_marts(self.marts)
-            self._registered = True
+        self._register()
         return self.spark.sql(sql)
 
     def query_readonly(self, sql: str) -> DataFrame:
@@ -65,9 +73,7 @@ class MartSource:
             if not sql.lstrip()[:6].upper().startswith(("SELECT", "WITH")):
                 raise ReadOnlyViolation("Only SELECT or WITH queries are allowed.")
             return self.query(sql.rstrip().rstrip(";"))
-        if not self._registered:
-            register_marts(self.marts)
-            self._registered = True
+        self._register()
         return sql_readonly(self.spark, sql)
 
     def mart(self, name: str, order_by_rank: bool = False) -> DataFrame:
@@ -76,6 +82,8 @@ class MartSource:
             df = (self.spark.read.format("jdbc").option("url", self.jdbc_url)
                   .option("dbtable", MART_TABLES[name]).options(**self.jdbc_options).load())
             df = df.toDF(*[c.lower() for c in df.columns])
+        elif self.catalog:
+            df = self.spark.table(MART_TABLES[name])
         else:
             df = getattr(self.marts, name)
         if order_by_rank:
