@@ -180,3 +180,15 @@ def test_other_page_bundles(marts):
     p = dash.pricing_page_datasets(marts.pricing, ["moda"])
     assert p["kpis"].first().total_produtos == 1 and p["alerts"].count() == 1
     assert p["categories"].count() == 2
+
+
+def test_lean_sales_bases_give_the_same_datasets(marts):
+    full, facts, prods = marts.sales, marts.sales_facts, marts.sales_with_products
+    assert "nome_cliente" not in facts.columns and "categoria" not in facts.columns
+    assert "categoria" in prods.columns and "nome_cliente" not in prods.columns
+    for fn in (dash.revenue_by_day, dash.revenue_by_weekday, dash.sales_by_hour,
+               dash.revenue_by_channel, dash.sales_months, dash.daily_grain_kpis,
+               lambda s: dash.sales_kpis(dash.sales_page(s, 2)),
+               lambda s: rep.sales_last_days(s, days=2)):
+        assert _rows(fn(facts)) == _rows(fn(full))
+    assert _rows(dash.top_categories(prods)) == _rows(dash.top_categories(full))

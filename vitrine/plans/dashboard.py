@@ -266,7 +266,9 @@ def sales_chart_totals(sales: DataFrame) -> DataFrame:
 def sales_page_datasets(sales: DataFrame, month: int | None = None) -> dict[str, DataFrame]:
     """Every dataset of the sales page for one month filter.
 
-    The grouped charts come from one materialized ``sales_chart_totals``
+    The page reads product categories but no customer attribute, so pass
+    ``Marts.sales_with_products`` (or the loaded table) rather than the full
+    mart. The grouped charts come from one materialized ``sales_chart_totals``
     (bounded by the number of distinct days, hours, weekdays, channels and
     categories); the KPIs are one global aggregate.
     """

@@ -39,7 +39,34 @@ def mean(col: str | Column) -> Column:
 
 
 # ----------------------------------------------------------------- sales mart
-def sales_enriched(raw: RawTables) -> DataFrame:
+SALES_COLUMNS = [
+    "id_venda", "data_venda", "ano_venda", "mes_venda", "hora_venda", "dia_semana_num",
+    "dia_semana_nome", "canal_venda", "id_cliente", "nome_cliente", "estado",
+    "id_produto", "nome_produto", "categoria", "marca", "quantidade", "preco_unitario",
+    "receita_total",
+]
+CUSTOMER_ATTRIBUTES = ["nome_cliente", "estado"]
+PRODUCT_ATTRIBUTES = ["nome_produto", "categoria", "marca"]
+
+
+def sales_facts(raw: RawTables) -> DataFrame:
+    """The sales columns that come from the sales rows alone: calendar parts,
+    weekday name and revenue (no customer or product attribute)."""
+    ts = F.col("data_venda")
+    return raw.vendas.select(
+        "id_venda",
+        ts.cast("date").alias("data_venda"),
+        F.year(ts).alias("ano_venda"),
+        F.month(ts).alias("mes_venda"),
+        F.hour(ts).alias("hora_venda"),
+        F.dayofweek(ts).alias("dia_semana_num"),
+        weekday_name(ts).alias("dia_semana_nome"),
+        "canal_venda", "id_cliente", "id_produto", "quantidade", "preco_unitario",
+        _revenue().alias("receita_total"),
+    )
+
+
+def sales_enriched(raw: RawTables, customers: bool = True, products: bool = True) -> DataFrame:
     """Sales with customer and product attributes and calendar parts.
 
     Both dimension joins are LEFT joins, so a sale with an unknown customer or
@@ -47,28 +74,20 @@ def sales_enriched(raw: RawTables) -> DataFrame:
     broadcasts a dimension when its size estimate allows, adaptive execution
     re-plans on runtime sizes, and skewed customer or product keys are split by
     the skew-join handling.
+
+    ``customers=False`` / ``products=False`` leave a dimension out (its columns
+    are absent). Datasets that read no attribute of a dimension use that form:
+    with unique dimension keys (the key contract) the rows and values are the
+    same, and on a large cluster it saves a shuffle of every sale per join left
+    out, which Catalyst cannot remove on its own because it cannot know the
+    keys are unique.
     """
-    ts = F.col("data_venda")
-    clientes = raw.clientes.select("id_cliente", "nome_cliente", "estado")
-    produtos = raw.produtos.select("id_produto", "nome_produto", "categoria", "marca")
-    return (
-        raw.vendas
-        .join(clientes, "id_cliente", "left")
-        .join(produtos, "id_produto", "left")
-        .select(
-            "id_venda",
-            ts.cast("date").alias("data_venda"),
-            F.year(ts).alias("ano_venda"),
-            F.month(ts).alias("mes_venda"),
-            F.hour(ts).alias("hora_venda"),
-            F.dayofweek(ts).alias("dia_semana_num"),
-            weekday_name(ts).alias("dia_semana_nome"),
-            "canal_venda", "id_cliente", "nome_cliente", "estado",
-            "id_produto", "nome_produto", "categoria", "marca",
-            "quantidade", "preco_unitario",
-            _revenue().alias("receita_total"),
-        )
-    )
+    df = sales_facts(raw)
+    if customers:
+        df = df.join(raw.clientes.select("id_cliente", *CUSTOMER_ATTRIBUTES), "id_cliente", "left")
+    if products:
+        df = df.join(raw.produtos.select("id_produto", *PRODUCT_ATTRIBUTES), "id_produto", "left")
+    return df.select(*[c for c in SALES_COLUMNS if c in df.columns])
 
 
 def sales_daily(raw: RawTables) -> DataFrame:
@@ -228,6 +247,16 @@ class Marts:
     def sales(self) -> DataFrame:
         return sales_mart(self.raw, self.with_daily_context)
 
+    @cached_property
+    def sales_facts(self) -> DataFrame:
+        """Sales columns without customer or product attributes (no dimension join)."""
+        return sales_enriched(self.raw, customers=False, products=False)
+
+    @cached_property
+    def sales_with_products(self) -> DataFrame:
+        """Sales with product attributes only (one dimension join)."""
+        return sales_enriched(self.raw, customers=False)
+
     @cached_property
     def customers(self) -> DataFrame:
         return customer_mart(self.raw)
