@@ -50,7 +50,7 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
     t0 = time.time()
     s_tab = fn(spark, sf_dir).toArrow()
     t1 = time.time()
-    d_tab = con.execute(sql).to_arrow_table()
+    d_tab = con.sql(sql).to_arrow_table()
     res = {"name": name, "spark_s": round(t1 - t0, 2), "rows": (s_tab.num_rows, d_tab.num_rows)}
     s_types = {f.name: str(f.type) for f in s_tab.schema}
     d_types = {f.name: str(f.type) for f in d_tab.schema}
