@@ -192,3 +192,5 @@ def test_lean_sales_bases_give_the_same_datasets(marts):
                lambda s: rep.sales_last_days(s, days=2)):
         assert _rows(fn(facts)) == _rows(fn(full))
     assert _rows(dash.top_categories(prods)) == _rows(dash.top_categories(full))
+    assert _rows(dash.customers_by_state(marts.customer_base)) == \
+        _rows(dash.customers_by_state(marts.customers))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.calendar import weekday_name
 from vitrine.operators.daily import attach_daily_context, daily_context
 from vitrine.operators.latest import latest_per_group
+from vitrine.operators.materialize import materialize
 from vitrine.operators.pricing import price_class, price_gap_pct
 from vitrine.operators.ranking import global_row_number
 from vitrine.schemas import (
@@ -153,9 +154,11 @@ def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     A segment depends only on whether a customer is among the ``top_max`` best
     ranks, so the ranks are taken from a top-k (each task keeps ``top_max``
     rows, no global sort) and the at most ``top_max`` ranked ids are broadcast.
+    The per-customer stats feed both the top-k and the join; they are written
+    once to the checkpoint folder (customer-sized) so the sales are read once.
     Segments equal those of :func:`customer_mart`.
     """
-    stats = customer_stats(raw)
+    stats = materialize(customer_stats(raw), "customer-stats")
     top = (stats.orderBy(*_rank_order()).limit(top_max).select("id_cliente", "receita_total")
            .withColumn("_rank", F.row_number().over(Window.orderBy(*_rank_order())))
            .select("id_cliente", "_rank"))
@@ -261,6 +264,13 @@ class Marts:
     def customers(self) -> DataFrame:
         return customer_mart(self.raw)
 
+    @cached_property
+    def customer_base(self) -> DataFrame:
+        """Customer attributes only (one row per customer, no sales stats)."""
+        return self.raw.clientes.select(
+            "id_cliente", "nome_cliente", "estado", "pais",
+            F.col("data_cadastro").cast("date").alias("data_cadastro"))
+
     @cached_property
     def customer_segments(self) -> DataFrame:
         """Customers with segment but without the global rank (no global sort)."""
