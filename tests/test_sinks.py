@@ -74,6 +74,10 @@ def test_catalog_source_reads_loaded_tables_with_pruning(spark, tables):
     assert "PartitionFilters: [isnotnull(mes_venda" in plan_text(page)
     assert dash.sales_kpis(page).first().total_vendas == 1
     assert [r.ranking_receita for r in src.mart("customers", order_by_rank=True).collect()] == [1, 2, None]
+    from vitrine.plans import reports as rep
+    last = rep.sales_last_days(src.mart("sales"), days=1)
+    assert "PartitionFilters: [isnotnull(ano_venda" in plan_text(last)
+    assert [r.vendas for r in last.collect()] == [1]
 
 
 def _refused(spark, table, df):

@@ -42,6 +42,10 @@ def sales_last_days(sales: DataFrame, days: int = REPORT_LAST_DAYS) -> DataFrame
     known = [d for d in chosen if d is not None]
     day = F.col("data_venda")
     keep = day.isin(known) if known else F.lit(False)
+    if known and not len(known) < len(chosen) and {"ano_venda", "mes_venda"} <= set(sales.columns):
+        # the same days stated on the loaded table's partition columns: prunes its partitions
+        keep = (keep & F.col("ano_venda").isin(sorted({d.year for d in known}))
+                & F.col("mes_venda").isin(sorted({d.month for d in known})))
     if len(known) < len(chosen):
         keep = keep | day.isNull()
     rev = F.col("preco_unitario") * F.col("quantidade")
