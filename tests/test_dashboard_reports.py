@@ -194,3 +194,21 @@ def test_lean_sales_bases_give_the_same_datasets(marts):
     assert _rows(dash.top_categories(prods)) == _rows(dash.top_categories(full))
     assert _rows(dash.customers_by_state(marts.customer_base)) == \
         _rows(dash.customers_by_state(marts.customers))
+
+
+def test_persisted_marts_give_the_same_results(marts):
+    before = _rows(dash.revenue_by_day(marts.sales))
+    marts.persist("sales", "sales")
+    assert marts.sales.storageLevel.useDisk and len(marts._persisted) == 1
+    assert _rows(dash.revenue_by_day(marts.sales)) == before
+    marts.unpersist()
+    assert not marts.sales.storageLevel.useMemory
+
+
+def test_report_keeps_the_callers_persisted_marts(spark, marts):
+    marts.persist("sales", "pricing")
+    rep.run_report(spark, marts)
+    assert marts.is_persisted("sales") and marts.is_persisted("pricing")
+    marts.unpersist()
+    rep.run_report(spark, marts)
+    assert not marts.is_persisted("pricing")

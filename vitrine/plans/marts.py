@@ -240,11 +240,40 @@ def pricing_mart(raw: RawTables) -> DataFrame:
 
 # ------------------------------------------------------------------- bundle
 class Marts:
-    """The three marts over one set of raw tables, each built on first use."""
+    """The three marts over one set of raw tables, each built on first use.
+
+    ``persist(...)`` keeps chosen marts in executor memory and disk after their
+    first computation, for a job that builds several datasets from them (a
+    dashboard page, the report). Each persisted mart is one full copy; for
+    marts already loaded as tables, read the tables instead.
+    """
 
     def __init__(self, raw: RawTables, with_daily_context: bool = True):
         self.raw = raw
         self.with_daily_context = with_daily_context
+        self._persisted: list[DataFrame] = []
+
+    def persist(self, *names: str) -> "Marts":
+        """Persist the named marts (``sales``, ``customers``, ``pricing``,
+        ``sales_facts`` ...) with MEMORY_AND_DISK; returns ``self``."""
+        from pyspark import StorageLevel
+        for name in names:
+            df = getattr(self, name)
+            if df not in self._persisted:
+                df.persist(StorageLevel.MEMORY_AND_DISK)
+                self._persisted.append(df)
+        return self
+
+    def is_persisted(self, name: str) -> bool:
+        return getattr(self, name) in self._persisted
+
+    def unpersist(self, *names: str) -> None:
+        """Release the named persisted marts, or all of them without names."""
+        chosen = [getattr(self, n) for n in names] if names else list(self._persisted)
+        for df in chosen:
+            if df in self._persisted:
+                df.unpersist()
+                self._persisted.remove(df)
 
     @cached_property
     def sales(self) -> DataFrame:

@@ -118,16 +118,30 @@ def run_report(spark: SparkSession, marts: Marts,
     Spark reports most errors only when an action runs, so each section is
     planned and executed inside its own ``try``. The section results are
     bounded (see the section functions), so they are collected and handed back
-    as small frames; a failure yields ``DataFrame(erro=[message])``.
+    as small frames; a failure yields ``DataFrame(erro=[message])``. The
+    pricing mart feeds two sections, so it is persisted for the run when the
+    default sections are used.
     """
     out = {}
-    for name, build in (sections or SECTIONS).items():
+    shared = False
+    if sections is None:
         try:
-            df = build(marts)
-            rows = df.collect()
-            out[name] = spark.createDataFrame(rows, df.schema)
-        except Exception as exc:  # noqa: BLE001 - isolation is the point
-            out[name] = error_frame(spark, exc)
+            shared = not marts.is_persisted("pricing")
+            if shared:
+                marts.persist("pricing")
+        except Exception:  # noqa: BLE001 - a failing mart is reported by its sections
+            shared = False
+    try:
+        for name, build in (sections or SECTIONS).items():
+            try:
+                df = build(marts)
+                rows = df.collect()
+                out[name] = spark.createDataFrame(rows, df.schema)
+            except Exception as exc:  # noqa: BLE001 - isolation is the point
+                out[name] = error_frame(spark, exc)
+    finally:
+        if shared:
+            marts.unpersist("pricing")
     return out
 
 
