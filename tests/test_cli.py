@@ -27,3 +27,16 @@ def test_report_command(spark, scratch, capsys):
     assert "## criticos" in capsys.readouterr().out
     back = spark.read.parquet(f"{scratch}/criticos")
     assert back.count() == 10 and back.first().data_relatorio.isoformat() == "2024-05-01"
+
+
+def test_load_command_refuses_repeated_sale_ids(spark):
+    from vitrine.sources.tables import ContractViolation
+
+    # the mapped id_venda repeats in the driver tables, so the sales key contract fails
+    try:
+        with pytest.raises(ContractViolation, match="id_venda"):
+            main(["load", "--testdata", SF])
+    finally:
+        for t in ("public_gold_sales.vendas_temporais", "public_gold_cs.clientes_segmentacao",
+                  "public_gold_pricing.precos_competitividade"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
