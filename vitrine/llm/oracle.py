@@ -32,7 +32,7 @@ def decontamination_ctes(documents: str = "documents", prefix: str = "") -> str:
 {p}hit AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i AS di, bs.i AS bi
            FROM {p}ds ds JOIN {p}bs bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
 {p}win AS (
-    SELECT h.doc_id, h.item_id, d.w AS dw, b.w AS bw, di - bi AS shift,
+    SELECT DISTINCT h.doc_id, h.item_id, d.w AS dw, b.w AS bw, di - bi AS shift,
            least({WINDOW}, len(b.w)) AS size,
            greatest(0, least(len(b.w) - least({WINDOW}, len(b.w)),
                greatest(0, bi - di,

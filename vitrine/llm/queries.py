@@ -8,18 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import oracle
 from vitrine.llm.decontaminate import benchmark_overlaps
+from vitrine.llm.quality_rules import judge_quality
+from vitrine.llm.secrets import find_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(_table(spark, sf_dir, "documents", "doc_id", "text"),
                               _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
 }
 
