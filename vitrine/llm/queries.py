@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import oracle
 from vitrine.llm.decontaminate import benchmark_overlaps
+from vitrine.llm.language_id import identify_languages
+from vitrine.llm.quality_classifier import classify_quality
 from vitrine.llm.quality_rules import judge_quality
 from vitrine.llm.secrets import find_secrets
+from vitrine.llm.toxicity import classify_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                            _table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -29,10 +37,22 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                               _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                             _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
