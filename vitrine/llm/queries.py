@@ -13,6 +13,9 @@ from vitrine.llm.quality_classifier import classify_quality
 from vitrine.llm.quality_rules import judge_quality
 from vitrine.llm.secrets import find_secrets
 from vitrine.llm.toxicity import classify_toxicity
+from vitrine.llm.unigram import read_vocabulary, token_digests
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -46,6 +49,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                         read_vocabulary(vocabulary))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
