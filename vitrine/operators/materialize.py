@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.session import checkpoint_dir
 
+_written: set[str] = set()
+
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the session's checkpoint folder and read it back.
@@ -16,8 +18,38 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     twice unless the input is cached). The result has a fresh lineage: a lost
     executor re-reads the files instead of recomputing upstream stages, and
     values computed once (ids, positions) stay fixed for every later reader.
+
+    The folder stays until ``discard`` or ``discard_all``: a lazy result that
+    reads it may be evaluated at any later time.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/vitrine-{label}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.materialized_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder behind a frame that ``materialize`` returned; nothing may read it later."""
+    path = getattr(df, "materialized_path", None)
+    if path in _written:
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete every folder this process has written and not yet discarded; returns their number.
+
+    For the end of a job, when no lazy result is left to evaluate.
+    """
+    paths = sorted(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
