@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vitrine.llm import oracle
 from vitrine.llm.decontaminate import benchmark_overlaps
 from vitrine.llm.language_id import identify_languages
+from vitrine.llm.ngram_join import ngram_join
 from vitrine.llm.quality_classifier import classify_quality
 from vitrine.llm.quality_rules import judge_quality
 from vitrine.llm.secrets import find_secrets
@@ -54,6 +55,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
                          read_vocabulary(vocabulary))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
