@@ -101,6 +101,13 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def range_hashes(prefix: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` bytes from every position."""
+    size = max(0, len(prefix) - n)
+    _, inverse = _power_tables(len(prefix))
+    return mix((prefix[n:n + size] - prefix[:size]) * inverse[:size])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)

@@ -13,6 +13,7 @@ from vitrine.llm.ngram_join import ngram_join
 from vitrine.llm.quality_classifier import classify_quality
 from vitrine.llm.quality_rules import judge_quality
 from vitrine.llm.secrets import find_secrets
+from vitrine.llm.substring_dedup import deduplicate_substrings
 from vitrine.llm.toxicity import classify_toxicity
 from vitrine.llm.unigram import read_vocabulary, token_digests
 
@@ -46,6 +47,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                              _table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_substrings(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  with_text=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
