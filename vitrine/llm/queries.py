@@ -14,6 +14,7 @@ from vitrine.llm.quality_classifier import classify_quality
 from vitrine.llm.quality_rules import judge_quality
 from vitrine.llm.secrets import find_secrets
 from vitrine.llm.substring_dedup import deduplicate_substrings
+from vitrine.llm.suffix_dedup import remove_repeated_bytes
 from vitrine.llm.toxicity import classify_toxicity
 from vitrine.llm.unigram import read_vocabulary, token_digests
 
@@ -65,6 +66,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 with_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
