@@ -44,12 +44,17 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def discard_all(spark: SparkSession) -> int:
-    """Delete every folder this process has written and not yet discarded; returns their number.
+def materialized_paths() -> set[str]:
+    """Folders this process has written and not yet discarded."""
+    return set(_written)
 
-    For the end of a job, when no lazy result is left to evaluate.
+
+def discard_all(spark: SparkSession, paths: set[str] | None = None) -> int:
+    """Delete the given folders (default: all of this process); returns their number.
+
+    For the end of a job, when no lazy result is left that reads them.
     """
-    paths = sorted(_written)
+    paths = sorted(_written if paths is None else paths & _written)
     for path in paths:
         _delete(spark, path)
     return len(paths)
