@@ -179,6 +179,29 @@ def score_languages(docs: DataFrame, tree: ContextTree | None, doc_id: str = "do
     return plain.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[str] | None = None,
+                    min_score: float = 0.5) -> DataFrame:
+    """The rows whose text is identified, as one of ``languages`` if given; columns unchanged.
+
+    Rejected are undetermined texts, other languages and scores under ``min_score``.
+    """
+    if tree is None:
+        return docs.limit(0)
+    letters = "_letters"
+    marked = docs.withColumn(letters, F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    wanted = np.array([languages is None or name in languages for name in tree.languages])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
+            nats = code_lengths(tree, data, offsets) * np.log(2)
+            posterior = 1 / np.exp(nats.min(1, keepdims=True) - nats).sum(1)
+            mask = (rows.column(letters).to_numpy(zero_copy_only=False) & wanted[nats.argmin(1)]
+                    & (posterior >= min_score))
+            yield rows.filter(pa.array(mask)).drop_columns([letters])
+
+    return marked.mapInArrow(keep, docs.schema)
+
+
 def identify_languages(docs: DataFrame, folds: int = 3, fold: int = 1, **fit) -> DataFrame:
     """Learn from the rows outside the held-out fold, predict every row.
 
