@@ -163,8 +163,8 @@ def _verify(n: int, threshold: float):
         copies, block = (records.column(c).to_numpy()[use] for c in ("copies", "block"))
         grams = np.concatenate([grams[ends[at] - amount[at]:ends[at]] for at in use] or [grams[:0]])
         found = linked(grams, amount[use], threshold)
-        if len(use) and block.min() != block.max():   # pairs within a block are another group's
-            found &= block[:, None] != block[None, :]
+        if records.column("low")[0] != records.column("high")[0]:
+            found &= block[:, None] != block[None, :]    # pairs within a block are another group's
         links, label = found @ copies, np.arange(len(use))
         while True:
             least = np.minimum(label, np.where(found, label[None, :], len(use)).min(1, initial=len(use)))
