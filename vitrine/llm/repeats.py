@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.arrays import chunks
 
-PART_BYTES = 32 << 20        # text per reducer
+PART_BYTES = 8 << 20         # text per reducer: its pieces and their windows fit a small worker
 PACK_ANCHORS = 400_000
 PACK_PIECE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20

@@ -103,6 +103,7 @@ def _parse(layout: Layout):
             piece = np.repeat(np.arange(len(size)), size)
             at = place[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
             owner = ids[doc[piece]]
+            del found, data
             # the index: of equal windows the earliest place
             order = np.lexsort((at, owner, window))
             lead = np.ones(len(order), bool)
