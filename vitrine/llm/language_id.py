@@ -131,7 +131,7 @@ def fit_context_tree(training: DataFrame, docs_per_language: int = DOCS_PER_LANG
         counts = np.zeros((len(parent), size, total))
         np.add.at(counts, (level[here] - first, symbol[here], lang[here]), n[here])
         mass, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        below = shorter if parent[0] < 0 else probability[parent]
+        below = probability[parent] if first else shorter
         p = np.where(counts > 0, counts, distinct * below) / np.maximum(mass + distinct, 1)
         probability[first:first + len(parent)] = np.where(mass > 0, p, below)
         first += len(parent)
