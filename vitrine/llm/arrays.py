@@ -7,11 +7,13 @@ its own), so memory follows the chunk and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,6 +31,28 @@ _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+MAX_RECORDS = 1000        # rows of an Arrow batch: texts are long, so a batch has few
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same frame; the session's Arrow batches are held to MAX_RECORDS rows from now on.
+
+    Spark bounds batches by rows only, and its default of 10,000 is meant for short rows.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= MAX_RECORDS:
+        conf.set(key, str(MAX_RECORDS))
+    return df
+
+
+def release_memory() -> None:
+    """Give memory that a finished task has freed back to the system; workers are reused."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
            ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Yield (rows, bytes, offsets): row ``i`` has the bytes ``offsets[i]:offsets[i + 1]``.
@@ -48,6 +72,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
             yield (batch.slice(first, last - first), data[offsets[first]:offsets[last]],
                    offsets[first:last + 1] - offsets[first])
             first = last
+    release_memory()
 
 
 def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import chunks, segment_sums
+from vitrine.llm.arrays import bounded_batches, chunks, segment_sums
 from vitrine.llm.folds import held_out
 
 ORDER = 3
@@ -88,7 +88,7 @@ def fit_context_tree(training: DataFrame, docs_per_language: int = DOCS_PER_LANG
     The gram counts that reach the driver come from the bounded sample.
     """
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    grams = (labelled_sample(rows.select("doc_id", "text", "lang"), docs_per_language)
+    grams = (labelled_sample(bounded_batches(rows).select("doc_id", "text", "lang"), docs_per_language)
              .select("text", "lang")
              .mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
@@ -156,7 +156,7 @@ def code_lengths(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np
 def score_languages(docs: DataFrame, tree: ContextTree | None, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score``; the score is the posterior under equal priors."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+    plain = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                         F.coalesce(F.rlike(F.col(text), F.lit(r"\p{L}")), F.lit(False)).alias("letters"))
     if tree is None:
         return plain.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"),
@@ -188,7 +188,7 @@ def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[s
     if tree is None:
         return docs.limit(0)
     letters = "_letters"
-    marked = docs.withColumn(letters, F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    marked = bounded_batches(docs).withColumn(letters, F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
     wanted = np.array([languages is None or name in languages for name in tree.languages])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import chunks, gram_hashes, mix, word_hashes
+from vitrine.llm.arrays import bounded_batches, chunks, gram_hashes, mix, word_hashes
 from vitrine.llm.components import connected_components
 from vitrine.operators.materialize import discard, materialize
 
@@ -190,7 +190,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     included.
     """
     bands, rows = choose_bands(threshold, recall)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(
+    source = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(
         F.col("doc_id").isNotNull())
     signed = materialize(source.mapInArrow(
         _signatures(n, bands, rows),

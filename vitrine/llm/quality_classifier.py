@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import (BLANK, BYTE_CLASS, chunks, prefix_hashes, runs, segment_sums,
-                                substring_hashes)
+from vitrine.llm.arrays import (BLANK, BYTE_CLASS, bounded_batches, chunks, prefix_hashes, runs,
+                                segment_sums, substring_hashes)
 from vitrine.llm.folds import bounded_ids, held_out
 
 BUCKETS = 4096
@@ -212,7 +212,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: i
     Returns ``doc_id, held_out, score, predicted``.
     """
     out = held_out(F.col("doc_id"), folds, fold)
-    vectors = word_vectors(docs)
+    vectors = word_vectors(bounded_batches(docs))
     net = fit_quality(docs, labels.where(~out).select("doc_id", "quality"), vectors, max_labelled)
     return score_quality(docs, vectors, net).select(
         "doc_id", out.alias("held_out"), "score",

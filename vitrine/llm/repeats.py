@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import chunks
+from vitrine.llm.arrays import bounded_batches, chunks, release_memory
 
 PART_BYTES = 8 << 20         # text per reducer: its pieces and their windows fit a small worker
 PACK_ANCHORS = 400_000
@@ -213,6 +213,7 @@ def reduced(group: pa.Table) -> tuple[list[bytes], list[tuple[int, bytes]]]:
 
 
 def entries(rows: list[tuple[int, bytes]]) -> pa.Table:
+    release_memory()
     parts, data = zip(*rows) if rows else ((), ())
     return pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, symbols: Callable, c
     with a ``payload`` of (start, end) pairs into rows of ``schema``.
     """
     spark = docs.sparkSession
-    plain = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    plain = bounded_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     known = plain.where(F.col("doc_id").isNotNull())
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     layout = Layout(window, gram, max(2 * spark.sparkContext.defaultParallelism,

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import (BYTE_CLASS, LETTER, chunks, prefix_hashes, runs, segment_sums,
-                                substring_hashes)
+from vitrine.llm.arrays import (BYTE_CLASS, LETTER, bounded_batches, chunks, prefix_hashes, runs,
+                                segment_sums, substring_hashes)
 from vitrine.llm.folds import bounded_ids, held_out
 
 BUCKETS = 1 << 20
@@ -209,7 +209,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold:
     Returns ``doc_id, held_out, score, predicted``.
     """
     out = held_out(F.col("doc_id"), folds, fold)
-    model = fit_toxicity(docs.where(~out), labels.where(~out).select("doc_id", "toxic"), **fit)
+    model = fit_toxicity(bounded_batches(docs).where(~out), labels.where(~out).select("doc_id", "toxic"), **fit)
     return score_toxicity(docs, model).select(
         "doc_id", out.alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vitrine.llm.arrays import chunks, prefix_hashes, runs, substring_hashes
+from vitrine.llm.arrays import bounded_batches, chunks, prefix_hashes, runs, substring_hashes
 
 MARKER = "▁"
 SPACE = 0x20
 UNKNOWN_PENALTY = 10.0
 LONG_UNIT = 192
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _CHAR_BYTES = np.ones(256, np.int64)           # bytes of a character by its first byte
 _CHAR_BYTES[0xC0:0xE0], _CHAR_BYTES[0xE0:0xF0], _CHAR_BYTES[0xF0:] = 2, 3, 4
 
@@ -339,7 +339,7 @@ def encode_texts(docs: DataFrame, v: Vocabulary, text: str = "text", ids: str =
                 yield rows.append_column(ids, column)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(encode, schema)
+    return bounded_batches(docs).mapInArrow(encode, schema)
 
 
 def decode_tokens(rows: DataFrame, v: Vocabulary, ids: str = "token_ids", text: str = "decoded"
@@ -360,7 +360,7 @@ def decode_tokens(rows: DataFrame, v: Vocabulary, ids: str = "token_ids", text:
                      for raw, null in zip(found, column.is_null().to_pylist())]
             yield batch.append_column(text, pa.array(texts, pa.string()))
 
-    return rows.mapInArrow(decode, T.StructType([*rows.schema.fields,
+    return bounded_batches(rows).mapInArrow(decode, T.StructType([*rows.schema.fields,
                                                  T.StructField(text, T.StringType())]))
 
 
@@ -392,7 +392,7 @@ def token_digests(docs: DataFrame, v: Vocabulary, doc_id: str = "doc_id", text:
                               zip(offsets[:-1].tolist(), offsets[1:].tolist(), decoded)]),
                 ], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
 
-    plain = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
+    plain = bounded_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     kind = plain.schema["doc_id"].dataType.simpleString()
     return plain.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, n_byte_tokens bigint, "
                                     "ids_sha256 string, round_trip boolean")
