@@ -6,7 +6,7 @@ bucket's word vector is the sum of the index vectors of its neighbours within
 or other marks (digits count as one sign); they are hashed into ``BUCKETS``
 buckets, so the model has a fixed size whatever the vocabulary. A document is
 pooled to the mean and the spread of its unit word vectors, plus its length and
-the share of its words that are distinct. A two-layer network (tanh, logistic) is
+the shares of its words and word pairs that are distinct. A two-layer network (tanh, logistic) is
 trained with numpy on a bounded sample of labelled rows; a temperature fitted on
 training rows that the network has not seen calibrates its probabilities.
 
@@ -37,7 +37,9 @@ WINDOW = 2
 MAX_LABELLED = 20000       # bound of the labelled sample
 HIDDEN = 32
 EPOCHS = 60
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+POOLED_DOCS = 64           # documents pooled at once
+PAIR_BUCKETS = 1 << 13     # of neighbouring words
 THRESHOLD = 0.3
 
 _ONE_DIGIT = np.arange(256)
@@ -93,18 +95,30 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One feature row per document."""
+    """One feature row per document.
+
+    Documents are pooled a few at a time from their bucket counts: sums over words
+    are then products with the word vectors.
+    """
     bucket, counts = word_buckets(data, offsets)
-    each = vectors[bucket]
-    n = np.maximum(counts, 1)[:, None]
-    mean = segment_sums(each, counts) / n
-    spread = np.sqrt(np.maximum(segment_sums(each * each, counts) / n - mean * mean, 0))
-    of_doc = np.repeat(np.arange(len(counts)), counts)
-    keys = of_doc * BUCKETS + bucket
-    pairs = (keys[:-1] * BUCKETS + bucket[1:])[of_doc[:-1] == of_doc[1:]]
-    distinct = [np.bincount(np.unique(k) // size, minlength=len(counts))[:len(counts)] / n[:, 0]
-                for k, size in ((keys, BUCKETS), (pairs, BUCKETS * BUCKETS))]
-    return np.column_stack([mean, spread, np.log1p(counts), *distinct]).astype(np.float32)
+    ends = np.cumsum(counts)
+    squares, out = vectors * vectors, np.empty((len(counts), 2 * DIMENSIONS + 3), np.float32)
+    for low in range(0, len(counts), POOLED_DOCS):
+        size = counts[low:low + POOLED_DOCS]
+        own = bucket[ends[low] - counts[low]:ends[low + len(size) - 1]]
+        doc = np.repeat(np.arange(len(size)), size)
+        times = np.bincount(doc * BUCKETS + own, minlength=len(size) * BUCKETS).reshape(-1, BUCKETS)
+        n = np.maximum(size, 1)[:, None]
+        weights = (times / n).astype(np.float32)
+        mean = weights @ vectors
+        spread = np.sqrt(np.maximum(weights @ squares - mean * mean, 0))
+        inside = doc[1:] == doc[:-1]
+        pair = (own[:-1] * 2654435761 + own[1:]) % PAIR_BUCKETS
+        pairs = np.bincount((doc[:-1] * PAIR_BUCKETS + pair)[inside],
+                            minlength=len(size) * PAIR_BUCKETS).reshape(-1, PAIR_BUCKETS)
+        out[low:low + len(size)] = np.column_stack(
+            [mean, spread, np.log1p(size), (times > 0).sum(1) / n[:, 0], (pairs > 0).sum(1) / n[:, 0]])
+    return out
 
 
 @dataclass(frozen=True)
