@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.arrays import bounded_batches, chunks, release_memory
 
 PART_BYTES = 8 << 20         # text per reducer: its pieces and their windows fit a small worker
+SHELVES = 16
 PACK_ANCHORS = 400_000
 PACK_PIECE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
@@ -94,6 +95,11 @@ class Layout:
     def part_of_value(self, values: np.ndarray) -> np.ndarray:
         return ((values >> (self.bits - 31)) * self.parts) >> 31
 
+    def shelf_of_value(self, values: np.ndarray) -> np.ndarray:
+        """A part's anchors in SHELVES groups, which a reducer takes one after the other."""
+        within = ((values >> (self.bits - 31)) * self.parts) & ((1 << 31) - 1)
+        return (within * SHELVES) >> 31
+
     def part_of_doc(self, doc_ids: np.ndarray) -> np.ndarray:
         mixed = doc_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(33)).astype(np.int64) % self.parts

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.arrays import chunks, prefix_hashes, range_hashes, substring_hashes
-from vitrine.llm.repeats import (CHUNK_BYTES, PACK_PIECE_BYTES, Layout, Pack, Symbols, _DATA,
+from vitrine.llm.repeats import (CHUNK_BYTES, PACK_PIECE_BYTES, SHELVES, Layout, Pack, Symbols, _DATA,
                                  by_part, entries, flagged, gather, pieces, ready, reduced,
                                  remove_repeats, routed, slices, span_pairs, squeeze,
                                  to_documents, unsqueeze)
@@ -70,7 +70,8 @@ def _cut(layout: Layout):
             used, number = np.unique(doc[rows_at], return_inverse=True)
             rows.append((part, _DATA, squeeze(
                 number.astype(np.int32), place[rows_at], size[rows_at].astype(np.int32),
-                content[gather(starts[rows_at], size[rows_at])], ids[used], keys[used])))
+                content[gather(starts[rows_at], size[rows_at])], ids[used], keys[used],
+                layout.shelf_of_value(value[rows_at]).astype(np.uint8))))
         yield routed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,37 +172,47 @@ def repeat_spans(content: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sma
 
 
 def _solve(layout: Layout):
+    def solve(found: list, shelf: int) -> list[tuple[int, bytes]]:
+        """Entries for the pieces on one shelf: strings on different shelves are never equal."""
+        at = [np.flatnonzero(f[6] == shelf) for f in found]
+        base = np.cumsum([0, *(len(f[4]) for f in found)])
+        doc = np.concatenate([f[0][k] + b for f, k, b in zip(found, at, base)])
+        if not len(doc):
+            return []
+        place = np.concatenate([f[1][k] for f, k in zip(found, at)])
+        size = np.concatenate([f[2][k] for f, k in zip(found, at)]).astype(np.int64)
+        content = np.concatenate([
+            f[3][gather((np.cumsum(f[2], dtype=np.int64) - f[2])[k], f[2][k].astype(np.int64))]
+            for f, k in zip(found, at)])
+        ids, keys = (np.concatenate([f[k] for f in found]) for k in (4, 5))
+        starts = np.cumsum(size) - size
+        same = substring_hashes(prefix_hashes(content), starts, starts + size)
+        order = np.lexsort((place, doc, ids[doc], same))
+        new = np.ones(len(order), bool)
+        new[1:] = same[order[1:]] != same[order[:-1]]
+        distinct = np.cumsum(new) - 1                 # piece of each occurrence in order
+        heads = order[new]
+        smallest = ids[doc[heads]]
+        owner = ids[doc[order]]
+        whole = owner > smallest[distinct]
+        spans = [(order[whole], np.zeros(int(whole.sum()), np.int64), size[order[whole]])]
+        piece, inside, long_ = repeat_spans(content, starts[heads], size[heads], smallest,
+                                            layout.window)
+        # occurrences in the piece's smallest document; those elsewhere are whole spans
+        rest = np.flatnonzero(~whole)
+        bounds = np.searchsorted(distinct[rest], np.arange(len(heads) + 1))
+        times = np.diff(bounds)[piece]
+        spans.append((order[rest[gather(bounds[piece], times)]], np.repeat(inside, times),
+                      np.repeat(long_, times)))
+        hit, inside, long_ = (np.concatenate(c) for c in zip(*spans))
+        return to_documents(layout, ids[doc[hit]], keys[doc[hit]], place[hit] + inside, long_) \
+            if len(hit) else []
+
     def run(group):
         data, out = reduced(group)
         found = [unsqueeze(d) for d in data]
-        if found:
-            base = np.cumsum([0, *(len(f[4]) for f in found)])
-            doc = np.concatenate([f[0] + b for f, b in zip(found, base)])
-            place, size, content = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
-            ids, keys = (np.concatenate([f[k] for f in found]) for k in (4, 5))
-            size = size.astype(np.int64)
-            starts = np.cumsum(size) - size
-            same = substring_hashes(prefix_hashes(content), starts, starts + size)
-            order = np.lexsort((place, doc, ids[doc], same))
-            new = np.ones(len(order), bool)
-            new[1:] = same[order[1:]] != same[order[:-1]]
-            distinct = np.cumsum(new) - 1                 # piece of each occurrence in order
-            heads = order[new]
-            smallest = ids[doc[heads]]
-            owner = ids[doc[order]]
-            whole = owner > smallest[distinct]
-            spans = [(order[whole], np.zeros(int(whole.sum()), np.int64), size[order[whole]])]
-            piece, inside, long_ = repeat_spans(content, starts[heads], size[heads], smallest,
-                                                layout.window)
-            # occurrences in the piece's smallest document; those elsewhere are whole spans
-            rest = np.flatnonzero(~whole)
-            bounds = np.searchsorted(distinct[rest], np.arange(len(heads) + 1))
-            times = np.diff(bounds)[piece]
-            spans.append((order[rest[gather(bounds[piece], times)]], np.repeat(inside, times),
-                          np.repeat(long_, times)))
-            at, inside, long_ = (np.concatenate(c) for c in zip(*spans))
-            if len(at):
-                out += to_documents(layout, ids[doc[at]], keys[doc[at]], place[at] + inside, long_)
+        for shelf in range(SHELVES if found else 0):
+            out += solve(found, shelf)
         return entries(out)
 
     return run
