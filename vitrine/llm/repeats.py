@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import bounded_batches, chunks, release_memory
+from vitrine.llm.arrays import bounded_batches, chunks, mix, release_memory
 
 PART_BYTES = 8 << 20         # text per reducer: its pieces and their windows fit a small worker
 SHELVES = 16
@@ -90,7 +90,8 @@ class Layout:
     bits: int                # of an anchor's hash
 
     def value(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        """An anchor's value, spread evenly: the hashes themselves are small, being minima."""
+        return (mix(hashes * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def part_of_value(self, values: np.ndarray) -> np.ndarray:
         return ((values >> (self.bits - 31)) * self.parts) >> 31
