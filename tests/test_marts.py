@@ -35,7 +35,7 @@ def test_calendar_parts_and_revenue(spark):
 def test_orphan_sale_is_kept_with_null_dimensions(spark):
     r = raw(spark, vendas=[sale(1, "2024-01-01 10:00:00", cliente="ghost", produto="nothing")],
             clientes=[customer("c1")], produtos=[product("p1")])
-    rows = mt.sales_mart(r).collect()
+    rows = mt.sales_mart(r, True).collect()
     assert len(rows) == 1
     row = rows[0]
     assert row.id_cliente == "ghost" and row.nome_cliente is None and row.estado is None
@@ -51,7 +51,7 @@ def test_daily_context(spark):
         sale(4, "2024-01-02 00:30:00", cliente="b", price="5.00"),
     ], clientes=[customer("a"), customer("b")], produtos=[product("p1")])
     got = {row.id_venda: (row.total_vendas, row.total_clientes_unicos, row.ticket_medio)
-           for row in mt.sales_mart(r).collect()}
+           for row in mt.sales_mart(r, True).collect()}
     assert got == {"1": (3, 2, 21.0), "2": (3, 2, 21.0), "3": (3, 2, 21.0), "4": (1, 1, 5.0)}
 
 
@@ -170,7 +170,7 @@ def test_product_without_sales_and_without_competitor(spark):
 
 def test_empty_sales(spark):
     r = raw(spark, clientes=[customer("a")], produtos=[product("p")])
-    assert mt.sales_mart(r).count() == 0
+    assert mt.sales_mart(r, True).count() == 0
     assert [x.segmento_cliente for x in mt.customer_mart(r).collect()] == ["REGULAR"]
     assert mt.pricing_mart(r).count() == 0
     assert mt.customer_stats(r).where(F.col("id_cliente").isNotNull()).count() == 0

@@ -1,35 +1,11 @@
-"""Small operators: checked broadcast, scan spreading, materialize."""
+"""Materialized intermediate results."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators.broadcast import broadcast_if_bounded
-from vitrine.operators.materialize import materialize
+from vitrine.operators.materialize import discard, discard_all, materialize, materialized_paths
 from vitrine.session import checkpoint_dir
-from vitrine.sources.spread import spread_small_scan
-
-
-def _analyzed(df) -> str:
-    return df._jdf.queryExecution().analyzed().toString()
-
-
-def test_broadcast_only_within_the_bound(spark):
-    small = spark.range(0, 10).withColumn("v", F.col("id") * 2)
-    assert "broadcast" in _analyzed(broadcast_if_bounded(small, max_rows=10)).lower()
-    assert "broadcast" not in _analyzed(broadcast_if_bounded(small, max_rows=9)).lower()
-    assert sorted(r.v for r in broadcast_if_bounded(small, max_rows=9).collect()) == list(range(0, 20, 2))
-
-
-def test_spread_is_a_no_op_for_split_scans(spark, scratch):
-    want = spark.sparkContext.defaultParallelism
-    spark.range(0, 1000).repartition(want * 2).write.parquet(f"{scratch}/many")
-    many = spark.read.parquet(f"{scratch}/many")
-    assert spread_small_scan(many) is many
-    spark.range(0, 1000).coalesce(1).write.parquet(f"{scratch}/one")
-    one = spread_small_scan(spark.read.parquet(f"{scratch}/one"))
-    assert one.rdd.getNumPartitions() == want
-    assert one.count() == 1000
 
 
 def test_materialize_writes_under_the_checkpoint_folder(spark):
@@ -38,3 +14,19 @@ def test_materialize_writes_under_the_checkpoint_folder(spark):
     assert first == sorted((r.id, r.r) for r in df.collect())          # fixed once written
     from urllib.parse import urlparse
     assert urlparse(df.inputFiles()[0]).path.startswith(urlparse(checkpoint_dir(spark)).path)
+
+
+def test_discard_deletes_the_folders(spark):
+    import os
+    from urllib.parse import urlparse
+
+    before = materialized_paths()
+    one, two = (materialize(spark.range(3), "gone") for _ in range(2))
+    assert materialized_paths() - before == {one.materialized_path, two.materialized_path}
+    discard(one)
+    discard(one)                                   # a second time is no error
+    discard(spark.range(1))                        # nor is a frame that was not written
+    assert not os.path.exists(urlparse(one.materialized_path).path) and two.count() == 3
+    assert discard_all(spark, materialized_paths() - before) == 1
+    assert not os.path.exists(urlparse(two.materialized_path).path)
+    assert materialized_paths() == before

@@ -6,7 +6,10 @@ import pytest
 
 from tests.fixtures import customer, product, raw, sale
 from vitrine.plans.marts import build_marts
-from vitrine.plans.readonly import ReadOnlyViolation, mart_catalog, register_marts, sql_readonly
+from vitrine.plans.readonly import (
+    ReadOnlyViolation, local_names, mart_catalog, named_marts, register_marts, sql_readonly,
+)
+from vitrine.sources.warehouse import MartSource
 
 
 @pytest.fixture
@@ -27,8 +30,14 @@ ALLOWED = [
     "SELECT 1 AS x -- trailing comment",
     "SELECT 1 AS x;",
     "SELECT canal_venda, COUNT(*) AS n FROM vendas_temporais GROUP BY canal_venda",
+    "SELECT * FROM range(3) r JOIN (VALUES (1), (2)) AS v(x) ON r.id = v.x",
+    "SELECT * FROM vendas_temporais v WHERE EXISTS "
+    "(SELECT 1 FROM clientes_segmentacao c WHERE c.id_cliente = v.id_cliente)",
+    "SELECT (SELECT MAX(receita_total) FROM clientes_segmentacao) AS x",
+    "SELECT segmento_cliente, RANK() OVER (ORDER BY receita_total) AS r FROM clientes_segmentacao",
 ]
 
+REFLECT = "reflect('java.lang.System', 'setProperty', 'vitrine.guard', 'set')"
 REFUSED = [
     "INSERT INTO guard_target VALUES (2)",
     "DROP VIEW guard_target",
@@ -40,6 +49,20 @@ REFUSED = [
     "SET spark.sql.ansi.enabled=false",
     "CACHE TABLE guard_target",
     "WITH t AS (SELECT 1) DELETE FROM guard_target",
+    # queries by grammar, but not over the marts alone
+    f"SELECT {REFLECT}",
+    f"SELECT java_method('java.lang.System', 'setProperty', 'vitrine.guard', 'set')",
+    f"SELECT try_reflect('java.lang.System', 'setProperty', 'vitrine.guard', 'set')",
+    f"WITH t AS (SELECT {REFLECT} AS x) SELECT * FROM t",
+    f"SELECT (SELECT {REFLECT} FROM vendas_temporais LIMIT 1) AS x",
+    f"SELECT 1 FROM vendas_temporais WHERE id_venda IN (SELECT {REFLECT})",
+    f"SELECT 1 FROM vendas_temporais ORDER BY {REFLECT}",
+    f"SELECT 1 FROM vendas_temporais v WHERE EXISTS (SELECT 1 WHERE {REFLECT} = v.id_venda)",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+    "SELECT 1 WHERE EXISTS (SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`)",
+    "SELECT * FROM guard_target",
+    "SELECT * FROM vendas_temporais WHERE EXISTS (SELECT 1 FROM guard_target)",
+    "SELECT 1 UNION ALL SELECT x FROM guard_target",
 ]
 
 
@@ -54,6 +77,7 @@ def test_other_statements_are_refused_without_effect(spark, registered, text):
         sql_readonly(spark, text)
     assert spark.table("guard_target").collect()[0].x == 1
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert spark._jvm.System.getProperty("vitrine.guard") is None
 
 
 def test_sql_groups_keep_null_keys(spark, registered):
@@ -62,6 +86,68 @@ def test_sql_groups_keep_null_keys(spark, registered):
     assert {r.canal_venda for r in rows} == {"site", None}
 
 
+# the shapes of text that the report and the pages send, with the warehouse's names
+QUALIFIED = [
+    "SELECT data_venda, SUM(receita_total) AS receita FROM public_gold_sales.vendas_temporais "
+    "GROUP BY data_venda ORDER BY data_venda DESC LIMIT 7",
+    "SELECT segmento_cliente, COUNT(*) AS n FROM public_gold_cs.clientes_segmentacao GROUP BY 1",
+    "SELECT classificacao_preco, COUNT(*) AS n FROM `public_gold_pricing`.`precos_competitividade` "
+    "GROUP BY classificacao_preco",
+    "SELECT nome_produto FROM PUBLIC_GOLD_PRICING . precos_competitividade p WHERE "
+    "p.classificacao_preco = 'public_gold_sales.vendas_temporais'",
+]
+
+
+@pytest.mark.parametrize("text", QUALIFIED)
+def test_qualified_names_over_local_marts(spark, registered, text):
+    assert MartSource(spark, marts=registered).query_readonly(text).collect() is not None
+
+
+def test_names_in_quotes_and_comments_stay():
+    text = "SELECT 'public_gold_cs.clientes_segmentacao' AS x -- public_gold_cs.clientes_segmentacao\n" \
+           "FROM public_gold_cs.clientes_segmentacao"
+    assert local_names(text) == text.replace("FROM public_gold_cs.", "FROM ")
+    assert local_names("SELECT 1 FROM my_public_gold_cs.clientes_segmentacao") == \
+        "SELECT 1 FROM my_public_gold_cs.clientes_segmentacao"
+
+
+def _jobs_of(spark, action):
+    group = f"jobs-{id(action)}"
+    spark.sparkContext.setJobGroup(group, "test")
+    action()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "test")
+    return jobs
+
+
+def test_only_named_marts_are_built(spark, registered):
+    fresh = build_marts(registered.raw)
+    MartSource(spark, marts=fresh).query_readonly("SELECT COUNT(*) AS n FROM vendas_temporais")
+    assert "sales" in vars(fresh) and "customers" not in vars(fresh) and "pricing" not in vars(fresh)
+    assert named_marts(spark, "WITH t AS (SELECT * FROM public_gold_cs.clientes_segmentacao) SELECT "
+                              "(SELECT 1 FROM precos_competitividade) FROM t, other") == {
+        "clientes_segmentacao", "precos_competitividade"}
+
+
+def test_catalog_starts_no_job(spark, registered):
+    for context in (False, True):
+        marts = build_marts(registered.raw, context)
+        assert _jobs_of(spark, lambda m=marts: mart_catalog(spark, m)) == 0
+        fields = [(f.name, f.dataType.simpleString()) for f in marts.sales.schema.fields]
+        listed = [(r.coluna, r.tipo) for r in mart_catalog(spark, marts)
+                  .where("mart = 'vendas_temporais'").orderBy("posicao").collect()]
+        assert sorted(listed) == sorted(fields)
+
+
+@pytest.mark.parametrize("text", [
+    "SELECTX 1", "WITHDRAW 1", "SELECT 1) x; DROP TABLE t; SELECT * FROM (SELECT 1", "SELECT 1; SELECT 2",
+    "WITH t AS (SELECT 1) DELETE FROM u"])
+def test_jdbc_text_is_parsed_before_it_is_sent(spark, text):
+    source = MartSource(spark, jdbc_url="jdbc:none:never-connected")
+    with pytest.raises(ReadOnlyViolation):
+        source.query_readonly(text)
+
+
 def test_mart_catalog(spark, registered):
     cat = {(r.mart, r.coluna): r.tipo for r in mart_catalog(spark, registered).collect()}
     assert cat[("vendas_temporais", "receita_total")] == "decimal(38,2)"

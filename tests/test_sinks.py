@@ -9,7 +9,8 @@ import pytest
 from tests.fixtures import customer, obs, product, raw, sale
 from vitrine.plans.marts import build_marts
 from vitrine.sources.tables import (
-    ContractViolation, create_gold_tables, full_refresh, full_refresh_jdbc, load_marts, table_ddl,
+    ContractViolation, create_gold_tables, full_refresh, full_refresh_jdbc, input_key_violations,
+    load_marts, table_ddl,
 )
 from vitrine.sources.warehouse import MartSource
 
@@ -30,7 +31,7 @@ def _marts(spark, clientes=None, produtos=None, precos=None, vendas=None):
 
 @pytest.fixture
 def tables(spark):
-    create_gold_tables(spark)
+    create_gold_tables(spark, replace=True)
     yield
     for t in (SALES, CUSTOMERS, PRICING):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
@@ -55,7 +56,7 @@ def test_load_counts_and_rerun_is_idempotent(spark, tables):
     assert types["ano_venda"] == "smallint"
     assert types["ticket_medio"] == "decimal(10,2)"
     row = spark.table(PRICING).where("id_produto = 'p2'").first()
-    assert row.classificacao_preco == "ABAIXO_DA_MEDIA" or row.classificacao_preco == "MAIS_BARATO_QUE_TODOS"
+    assert row.classificacao_preco == "MAIS_BARATO_QUE_TODOS"      # 11.00 against 12.00 alone
     assert row.preco_medio_concorrentes == D("12.00")
     parts = {(r.ano_venda, r.mes_venda) for r in spark.table(SALES).select("ano_venda", "mes_venda").collect()}
     assert parts == {(2024, 1), (2024, 2)}
@@ -106,25 +107,86 @@ def test_price_over_decimal_10_2_is_refused(spark, tables):
     load_marts(_marts(spark))
     huge = _marts(spark, vendas=[sale(1, "2024-01-07 10:00:00", cliente="a", qty=2,
                                       price="99999999.99")])
-    _refused(spark, SALES, huge.sales)                          # revenue over DECIMAL(12,2)
+    from vitrine.plans.marts import sales_mart
+    _refused(spark, SALES, sales_mart(huge.raw, True))                          # revenue over DECIMAL(12,2)
+
+
+def test_refresh_replaces_every_month_under_dynamic_overwrite(spark, tables):
+    load_marts(_marts(spark))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        only = _marts(spark, vendas=[sale(9, "1995-03-01 10:00:00", cliente="a")])
+        assert load_marts(only)[SALES] == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [(r.id_venda, r.ano_venda) for r in spark.table(SALES).collect()] == [("9", 1995)]
+
+
+def test_a_month_is_few_files(spark, tables):
+    vendas = [sale(k, f"2024-{1 + k % 6:02d}-07 10:00:00", cliente="a") for k in range(600)]
+    marts = _marts(spark, vendas=vendas)
+    spread = marts.sales.repartition(40)
+    from vitrine.plans.marts import sales_mart
+    full_refresh(sales_mart(marts.raw, True).repartition(40), SALES)
+    files = spark.table(SALES).inputFiles()
+    assert spark.table(SALES).count() == 600 and len(files) <= 2 * 6
+    assert spread.rdd.getNumPartitions() == 40
+
+
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
 def test_jdbc_round_trip_on_embedded_derby(spark):
     url = "jdbc:derby:memory:vitrine_test;create=true"
     marts = _marts(spark)
-    props = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    for _ in range(2):                                          # second run truncates
-        assert full_refresh_jdbc(marts.customers, "clientes", url, props, contract=CUSTOMERS) == 3
-    src = MartSource(spark, jdbc_url=url, jdbc_options={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    for _ in range(2):                                          # the second run replaces
+        assert full_refresh_jdbc(marts.customers, "clientes", url, DERBY, contract=CUSTOMERS) == 3
+    src = MartSource(spark, jdbc_url=url, jdbc_options=DERBY)
     assert src.mode == "jdbc"
     back = src.query("SELECT COUNT(*) AS n FROM clientes").first()[0]
     assert back == 3
     assert src.query_readonly("SELECT COUNT(*) AS n FROM clientes").first()[0] == 3
+    for text in ("SELECT 1 FROM clientes; DROP TABLE clientes",
+                 "SELECT 1 AS x FROM clientes) y; DROP TABLE clientes; SELECT * FROM (SELECT 1 AS x FROM clientes"):
+        with pytest.raises(ValueError):
+            src.query_readonly(text)
+    assert src.query("SELECT COUNT(*) AS n FROM clientes").first()[0] == 3
+    # every column of the contract is in the warehouse, and no staging table is left
+    assert {c.lower() for c in spark.read.format("jdbc").option("url", url).option("dbtable", "clientes")
+            .options(**DERBY).load().columns} >= {"data_cadastro", "ranking_receita"}
     with pytest.raises(Exception):
-        src.query_readonly("SELECT 1 FROM clientes; DROP TABLE clientes")
+        src.query("SELECT COUNT(*) AS n FROM clientes__staging").first()
+
+
+def test_refused_jdbc_load_keeps_the_old_rows(spark):
+    url = "jdbc:derby:memory:vitrine_refused;create=true"
+    full_refresh_jdbc(_marts(spark).customers, "clientes", url, DERBY, contract=CUSTOMERS)
+    src = MartSource(spark, jdbc_url=url, jdbc_options=DERBY)
+    dup = _marts(spark, clientes=[customer("a"), customer("a")])
+    with pytest.raises(ContractViolation, match="id_cliente"):
+        full_refresh_jdbc(dup.customers, "clientes", url, DERBY, contract=CUSTOMERS)
+    long_state = _marts(spark, clientes=[customer("z", estado="SPX")])
+    with pytest.raises(ContractViolation):                      # refused by the warehouse's CHAR(2)
+        full_refresh_jdbc(long_state.customers, "clientes", url, DERBY, contract=CUSTOMERS)
     assert src.query("SELECT COUNT(*) AS n FROM clientes").first()[0] == 3
 
 
+def test_input_keys(spark):
+    good = input_key_violations(_marts(spark).raw).collect()
+    bad = _marts(spark, clientes=[customer("a"), customer("a"), customer(None)],
+                 produtos=[product("p1"), product("p1")])
+    assert good == []
+    assert {(r.tabela, r.chave, r.ocorrencias) for r in input_key_violations(bad.raw).collect()} == {
+        ("clientes", "a", 2), ("clientes", None, 1), ("produtos", "p1", 2)}
+
+
+def test_register_raw(spark):
+    from vitrine.sources.raw import register_raw
+    assert register_raw(_marts(spark).raw) == ["vendas_raw", "clientes_raw", "produtos_raw",
+                                               "preco_competidores_raw"]
+    assert spark.sql("SELECT COUNT(*) AS n FROM vendas_raw").first().n == 2
+
+
 def test_local_source(spark):
     src = MartSource(spark, marts=_marts(spark))
     assert src.mode == "local"

@@ -2,8 +2,9 @@
 
 Spark rejects DISTINCT in window functions, and a window partitioned by day
 would send a whole day to one task. One partially aggregated ``groupBy`` by day
-gives all three values; it has one row per calendar day, is measured, and is
-joined back null-safely (a sale without a date still gets its group's values).
+gives all three values; it is written once, so that Spark knows its size when it
+chooses the join, and joined back null-safely (a sale without a date still gets
+its group's values).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.broadcast import broadcast_if_bounded
+from vitrine.operators.materialize import materialize
 
 
 def daily_context(sales: DataFrame, day: str = "data_venda", customer: str = "id_cliente",
@@ -24,11 +25,9 @@ def daily_context(sales: DataFrame, day: str = "data_venda", customer: str = "id
     )
 
 
-def attach_daily_context(sales: DataFrame, daily: DataFrame, day: str = "data_venda",
-                         max_broadcast_rows: int | None = None) -> DataFrame:
+def attach_daily_context(sales: DataFrame, daily: DataFrame, day: str = "data_venda") -> DataFrame:
     """Left-join ``daily`` onto every sale by ``day`` (NULL-safe)."""
-    kwargs = {} if max_broadcast_rows is None else {"max_rows": max_broadcast_rows}
-    side = broadcast_if_bounded(daily.withColumnRenamed(day, "_day"), **kwargs)
+    side = materialize(daily.withColumnRenamed(day, "_day"), "daily")
     return (
         sales.join(side, sales[day].eqNullSafe(side["_day"]), "left")
         .drop("_day")

@@ -20,8 +20,8 @@ from vitrine.functions.formatting import (
 from vitrine.plans.marts import mean
 from vitrine.plans.reports import AVERAGE_DIGITS, exact_mean_2dp
 from vitrine.schemas import (
-    CLASS_CHEAPER_THAN_ALL, CLASS_MORE_EXPENSIVE_THAN_ALL, DASHBOARD_TOP_CATEGORIES,
-    DASHBOARD_TOP_CUSTOMERS, MONEY, SEGMENT_VIP,
+    CLASS_CHEAPER_THAN_ALL, CLASS_MORE_EXPENSIVE_THAN_ALL, CUSTOMER_TABLE_NAMES,
+    DASHBOARD_TOP_CATEGORIES, DASHBOARD_TOP_CUSTOMERS, MONEY, PRICE_ALERT_NAMES, SEGMENT_VIP,
 )
 
 
@@ -145,7 +145,11 @@ def revenue_by_segment(customers: DataFrame) -> DataFrame:
 
 
 def top_customers(customers: DataFrame, n: int = DASHBOARD_TOP_CUSTOMERS) -> DataFrame:
-    """The ``n`` best-ranked customers present in the mart, shown by revenue."""
+    """The ``n`` best-ranked customers present in the mart, shown by revenue.
+
+    ``customers`` is a mart with ranks, or already the list that
+    ``Marts.top_customers(n)`` finds without ranking everyone.
+    """
     top = (customers.where(F.col("ranking_receita").isNotNull())
            .orderBy("ranking_receita").limit(n)
            .select("ranking_receita", "id_cliente", "nome_cliente", "receita_total"))
@@ -161,16 +165,10 @@ def customers_by_state(customers: DataFrame) -> DataFrame:
 def customer_table(customers: DataFrame, segment: str | None = None) -> DataFrame:
     """Detail table by rank, display names and Brazilian money format."""
     df = customers if segment is None else customers.where(F.col("segmento_cliente") == segment)
-    return df.orderBy(F.col("ranking_receita").asc_nulls_last(), F.col("id_cliente")).select(
-        F.col("ranking_receita").alias("Rank"),
-        F.col("nome_cliente").alias("Cliente"),
-        F.col("estado").alias("Estado"),
-        F.col("segmento_cliente").alias("Segmento"),
-        brl_or_dash(F.col("receita_total")).alias("Receita"),
-        F.col("total_compras").alias("Compras"),
-        brl_or_dash(F.col("ticket_medio")).alias("Ticket Médio"),
-        F.col("data_cadastro").alias("Cadastro"),
-    )
+    shown = {"receita_total": brl_or_dash, "ticket_medio": brl_or_dash}
+    return df.orderBy(F.col("ranking_receita").asc_nulls_last(), F.col("id_cliente")).select(*[
+        shown.get(column, lambda c: c)(F.col(column)).alias(name)
+        for column, name in CUSTOMER_TABLE_NAMES.items()])
 
 
 # ---------------------------------------------------------------- pricing page
@@ -222,17 +220,14 @@ def price_vs_volume(pricing: DataFrame) -> DataFrame:
 def price_alerts(pricing: DataFrame) -> DataFrame:
     """Products dearer than every competitor, largest gap first, formatted."""
     gap = F.col("diferenca_percentual_vs_media")
+    shown = {"nosso_preco": brl, "preco_maximo_concorrentes": brl, "receita_total": brl,
+             "diferenca_percentual_vs_media":
+                 lambda c: F.concat(F.lit("+"), decimal_pattern(c, "0.0"), F.lit("%"))}
     return (
         pricing.where(F.col("classificacao_preco") == CLASS_MORE_EXPENSIVE_THAN_ALL)
         .orderBy(gap.desc_nulls_last(), F.col("id_produto"))
-        .select(
-            F.col("nome_produto").alias("Produto"),
-            F.col("categoria").alias("Categoria"),
-            brl(F.col("nosso_preco")).alias("Nosso Preço"),
-            brl(F.col("preco_maximo_concorrentes")).alias("Máx. Concorrente"),
-            F.concat(F.lit("+"), decimal_pattern(gap, "0.0"), F.lit("%")).alias("Dif. %"),
-            brl(F.col("receita_total")).alias("Receita"),
-        )
+        .select(*[shown.get(column, lambda c: c)(F.col(column)).alias(name)
+                  for column, name in PRICE_ALERT_NAMES.items()])
     )
 
 
@@ -309,7 +304,14 @@ def customers_page_datasets(customers: DataFrame, segment: str | None = None) ->
 
 def pricing_page_datasets(pricing: DataFrame,
                           categories: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """Every dataset of the pricing page for one category choice."""
+    """Every dataset of the pricing page for one category choice.
+
+    The mart is written once to the checkpoint folder (one row per product) and all
+    six datasets read it there.
+    """
+    from vitrine.operators.materialize import materialize
+
+    pricing = materialize(pricing, "pricing-page")
     page = pricing_page(pricing, categories)
     return {
         "categories": price_categories(pricing),

@@ -29,8 +29,12 @@ from vitrine.schemas import (
 from vitrine.sources.raw import RawTables
 
 
+TOP_IN_ONE_TASK = 10_000      # longest list of best buyers that one task numbers
+
+
 def _revenue() -> Column:
-    return (F.col("quantidade") * F.col("preco_unitario")).cast(MONEY)
+    """Revenue of one sale in the product's own width; sums of it are cast to MONEY."""
+    return F.col("quantidade") * F.col("preco_unitario")
 
 
 def mean(col: str | Column) -> Column:
@@ -63,7 +67,7 @@ def sales_facts(raw: RawTables) -> DataFrame:
         F.dayofweek(ts).alias("dia_semana_num"),
         weekday_name(ts).alias("dia_semana_nome"),
         "canal_venda", "id_cliente", "id_produto", "quantidade", "preco_unitario",
-        _revenue().alias("receita_total"),
+        _revenue().cast(MONEY).alias("receita_total"),
     )
 
 
@@ -81,7 +85,7 @@ def sales_enriched(raw: RawTables, customers: bool = True, products: bool = True
     with unique dimension keys (the key contract) the rows and values are the
     same, and on a large cluster it saves a shuffle of every sale per join left
     out, which Catalyst cannot remove on its own because it cannot know the
-    keys are unique.
+    keys are unique. ``input_key_violations`` checks that contract.
     """
     df = sales_facts(raw)
     if customers:
@@ -99,7 +103,7 @@ def sales_daily(raw: RawTables) -> DataFrame:
     return daily_context(v)
 
 
-def sales_mart(raw: RawTables, with_daily_context: bool = True) -> DataFrame:
+def sales_mart(raw: RawTables, with_daily_context: bool = False) -> DataFrame:
     base = sales_enriched(raw)
     if not with_daily_context:
         return base
@@ -124,6 +128,19 @@ def segment(rank: Column, vip_max: int = VIP_MAX_RANK, top_max: int = TOP_TIER_M
             .otherwise(F.lit(SEGMENT_REGULAR)))
 
 
+def _rank_order() -> list[Column]:
+    return [F.col("receita_total").desc_nulls_last(), F.col("id_cliente").asc_nulls_last()]
+
+
+def _customer_columns(clientes: DataFrame, ranked: DataFrame, vip_max: int, top_max: int) -> DataFrame:
+    return clientes.join(ranked, "id_cliente", "left").select(
+        "id_cliente", "nome_cliente", "estado", "pais",
+        F.col("data_cadastro").cast("date").alias("data_cadastro"),
+        "receita_total", "total_compras", "ticket_medio", "ranking_receita",
+        segment(F.col("ranking_receita"), vip_max, top_max).alias("segmento_cliente"),
+    )
+
+
 def customer_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
                   top_max: int = TOP_TIER_MAX_RANK) -> DataFrame:
     """Customers with stats, revenue rank and segment.
@@ -133,17 +150,27 @@ def customer_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     order: revenue descending (NULL last), then customer id.
     """
     ranked = global_row_number(customer_stats(raw), _rank_order(), out="ranking_receita")
-    rank = F.col("ranking_receita")
-    return raw.clientes.join(ranked, "id_cliente", "left").select(
-        "id_cliente", "nome_cliente", "estado", "pais",
-        F.col("data_cadastro").cast("date").alias("data_cadastro"),
-        "receita_total", "total_compras", "ticket_medio", "ranking_receita",
-        segment(rank, vip_max, top_max).alias("segmento_cliente"),
-    )
+    return _customer_columns(raw.clientes, ranked, vip_max, top_max)
 
 
-def _rank_order() -> list[Column]:
-    return [F.col("receita_total").desc_nulls_last(), F.col("id_cliente").asc_nulls_last()]
+def customer_mart_columns(raw: RawTables) -> DataFrame:
+    """A frame with the columns of :func:`customer_mart` that is never evaluated: no job runs."""
+    unranked = customer_stats(raw).withColumn("ranking_receita", F.lit(None).cast("bigint"))
+    return _customer_columns(raw.clientes, unranked, VIP_MAX_RANK, TOP_TIER_MAX_RANK)
+
+
+def best_buyers(stats: DataFrame, n: int) -> DataFrame:
+    """``id_cliente, _rank`` of the ``n`` first buyers in rank order.
+
+    A top-k: each task keeps ``n`` rows. Up to ``TOP_IN_ONE_TASK`` rows are numbered
+    in one task and broadcast; a longer list is numbered by range and joined as it
+    comes.
+    """
+    top = stats.orderBy(*_rank_order()).limit(n).select("id_cliente", "receita_total")
+    if n <= TOP_IN_ONE_TASK:
+        numbered = top.withColumn("_rank", F.row_number().over(Window.orderBy(*_rank_order())))
+        return F.broadcast(numbered.select("id_cliente", "_rank"))
+    return global_row_number(top, _rank_order(), out="_rank").select("id_cliente", "_rank")
 
 
 def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
@@ -151,20 +178,16 @@ def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     """The customer mart without ``ranking_receita``, for datasets that need
     only the segment.
 
-    A segment depends only on whether a customer is among the ``top_max`` best
-    ranks, so the ranks are taken from a top-k (each task keeps ``top_max``
-    rows, no global sort) and the at most ``top_max`` ranked ids are broadcast.
-    The per-customer stats feed both the top-k and the join; they are written
+    A segment depends only on whether a customer is among the best ranks up to the
+    larger threshold, so the ranks are taken from a top-k (no global sort). The
+    per-customer stats feed both the top-k and the join; they are written
     once to the checkpoint folder (customer-sized) so the sales are read once.
     Segments equal those of :func:`customer_mart`.
     """
     stats = materialize(customer_stats(raw), "customer-stats")
-    top = (stats.orderBy(*_rank_order()).limit(top_max).select("id_cliente", "receita_total")
-           .withColumn("_rank", F.row_number().over(Window.orderBy(*_rank_order())))
-           .select("id_cliente", "_rank"))
     return (
         raw.clientes.join(stats, "id_cliente", "left")
-        .join(F.broadcast(top), "id_cliente", "left")
+        .join(best_buyers(stats, max(vip_max, top_max)), "id_cliente", "left")
         .select(
             "id_cliente", "nome_cliente", "estado", "pais",
             F.col("data_cadastro").cast("date").alias("data_cadastro"),
@@ -174,6 +197,37 @@ def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     )
 
 
+def top_customer_ranks(raw: RawTables, n: int) -> DataFrame:
+    """``ranking_receita, id_cliente, nome_cliente, receita_total`` of the ``n`` best-ranked
+    buyers that are in the customer table, without ranking every buyer.
+
+    The ``n`` rows are a top-k over the known buyers; a rank is one more than the
+    number of buyers, known or not, that come before in rank order, counted for all
+    ``n`` in one aggregate over the stats (``n`` counters, no sort). ``n`` is the
+    length of a displayed list.
+    """
+    stats = materialize(customer_stats(raw).select("id_cliente", "receita_total"), "customer-stats")
+    names = raw.clientes.select("id_cliente", "nome_cliente")
+    best = stats.join(names, "id_cliente").orderBy(*_rank_order()).limit(n).collect()
+    if not best:
+        return stats.join(names, "id_cliente").limit(0).select(
+            F.lit(0).cast("bigint").alias("ranking_receita"), "id_cliente", "nome_cliente", "receita_total")
+    revenue, key = F.col("receita_total"), F.col("id_cliente")
+
+    def before(row) -> Column:
+        """Whether a buyer comes before ``row`` (NULL revenue and NULL id last)."""
+        if row.receita_total is None:
+            return F.coalesce(revenue.isNotNull() | (key < row.id_cliente), F.lit(False))
+        return F.coalesce((revenue > row.receita_total)
+                          | ((revenue == row.receita_total) & (key < row.id_cliente)), F.lit(False))
+
+    counts = stats.agg(*[F.count_if(before(r)).alias(f"n{k}") for k, r in enumerate(best)]).first()
+    rows = [(counts[k] + 1, r.id_cliente, r.nome_cliente, r.receita_total) for k, r in enumerate(best)]
+    money = stats.schema["receita_total"].dataType.simpleString()
+    return raw.clientes.sparkSession.createDataFrame(
+        rows, f"ranking_receita bigint, id_cliente string, nome_cliente string, receita_total {money}")
+
+
 # -------------------------------------------------------------- pricing mart
 def latest_competitor_prices(raw: RawTables) -> DataFrame:
     """Newest observation per (product, competitor); ties broken by
@@ -248,7 +302,7 @@ class Marts:
     marts already loaded as tables, read the tables instead.
     """
 
-    def __init__(self, raw: RawTables, with_daily_context: bool = True):
+    def __init__(self, raw: RawTables, with_daily_context: bool = False):
         self.raw = raw
         self.with_daily_context = with_daily_context
         self._persisted: list[DataFrame] = []
@@ -305,10 +359,15 @@ class Marts:
         """Customers with segment but without the global rank (no global sort)."""
         return customer_segment_mart(self.raw)
 
+    def top_customers(self, n: int) -> DataFrame:
+        """The best-ranked known buyers with their ranks (no global rank)."""
+        return top_customer_ranks(self.raw, n)
+
     @cached_property
     def pricing(self) -> DataFrame:
         return pricing_mart(self.raw)
 
 
-def build_marts(raw: RawTables, with_daily_context: bool = True) -> Marts:
+def build_marts(raw: RawTables, with_daily_context: bool = False) -> Marts:
+    """The marts; the per-day context of the sales is for loading the gold table."""
     return Marts(raw, with_daily_context)

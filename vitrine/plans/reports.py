@@ -3,7 +3,9 @@
 Each section is a small DataFrame (at most a week of days, one row per segment
 or price class, or a top-k). ``run_report`` evaluates each one on its own so a
 failing section becomes a one-row ``erro`` frame and the others still run;
-``write_report`` stores the sections under a dated partition.
+``write_report`` stores the sections under a dated partition, and the errors in a
+dataset of their own. Marts and a ``MartSource`` serve alike: the sections read the
+leanest form of each mart.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.operators.materialize import materialize
 from vitrine.plans.marts import Marts, mean
 from vitrine.schemas import (
     CLASS_MORE_EXPENSIVE_THAN_ALL, MONEY, REPORT_CRITICAL_PRODUCTS, REPORT_LAST_DAYS,
 )
 
+ERRORS = "erros"         # dataset of failed sections
 AVERAGE_DIGITS = 6       # averages of per-row averages are rounded to this many decimals
 
 
@@ -100,8 +104,8 @@ def critical_products(pricing: DataFrame, klass: str = CLASS_MORE_EXPENSIVE_THAN
 
 
 SECTIONS: dict[str, Callable[[Marts], DataFrame]] = {
-    "vendas": lambda m: sales_last_days(m.sales),
-    "clientes": lambda m: segments_summary(m.customers),
+    "vendas": lambda m: sales_last_days(m.sales_facts),
+    "clientes": lambda m: segments_summary(m.customer_segments),
     "pricing": lambda m: price_classes_summary(m.pricing),
     "criticos": lambda m: critical_products(m.pricing),
 }
@@ -118,9 +122,10 @@ def run_report(spark: SparkSession, marts: Marts,
     Spark reports most errors only when an action runs, so each section is
     planned and executed inside its own ``try``. The section results are
     bounded (see the section functions), so they are collected and handed back
-    as small frames; a failure yields ``DataFrame(erro=[message])``. The
-    pricing mart feeds two sections, so it is persisted for the run when the
-    default sections are used.
+    as small frames; a failure yields ``DataFrame(erro=[message])``. Sections that a
+    caller gives are written to the checkpoint folder instead, since nothing bounds
+    them. The pricing mart feeds two sections, so it is persisted for the run when
+    the default sections are used. ``marts`` is a ``Marts`` or a ``MartSource``.
     """
     out = {}
     shared = False
@@ -135,8 +140,8 @@ def run_report(spark: SparkSession, marts: Marts,
         for name, build in (sections or SECTIONS).items():
             try:
                 df = build(marts)
-                rows = df.collect()
-                out[name] = spark.createDataFrame(rows, df.schema)
+                out[name] = (spark.createDataFrame(df.collect(), df.schema) if sections is None
+                             else materialize(df, f"report-{name}"))
             except Exception as exc:  # noqa: BLE001 - isolation is the point
                 out[name] = error_frame(spark, exc)
     finally:
@@ -150,14 +155,20 @@ def write_report(sections: dict[str, DataFrame], base_path: str,
     """Write each section to ``{base_path}/{section}/data_relatorio=YYYY-MM-DD``.
 
     Dynamic partition overwrite replaces only that day's partition, so a rerun
-    on the same day is idempotent and earlier days are kept.
+    on the same day is idempotent and earlier days are kept. A section that failed
+    has other columns; its text goes to ``{base_path}/erros``, partitioned by day
+    and section.
     """
-    day = day or _dt.date.today()
+    day = (day or _dt.date.today()).isoformat()
     paths = {}
     for name, df in sections.items():
-        path = f"{base_path}/{name}"
-        (df.withColumn("data_relatorio", F.lit(day.isoformat()))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("data_relatorio").parquet(path))
+        failed = df.columns == ["erro"]
+        path = f"{base_path}/{ERRORS if failed else name}"
+        dated = df.withColumn("data_relatorio", F.lit(day))
+        keys = ["data_relatorio"]
+        if failed:
+            dated, keys = dated.withColumn("secao", F.lit(name)), ["data_relatorio", "secao"]
+        (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*keys).parquet(path))
         paths[name] = path
     return paths

@@ -83,6 +83,20 @@ RAW_SCHEMAS = {
     "preco_competidores": RAW_PRECOS,
 }
 
+# --------------------------------------------------------------------------
+# Fixed values, continued: display names of the dashboard's tables, and the gold
+# table contracts (column, SQL type, key) that the warehouse declares.
+# --------------------------------------------------------------------------
+CUSTOMER_TABLE_NAMES = {
+    "ranking_receita": "Rank", "nome_cliente": "Cliente", "estado": "Estado",
+    "segmento_cliente": "Segmento", "receita_total": "Receita", "total_compras": "Compras",
+    "ticket_medio": "Ticket Médio", "data_cadastro": "Cadastro",
+}
+PRICE_ALERT_NAMES = {
+    "nome_produto": "Produto", "categoria": "Categoria", "nosso_preco": "Nosso Preço",
+    "preco_maximo_concorrentes": "Máx. Concorrente", "diferenca_percentual_vs_media": "Dif. %",
+    "receita_total": "Receita",
+}
 # Gold table contracts: (column, SQL type) in table order, and the key.
 GOLD_TABLES = {
     f"{SALES_SCHEMA}.{SALES_MART}": {

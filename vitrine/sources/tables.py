@@ -56,20 +56,24 @@ def table_ddl(table: str, location: str | None = None, name: str | None = None)
     return ddl
 
 
-def create_gold_tables(spark: SparkSession, location: str | None = None) -> list[str]:
-    """Drop and create the three gold tables (and their schemas).
+def create_gold_tables(spark: SparkSession, location: str | None = None,
+                       replace: bool = False) -> list[str]:
+    """Create the gold tables (and their schemas) that are absent; returns their names.
 
-    ``location``, when given, is a base folder; each table lives in
-    ``{location}/{schema}/{table}``. Otherwise the warehouse folder is used.
+    ``replace`` drops existing ones first, with their rows. ``location``, when given,
+    is a base folder; each table lives in ``{location}/{schema}/{table}``. Otherwise
+    the warehouse folder is used.
     """
     created = []
     for table in GOLD_TABLES:
         schema = table.split(".")[0]
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        loc = f"{location}/{table.replace('.', '/')}" if location else None
-        spark.sql(table_ddl(table, loc))
-        created.append(table)
+        if replace:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if not spark.catalog.tableExists(table):
+            loc = f"{location}/{table.replace('.', '/')}" if location else None
+            spark.sql(table_ddl(table, loc))
+            created.append(table)
     return created
 
 
@@ -111,7 +115,10 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
     3. the target is overwritten from the staged files, which already satisfy
        the contract, and the staging table is dropped.
 
-    The row count is observed during the staging write, not by another pass.
+    Both writes replace the whole table, whatever the session says about partition
+    overwriting. Rows of a partitioned table are gathered by partition first, so a
+    month is a few files instead of one per task; adaptive execution splits large
+    months. The row count is observed during the staging write, not by another pass.
     """
     spark = df.sparkSession
     staging = f"{table}__staging"
@@ -121,8 +128,7 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
     spark.sql(table_ddl(table, loc, name=staging))
     try:
         obs = Observation(f"rows_{table.replace('.', '_')}")
-        conform(df, table).observe(obs, F.count(F.lit(1)).alias("n")).write.insertInto(
-            staging, overwrite=True)
+        _replace_rows(conform(df, table).observe(obs, F.count(F.lit(1)).alias("n")), table, staging)
         n = int(obs.get["n"])
         if check_key:
             key = GOLD_TABLES[table]["key"]
@@ -131,7 +137,7 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
                 raise ContractViolation(
                     f"{table}: key {key} is NULL or repeated, e.g. "
                     + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
-        spark.table(staging).write.insertInto(table, overwrite=True)
+        _replace_rows(spark.table(staging), table, table)
         spark.sql(f"REFRESH TABLE {table}")
         return n
     except ContractViolation:
@@ -142,33 +148,125 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
 
 
+def _replace_rows(df: DataFrame, contract: str, target: str) -> None:
+    keys = GOLD_TABLES[contract]["partitioned_by"]
+    if keys:
+        df = df.hint("rebalance", *keys)
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    conf.set(mode, "static")                 # insertInto heeds the session's setting only
+    try:
+        df.write.insertInto(target, overwrite=True)
+    finally:
+        conf.set(mode, before)
+
+
 def load_marts(marts, check_key: bool = True) -> dict[str, int]:
-    """Full refresh of the three gold tables from ``marts``; rows per table."""
+    """Full refresh of the three gold tables from ``marts``; rows per table.
+
+    The sales table holds the per-day context, which is added here if ``marts``
+    leave it out.
+    """
+    from vitrine.plans.marts import sales_mart
     from vitrine.schemas import CUSTOMERS_MART, CUSTOMERS_SCHEMA, PRICING_MART, PRICING_SCHEMA
     from vitrine.schemas import SALES_MART, SALES_SCHEMA
 
     plan = {
-        f"{SALES_SCHEMA}.{SALES_MART}": marts.sales,
+        f"{SALES_SCHEMA}.{SALES_MART}":
+            marts.sales if marts.with_daily_context else sales_mart(marts.raw, True),
         f"{CUSTOMERS_SCHEMA}.{CUSTOMERS_MART}": marts.customers,
         f"{PRICING_SCHEMA}.{PRICING_MART}": marts.pricing,
     }
     return {table: full_refresh(df, table, check_key) for table, df in plan.items()}
 
 
+def input_key_violations(raw) -> DataFrame:
+    """Repeated or NULL keys of the customer and product tables (see ``key_violations``).
+
+    The lean forms of the marts rely on them being unique.
+    """
+    return key_violations({"clientes": (raw.clientes, "id_cliente"),
+                           "produtos": (raw.produtos, "id_produto")})
+
+
+def warehouse_ddl(table: str, name: str | None = None, text_type: str = "VARCHAR(255)") -> str:
+    """``CREATE TABLE`` text for a warehouse, with every column of the contract and its key."""
+    spec = GOLD_TABLES[table]
+    cols = [f"{col} {text_type if typ == 'STRING' else 'INTEGER' if typ == 'INT' else typ}"
+            + (" NOT NULL" if col == spec["key"] else "") for col, typ in spec["columns"]]
+    return f"CREATE TABLE {name or table} (\n  " + ",\n  ".join(
+        [*cols, f"PRIMARY KEY ({spec['key']})"]) + "\n)"
+
+
 def full_refresh_jdbc(df: DataFrame, table: str, url: str, properties: dict | None = None,
                       batch_size: int = 500, contract: str | None = None) -> int:
-    """Replace the rows of a warehouse table over JDBC (truncate, then insert).
-
-    ``truncate`` keeps the warehouse's own table definition (types, key);
-    rows go in batches of ``batch_size`` per executor connection. Each task
-    commits its own partition, so readers may see a partial table while the
-    load runs. ``contract`` names the gold table whose columns and types apply
-    (default: ``table``).
+    """Replace the rows of a warehouse table over JDBC; returns the rows written.
+
+    The rows are computed once (written to the checkpoint folder), their key is
+    checked, and they go to ``{table}__staging`` in batches of ``batch_size`` per
+    executor connection. Only then one transaction on the driver's connection
+    deletes the old rows and inserts the staged ones: readers see the old table or
+    the new one, and a refused row leaves the old one. A table that does not exist
+    is created from the contract. ``contract`` names the gold table whose columns and
+    types apply (default: ``table``).
     """
-    obs = Observation(f"jdbc_rows_{table.replace('.', '_')}")
-    (conform(df, contract or table).observe(obs, F.count(F.lit(1)).alias("n"))
-     .write.format("jdbc").mode("overwrite")
-     .option("url", url).option("dbtable", table)
-     .option("truncate", "true").option("batchsize", str(batch_size))
-     .options(**(properties or {})).save())
-    return int(obs.get["n"])
+    from vitrine.operators.materialize import discard, materialize
+
+    name = contract or table
+    rows = materialize(conform(df, name), "warehouse")
+    staging, key = f"{table}__staging", GOLD_TABLES[name]["key"]
+    try:
+        bad = key_violations({table: (rows, key)}).limit(5).collect()
+        if bad:
+            raise ContractViolation(f"{table}: key {key} is NULL or repeated, e.g. "
+                                    + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
+        count = rows.count()
+        (rows.write.format("jdbc").mode("overwrite").option("url", url).option("dbtable", staging)
+         .option("batchsize", str(batch_size)).options(**(properties or {})).save())
+        # Spark quotes the staging table's names, so the warehouse keeps their case
+        columns = ", ".join(rows.columns)
+        staged = ", ".join(f'"{c}"' for c in rows.columns)
+        _in_transaction(df.sparkSession, url, properties or {}, table, warehouse_ddl(name, table), [
+            f"DELETE FROM {table}",
+            f"INSERT INTO {table} ({columns}) SELECT {staged} FROM {staging}",
+            f"DROP TABLE {staging}"])
+        return count
+    except ContractViolation:
+        raise
+    except Exception as exc:
+        raise ContractViolation(f"{table}: load refused: {exc}") from exc
+    finally:
+        discard(rows)
+
+
+def _in_transaction(spark: SparkSession, url: str, properties: dict, table: str, ddl: str,
+                    statements: list[str]) -> None:
+    """Run the statements on one connection, all or none; create ``table`` first if absent."""
+    jvm = spark._jvm
+    if "driver" in properties:
+        jvm.java.lang.Class.forName(properties["driver"], True,
+                                    jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    settings = jvm.java.util.Properties()
+    for k, v in properties.items():
+        settings.setProperty(k, str(v))
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        schema, _, plain = table.rpartition(".")
+        found = False
+        for case in (str, str.upper, str.lower):
+            names = connection.getMetaData().getTables(None, case(schema) or None, case(plain), None)
+            found = found or names.next()
+            names.close()
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        try:
+            for text in [*([] if found else [ddl]), *statements]:
+                statement.executeUpdate(text)
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            statement.close()
+    finally:
+        connection.close()

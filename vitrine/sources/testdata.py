@@ -1,10 +1,10 @@
 """Map the driver's TPC-H-like tables onto the four raw retail relations.
 
-The rules (see FIXTURES.md §2) are deterministic column expressions plus a few
-key-based exclusions. The exclusions are part of the data model, not sampling:
-the driver tables have no orphan sale, no customer without sales and no product
-without sales or competitor price, and the marts have a NULL branch for each.
-Every remaining row of the source tables flows through.
+The rules (see FIXTURES.md §2) are deterministic column expressions, and every row
+of the source tables becomes a row. The driver tables have no orphan sale, no
+customer without sales and no product without sales or competitor price, and the
+marts have a NULL branch for each; so some keys are written differently on one side
+of a relation, which leaves the row in place and its key without a match.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from pyspark.sql import types as T
 
 from vitrine.schemas import PRICE
 from vitrine.sources.raw import RawTables
-from vitrine.sources.spread import spread_small_scan
-
-# Fixed values of the mapping (FIXTURES.md §2.1): key residues that are left
-# out so that every NULL branch of the marts is reached, and constants.
-SALE_CUSTOMER_GAP = (50, 7)      # sales of customers with o_custkey % 50 = 7 are dropped
-SALE_PRODUCT_GAP = (25, 4)       # sales of parts with l_partkey % 25 = 4 are dropped
-CUSTOMER_GAP = (100, 13)         # customers with c_custkey % 100 = 13 are missing
-PRODUCT_GAP = (100, 17)          # products with p_partkey % 100 = 17 are missing
-PRICE_GAP = (20, 3)              # no competitor price for l_partkey % 20 = 3
+
+# Fixed values of the mapping (FIXTURES.md §2.1): the keys with this remainder are
+# written with a prefix, so that they have no match on the other side.
+SALE_CUSTOMER_UNKNOWN = (50, 7)    # sales of customers with o_custkey % 50 = 7
+SALE_PRODUCT_UNKNOWN = (25, 4)     # sales of parts with l_partkey % 25 = 4
+CUSTOMER_UNSEEN = (100, 13)        # customers with c_custkey % 100 = 13
+PRODUCT_UNSEEN = (100, 17)         # products with p_partkey % 100 = 17
+PRICE_UNKNOWN = (20, 3)            # price observations of l_partkey % 20 = 3
+UNKNOWN_PREFIX = "X"               # in sales and price observations
+UNSEEN_PREFIX = "N"                # in customers and products
 COUNTRY = "Brasil"
 SIGNUP_EPOCH = "2020-01-01"
 COMPETITOR_PREFIX = "Concorrente_"
@@ -43,8 +44,10 @@ DRIVER_TYPES = {
 }
 
 
-def _keep(key: Column, gap: tuple[int, int]) -> Column:
-    return (key % gap[0]) != gap[1]
+def _key(key: Column, apart: tuple[int, int], prefix: str) -> Column:
+    """The key as text, with ``prefix`` where its remainder sets it apart."""
+    text = key.cast("string")
+    return F.when(key % apart[0] == apart[1], F.concat(F.lit(prefix), text)).otherwise(text)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -58,16 +61,14 @@ def map_vendas(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     hour = ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 5) % 24).cast("int")
     return (
         li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
-        .where(_keep(F.col("o_custkey"), SALE_CUSTOMER_GAP)
-               & _keep(F.col("l_partkey"), SALE_PRODUCT_GAP))
         .select(
             F.concat_ws("-", F.col("l_orderkey").cast("string"),
                         F.col("l_linenumber").cast("string")).alias("id_venda"),
             (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), hour, F.lit(0), F.lit(0)))
             .alias("data_venda"),
             F.col("o_orderpriority").alias("canal_venda"),
-            F.col("o_custkey").cast("string").alias("id_cliente"),
-            F.col("l_partkey").cast("string").alias("id_produto"),
+            _key(F.col("o_custkey"), SALE_CUSTOMER_UNKNOWN, UNKNOWN_PREFIX).alias("id_cliente"),
+            _key(F.col("l_partkey"), SALE_PRODUCT_UNKNOWN, UNKNOWN_PREFIX).alias("id_produto"),
             F.col("l_quantity").cast("int").alias("quantidade"),
             F.col("l_extendedprice").cast(PRICE).alias("preco_unitario"),
         )
@@ -82,9 +83,8 @@ def map_clientes(customer: DataFrame, nation: DataFrame) -> DataFrame:
     estado = F.when(key < 10, F.concat(F.lit("N"), key.cast("string"))).otherwise(key.cast("string"))
     return (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-        .where(_keep(F.col("c_custkey"), CUSTOMER_GAP))
         .select(
-            F.col("c_custkey").cast("string").alias("id_cliente"),
+            _key(F.col("c_custkey"), CUSTOMER_UNSEEN, UNSEEN_PREFIX).alias("id_cliente"),
             F.col("c_name").alias("nome_cliente"),
             estado.alias("estado"),
             F.lit(COUNTRY).alias("pais"),
@@ -95,8 +95,8 @@ def map_clientes(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def map_produtos(part: DataFrame) -> DataFrame:
-    return part.where(_keep(F.col("p_partkey"), PRODUCT_GAP)).select(
-        F.col("p_partkey").cast("string").alias("id_produto"),
+    return part.select(
+        _key(F.col("p_partkey"), PRODUCT_UNSEEN, UNSEEN_PREFIX).alias("id_produto"),
         F.col("p_name").alias("nome_produto"),
         F.col("p_type").alias("categoria"),
         F.col("p_brand").alias("marca"),
@@ -112,9 +112,8 @@ def map_precos(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     price = F.when(pk % 11 == 0, base).otherwise(base + shift * 9).cast(PRICE)
     return (
         lineitem.join(part, pk == F.col("p_partkey"))
-        .where(_keep(pk, PRICE_GAP))
         .select(
-            pk.cast("string").alias("id_produto"),
+            _key(pk, PRICE_UNKNOWN, UNKNOWN_PREFIX).alias("id_produto"),
             F.concat(F.lit(COMPETITOR_PREFIX), (sk % 4).cast("string")).alias("nome_concorrente"),
             price.alias("preco_concorrente"),
             F.col("l_shipdate").alias("data_coleta"),
@@ -125,9 +124,9 @@ def map_precos(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 def raw_from_testdata(spark: SparkSession, sf_dir: str) -> RawTables:
     """Raw relations derived from ``{sf_dir}/{table}.parquet`` (whole tables)."""
-    lineitem = spread_small_scan(_table(
+    lineitem = _table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-        "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
+        "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate",
                     "o_orderpriority")
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")

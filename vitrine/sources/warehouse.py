@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.plans.marts import Marts
-from vitrine.plans.readonly import ReadOnlyViolation, register_marts, sql_readonly
+from vitrine.plans.readonly import local_query, parsed, register_marts, sql_readonly
 from vitrine.schemas import (
     CUSTOMERS_MART, CUSTOMERS_SCHEMA, PRICING_MART, PRICING_SCHEMA, SALES_MART, SALES_SCHEMA,
 )
@@ -32,10 +32,15 @@ class MartSource:
     * ``catalog=True``: the gold tables loaded by ``vitrine.sources.tables``
       are read from the session catalog under their schema-qualified names;
       filters on ``ano_venda``/``mes_venda`` prune the sales table's partitions;
-    * ``marts``: the lazily built marts are registered as temporary views under
-      their single-part mart names and the SQL runs in Spark.
+    * ``marts``: the SQL runs in Spark over the lazily built marts, under their
+      single-part names or the warehouse's qualified names.
+
+    It has the attributes of ``Marts`` that the report and the pages read (``sales``,
+    ``sales_facts``, ``customers``, ``pricing`` ...), so it stands in for one.
     """
 
+    READ_ONLY_SESSION = "SET default_transaction_read_only = on"
+
     def __init__(self, spark: SparkSession, marts: Marts | None = None,
                  jdbc_url: str | None = None, jdbc_options: dict | None = None,
                  catalog: bool = False):
@@ -43,44 +48,68 @@ class MartSource:
             raise ValueError("give local marts, a JDBC URL or catalog=True")
         self.spark, self.marts, self.catalog = spark, marts, catalog
         self.jdbc_url, self.jdbc_options = jdbc_url, dict(jdbc_options or {})
-        self._registered = False
 
     @property
     def mode(self) -> str:
         return "jdbc" if self.jdbc_url else ("catalog" if self.catalog else "local")
 
-    def _register(self) -> None:
-        if self.mode == "local" and not self._registered:
-            register_marts(self.marts)
-            self._registered = True
-
     def query(self, sql: str) -> DataFrame:
+        """Run the text as it is (see :meth:`query_readonly` for text of others)."""
         if self.jdbc_url:
-            return (self.spark.read.format("jdbc").option("url", self.jdbc_url)
-                    .option("query", sql).options(**self.jdbc_options).load())
-        self._register()
+            return self._jdbc().option("query", sql).load()
+        if self.mode == "local":
+            register_marts(self.marts)
         return self.spark.sql(sql)
 
     def query_readonly(self, sql: str) -> DataFrame:
-        """Like :meth:`query`, but only a single read-only query is accepted.
+        """Like :meth:`query`, but only a single read-only query over the marts is accepted.
 
-        Locally the text is planned as a subquery by Spark (see
-        ``sql_readonly``). Over JDBC, Spark sends the ``query`` option wrapped
-        as ``SELECT * FROM (<text>) alias``, so the warehouse's own grammar
-        refuses anything but a query there; the prefix check runs first.
+        In Spark the analyzed plan is checked (see ``sql_readonly``). Over JDBC the text
+        must parse as one subquery in Spark's grammar, since Spark pastes it between
+        parentheses; for PostgreSQL the session is read-only besides.
         """
         if self.jdbc_url:
-            if not sql.lstrip()[:6].upper().startswith(("SELECT", "WITH")):
-                raise ReadOnlyViolation("Only SELECT or WITH queries are allowed.")
-            return self.query(sql.rstrip().rstrip(";"))
-        self._register()
+            parsed(self.spark, sql)
+            reader = self._jdbc()
+            if self.jdbc_url.startswith("jdbc:postgresql"):
+                reader = reader.option("sessionInitStatement", self.READ_ONLY_SESSION)
+            return reader.option("query", sql.rstrip().rstrip("; \n\t")).load()
+        if self.mode == "local":
+            return local_query(self.spark, self.marts, sql)
         return sql_readonly(self.spark, sql)
 
+    def _jdbc(self):
+        return self.spark.read.format("jdbc").option("url", self.jdbc_url).options(**self.jdbc_options)
+
+    # -- what stands in for ``Marts``: remote marts hold every column, so the lean forms are them
+    def _form(self, attribute: str, mart: str) -> DataFrame:
+        return getattr(self.marts, attribute) if self.mode == "local" else self.mart(mart)
+
+    sales = property(lambda self: self._form("sales", "sales"))
+    sales_facts = property(lambda self: self._form("sales_facts", "sales"))
+    sales_with_products = property(lambda self: self._form("sales_with_products", "sales"))
+    customers = property(lambda self: self._form("customers", "customers"))
+    customer_segments = property(lambda self: self._form("customer_segments", "customers"))
+    customer_base = property(lambda self: self._form("customer_base", "customers"))
+    pricing = property(lambda self: self._form("pricing", "pricing"))
+
+    def persist(self, *names: str) -> "MartSource":
+        """Keep local marts (see ``Marts.persist``); loaded tables are read again instead."""
+        if self.mode == "local":
+            self.marts.persist(*names)
+        return self
+
+    def is_persisted(self, name: str) -> bool:
+        return self.mode != "local" or self.marts.is_persisted(name)
+
+    def unpersist(self, *names: str) -> None:
+        if self.mode == "local":
+            self.marts.unpersist(*names)
+
     def mart(self, name: str, order_by_rank: bool = False) -> DataFrame:
         """Whole mart (``SELECT *``); customers optionally by rank, NULLs last."""
         if self.jdbc_url:
-            df = (self.spark.read.format("jdbc").option("url", self.jdbc_url)
-                  .option("dbtable", MART_TABLES[name]).options(**self.jdbc_options).load())
+            df = self._jdbc().option("dbtable", MART_TABLES[name]).load()
             df = df.toDF(*[c.lower() for c in df.columns])
         elif self.catalog:
             df = self.spark.table(MART_TABLES[name])
