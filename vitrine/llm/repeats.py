@@ -199,11 +199,22 @@ def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[bounds[k]:bounds[k + 1]]
 
 
-def to_documents(layout: Layout, doc_ids: np.ndarray, text_keys: np.ndarray,
+def to_documents(layout: Layout, doc: np.ndarray, doc_ids: np.ndarray, text_keys: np.ndarray,
                  *columns: np.ndarray) -> list[tuple[int, bytes]]:
-    """Entries for documents as (part, data) by the documents' parts."""
-    return [(part, squeeze(doc_ids[rows], text_keys[rows], *(c[rows] for c in columns)))
-            for part, rows in by_part(layout.part_of_doc(doc_ids), layout.parts)]
+    """Entries for documents as (part, data) by the documents' parts.
+
+    ``doc`` numbers each entry's document; entries are sorted by document and the
+    first column, so that keys are written once and differences are small.
+    """
+    order = np.lexsort((columns[0], doc))
+    doc, columns = doc[order], [c[order] for c in columns]
+    out = []
+    for part, rows in by_part(layout.part_of_doc(doc_ids)[doc], layout.parts):
+        used, counts = np.unique(doc[rows], return_counts=True)
+        out.append((part, squeeze(doc_ids[used], text_keys[used], counts.astype(np.int32),
+                                  np.diff(columns[0][rows], prepend=0),
+                                  *(c[rows] for c in columns[1:]))))
+    return out
 
 
 def ready(layout: Layout, salt: int, *entry: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -241,7 +252,7 @@ def _anchors(symbols: Callable, layout: Layout):
         lead[1:] = ~same
         once = twice.copy()                       # each document once
         once[1:] &= ~(same & (doc[1:] == doc[:-1]))
-        rows = ready(layout, salt, ids[doc[once]], keys[doc[once]], value[once])
+        rows = ready(layout, salt, doc[once], ids, keys, value[once])
         doc, value = doc[lead], value[lead]
         for part, at in by_part(layout.part_of_value(value), layout.parts):
             used, number = np.unique(doc[at], return_inverse=True)
@@ -283,7 +294,7 @@ def _repeated_anchors(layout: Layout):
             base = np.cumsum([0, *(len(f[2]) for f in found)])
             doc = base[source] + number
             ids, keys = (np.concatenate([f[k] for f in found]) for k in (2, 3))
-            out += to_documents(layout, ids[doc], keys[doc], value) if len(doc) else []
+            out += to_documents(layout, doc, ids, keys, value) if len(doc) else []
         return entries(out)
 
     return run
@@ -293,7 +304,9 @@ def _per_document(merge: Callable):
     """Entries of a part as one payload per document."""
     def run(group):
         found = [unsqueeze(d) for d in group.column("data").to_pylist()]
-        ids, keys, *columns = (np.concatenate(c) for c in zip(*found))
+        ids, keys = (np.concatenate([np.repeat(f[k], f[2]) for f in found]) for k in (0, 1))
+        columns = [np.concatenate([np.cumsum(f[3]) for f in found]),
+                   *(np.concatenate(c) for c in zip(*(f[4:] for f in found)))]
         order = np.lexsort((*reversed(columns), keys, ids))
         ids, keys, columns = ids[order], keys[order], [c[order] for c in columns]
         new = np.ones(len(ids), bool)
@@ -309,11 +322,17 @@ def _per_document(merge: Callable):
 
 # -- stage 2: pieces around repeated anchors ---------------------------------------------
 
+def _short(values: np.ndarray) -> np.ndarray:
+    """Anchor values as a document keeps them; equal low bits only add a candidate."""
+    return (values & 0xFFFFFFFF).astype(np.uint32)
+
+
 def flagged(records: pa.RecordBatch, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Whether the anchor value is among the document's repeated ones."""
     column = records.column("payload")
-    sizes = np.array([len(p) // 8 for p in column.to_pylist()], np.int64)
-    known = np.frombuffer(b"".join(column.to_pylist()), np.int64)
+    sizes = np.array([len(p) // 4 for p in column.to_pylist()], np.int64)
+    known = np.frombuffer(b"".join(column.to_pylist()), np.uint32)
+    value = _short(value)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((known, owner))
     known, owner = known[order], owner[order]
@@ -347,7 +366,7 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, symbols: Callable, c
     anchors = known.mapInArrow(_anchors(symbols, layout), _ROUTED)
     repeated = (
         anchors.groupBy("part").applyInArrow(_repeated_anchors(layout), "part int, data binary")
-        .groupBy("part").applyInArrow(_per_document(lambda v: np.unique(v).tobytes()), _KEYED))
+        .groupBy("part").applyInArrow(_per_document(lambda v: np.unique(_short(v)).tobytes()), _KEYED))
 
     # one exchange of the texts serves both joins
     dealt = known.repartition(layout.parts, "doc_id", "text_key")

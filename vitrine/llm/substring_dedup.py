@@ -59,7 +59,7 @@ def _cut(layout: Layout):
         lead[1:] = same[order[1:]] != same[order[:-1]]
         head = order[np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))]
         later = order[(ids[doc[order]] != ids[doc[head]]) | (place[order] != place[head])]
-        rows = ready(layout, salt, ids[doc[later]], keys[doc[later]], place[later],
+        rows = ready(layout, salt, doc[later], ids, keys, place[later],
                      size[later] + layout.window - 1)
         at = order[lead]
         for part, of in by_part(layout.part_of_value(value[at]), layout.parts):
@@ -120,8 +120,7 @@ def _parse(layout: Layout):
             if len(first):
                 number = np.cumsum(known & ~goes_on) - 1
                 length = np.bincount(number[known], minlength=len(first)) + layout.window - 1
-                of = doc[piece[first]]
-                out += to_documents(layout, ids[of], keys[of], at[first], length)
+                out += to_documents(layout, doc[piece[first]], ids, keys, at[first], length)
         return entries(out)
 
     return run

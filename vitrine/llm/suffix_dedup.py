@@ -63,7 +63,7 @@ def _cut(layout: Layout):
         head = order[np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))]
         least = ids[doc[order]] == ids[doc[head]]
         later = order[~least]             # a smaller document of the pack has the piece
-        rows = ready(layout, salt, ids[doc[later]], keys[doc[later]], place[later], size[later])
+        rows = ready(layout, salt, doc[later], ids, keys, place[later], size[later])
         at = order[least]
         for part, of in by_part(layout.part_of_value(value[at]), layout.parts):
             rows_at = at[of]
@@ -205,8 +205,7 @@ def _solve(layout: Layout):
         spans.append((order[rest[gather(bounds[piece], times)]], np.repeat(inside, times),
                       np.repeat(long_, times)))
         hit, inside, long_ = (np.concatenate(c) for c in zip(*spans))
-        return to_documents(layout, ids[doc[hit]], keys[doc[hit]], place[hit] + inside, long_) \
-            if len(hit) else []
+        return to_documents(layout, doc[hit], ids, keys, place[hit] + inside, long_) if len(hit) else []
 
     def run(group):
         data, out = reduced(group)
