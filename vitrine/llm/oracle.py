@@ -113,18 +113,23 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
        sha256(coalesce(rest, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)"""
 
+# Bytes are pairs of hexadecimal digits; texts are cut into overlapping blocks, as substr
+# walks from a string's start; strings are compared by a 64-bit hash of their digits.
+_STRING, _BLOCK = suffix_dedup.LENGTH, 512
 SUFFIX_DEDUP = f"""
 WITH texts AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
-places AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM texts),
-strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * suffix_dedup.LENGTH}) AS v
-            FROM places WHERE 2 * i + {2 * suffix_dedup.LENGTH} <= length(h)),
-first_doc AS (SELECT v, min(doc_id) AS least FROM strings GROUP BY v HAVING min(doc_id) < max(doc_id)),
-later AS (SELECT doc_id, i FROM strings JOIN first_doc USING (v) WHERE least < doc_id),
-judged AS (SELECT p.doc_id, p.i, substr(p.h, 2 * p.i + 1, 2) AS byte,
-                  max(CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) OVER (
-                      PARTITION BY p.doc_id ORDER BY p.i
-                      ROWS BETWEEN {suffix_dedup.LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone
-           FROM places p LEFT JOIN later l ON l.doc_id = p.doc_id AND l.i = p.i),
+blocks AS (SELECT doc_id, base, substr(h, 2 * base + 1, {2 * (_BLOCK + _STRING)}) AS s,
+                  length(h) // 2 - base AS n
+           FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, {_BLOCK})) AS base FROM texts)),
+places AS (SELECT doc_id, base + k AS i, substr(s, 2 * k + 1, 2) AS byte,
+                  CASE WHEN n - k >= {_STRING} THEN hash(substr(s, 2 * k + 1, {2 * _STRING})) END AS v
+           FROM (SELECT *, unnest(range(0, least(n, {_BLOCK}))) AS k FROM blocks)),
+first_doc AS (SELECT v, min(doc_id) AS least FROM places WHERE v IS NOT NULL
+              GROUP BY v HAVING min(doc_id) < max(doc_id)),
+judged AS (SELECT doc_id, i, byte, max(CASE WHEN least < doc_id THEN 1 ELSE 0 END) OVER (
+                      PARTITION BY doc_id ORDER BY i
+                      ROWS BETWEEN {_STRING - 1} PRECEDING AND CURRENT ROW) AS gone
+           FROM places LEFT JOIN first_doc USING (v)),
 runs AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM judged),
 kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed,
                 count(*) FILTER (gone = 1 AND before = 0) AS n_spans,
