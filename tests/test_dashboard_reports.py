@@ -212,3 +212,13 @@ def test_report_keeps_the_callers_persisted_marts(spark, marts):
     marts.unpersist()
     rep.run_report(spark, marts)
     assert not marts.is_persisted("pricing")
+
+
+def test_errors_are_kept_in_their_own_dataset(spark, marts, scratch):
+    sections = {"boa": lambda m: spark.range(2), "quebrada": lambda m: spark.sql("SELECT * FROM no_such_table")}
+    for day in (1, 2, 2):                                       # the second day twice
+        rep.write_report(rep.run_report(spark, marts, sections), scratch, dt.date(2024, 5, day))
+    errors = spark.read.parquet(f"{scratch}/{rep.ERRORS}").collect()
+    assert sorted((r.data_relatorio.day, r.secao) for r in errors) == [(1, "quebrada"), (2, "quebrada")]
+    assert all("no_such_table" in r.erro for r in errors)
+    assert spark.read.parquet(f"{scratch}/boa").columns == ["id", "data_relatorio"]
