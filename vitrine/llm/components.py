@@ -31,15 +31,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
-        large = _distinct(both.join(least, "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(_distinct(small.unionByName(least.select("u", F.col("m").alias("v")))),
+        # the minima are written, so that both sides of a join are plain exchanges: only
+        # then does adaptive execution split the rows of a node with very many neighbours
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            "u", F.least("u", "m").alias("m")), "minima")
+        large = materialize(_distinct(both.join(first, "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))), "components")
+        second = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        small = large.join(second, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(_distinct(small.unionByName(second.select("u", F.col("m").alias("v")))),
                             "components")
-        discard(now)
+        for written in (now, first, large, second):
+            discard(written)
         now, before = after, seen
         seen = _summary(now)
         if seen == before:

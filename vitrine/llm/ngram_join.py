@@ -233,11 +233,12 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
         connected_components(verified.select(F.col("set_key").alias("u"), F.col("label").alias("v")))
         .select(F.col("node").alias("set_key"), "component"), "linked")
     heads = found.join(classes, "set_key").groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    per_class = (
+    # written, so that a class with very many copies can be split in the join with its members
+    per_class = materialize(
         classes.join(links, "set_key", "left")
         .join(found.join(heads, "component"), "set_key", "left")
         .select("set_key", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"),
-                (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+                (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per-class")
     joined = members.join(per_class, "set_key").select("doc_id", "class_id", "copy_of", "n_links")
     alone = source.select("doc_id").distinct().join(members, "doc_id", "left_anti").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
