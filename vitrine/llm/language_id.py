@@ -34,6 +34,7 @@ ORDER = 3
 MIN_COUNT = 32             # occurrences in the sample that make a context a node
 MAX_NODES = 16384          # bound of the model's size: the most frequent contexts
 DOCS_PER_LANGUAGE = 2000
+MAX_LANGUAGES = 1000       # bound of the learned languages: the most frequent ones
 CHUNK_BYTES = 1 << 20
 UNDETERMINED = "und"
 _SCALE = 1_000_000
@@ -48,11 +49,15 @@ class ContextTree:
 
 
 def labelled_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """About ``docs_per_language`` rows of each language, chosen by a hash of the id."""
-    counts = docs.groupBy("lang").count()
+    """About ``docs_per_language`` rows of each language, chosen by a hash of the id.
+
+    The shares are one row per language, of at most MAX_LANGUAGES, so they are broadcast
+    and the texts stay where they are.
+    """
+    counts = docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), docs_per_language / F.col("count"))
     limits = counts.select("lang", (share * _SCALE).cast("long").alias("limit"))
-    return docs.join(limits, "lang").where(
+    return docs.join(F.broadcast(limits), "lang").where(
         F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(_SCALE)) < F.col("limit"))
 
 
