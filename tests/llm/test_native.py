@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -174,3 +176,59 @@ def test_decontamination(spark):
     assert benchmark_overlaps(df, items.limit(0)).collect() == []
     with pytest.raises(ValueError):
         benchmark_overlaps(df, items, masks=("11", "101"))
+
+
+def passages(rows, items, window=13, share=0.8, least=11):
+    """Expected {(doc, item): (n_match, n_window)} from the rule alone: every window, every place."""
+    found = {}
+    for i, text in rows:
+        words = re.findall(r"[^\W_]+", text.lower())
+        for j, item in items:
+            item = re.findall(r"[^\W_]+", item.lower())
+            size = min(window, len(item))
+            if min(len(words), len(item)) < least:
+                continue
+            for shift in range(-len(item), len(words)):
+                equal = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
+                best = max(sum(equal[k:k + size]) for k in range(len(item) - size + 1))
+                if best >= math.ceil(size * share):
+                    found[i, j] = max(found.get((i, j), (0, 0)), (best, size))
+    return found
+
+
+def test_every_placement_of_two_substitutions_is_found(spark):
+    item = [f"b{k}" for k in range(39)]
+    items = [(0, " ".join(item)), (1, " ".join(f"t{k}" for k in range(11))),
+             (2, " ".join(f"u{k}" for k in range(12)))]
+    rng, rows = random.Random(3), []
+
+    def put(words, changed, lead=2):
+        around = [f"x{len(rows)}y{k}" for k in range(2 * lead)]
+        words = [f"z{len(rows)}" if k in changed else w for k, w in enumerate(words)]
+        rows.append((len(rows), " ".join(around[:lead] + words + around[lead:])))
+
+    for words in (item[13:26], items[1][1].split(), items[2][1].split()):
+        for changed in itertools.combinations(range(len(words)), 2):
+            put(words, changed)
+        for changed in itertools.combinations(range(0, len(words), 3), 3):   # one too many
+            put(words, changed)
+    planted = len(rows)
+    for _ in range(150):                     # longer passages, and ends of a document
+        size = rng.randrange(9, 30)
+        start = rng.randrange(0, len(item) - size + 1)
+        put(item[start:start + size], {k for k in range(size) if rng.random() < 0.2}, rng.choice((0, 4)))
+    want = passages(rows, items)
+    assert sum(i < planted for i, _ in want) == 78 + 55 + 66 and len(want) > planted // 2
+    df, table = helpers.documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    for bound in (10, 10**6):
+        got = benchmark_overlaps(df, table, broadcast_seeds=bound).collect()
+        assert {(r.doc_id, r.item_id): (r.n_match, r.n_window) for r in got} == want
+
+
+def test_common_words_follow_the_rule(spark):
+    rng = random.Random(4)
+    rows = [(i, helpers.prose(rng, rng.randrange(8, 60), 3)) for i in range(40)]
+    items = [(j, helpers.prose(rng, size, 3)) for j, size in enumerate((10, 11, 12, 13, 20, 35))]
+    got = benchmark_overlaps(helpers.documents(spark, rows),
+                             spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_match, r.n_window) for r in got} == passages(rows, items)
