@@ -232,3 +232,17 @@ def test_common_words_follow_the_rule(spark):
     got = benchmark_overlaps(helpers.documents(spark, rows),
                              spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.item_id): (r.n_match, r.n_window) for r in got} == passages(rows, items)
+
+
+def test_long_items_and_documents_are_joined_in_narrow_rows(spark):
+    rng = random.Random(5)
+    item = [f"b{k}" for k in range(30_000)]
+    text = [f"d{rng.randrange(10**6)}" for _ in range(100_000)]
+    text[70_000:70_020] = item[12_345:12_365]
+    items = spark.createDataFrame([(0, " ".join(item)), (1, "t " * 20)], "item_id bigint, text string")
+    df = helpers.documents(spark, [(1, " ".join(text)), (2, "clean " * 40)])
+    for bound in (10**6, 10):
+        got = benchmark_overlaps(df, items, broadcast_seeds=bound)
+        assert [tuple(r) for r in got.collect()] == [(1, 0, 13, 13)]
+    few = benchmark_overlaps(df, items, broadcast_bytes=10**6)._jdf.queryExecution().executedPlan()
+    assert "SortMergeJoin" in few.toString() and "BroadcastHashJoin" not in few.toString()

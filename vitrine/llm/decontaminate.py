@@ -30,7 +30,8 @@ SEEDS = ("111110001", "110100111", "110011011", "100111101")
 WINDOW = 13             # tokens of the verified window
 MIN_SHARE = 0.8         # share of equal tokens in it
 MIN_TOKENS = 11         # of a document or an item
-BROADCAST_SEEDS = 2_000_000   # item seeds (about 100 MB); beyond it Spark joins by shuffle
+BROADCAST_SEEDS = 2_000_000   # item seeds, and ...
+BROADCAST_BYTES = 100_000_000  # ... their bytes; beyond either Spark joins by shuffle
 
 
 def tokens(text: Column) -> Column:
@@ -65,7 +66,8 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
                        item_id: str = "item_id", text: str = "text",
                        masks: tuple[str, ...] = SEEDS, window: int = WINDOW,
                        min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS,
-                       broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+                       broadcast_seeds: int = BROADCAST_SEEDS,
+                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Verified overlaps: ``doc_id, item_id, n_match, n_window`` (longs).
 
     One row per document and item with a window of ``window`` item tokens (the
@@ -73,8 +75,10 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     are equal in the document; ``n_match`` is the best count. With the default masks,
     window and share these are all such windows.
 
-    The items' seeds are broadcast while their number is under
-    ``broadcast_seeds``; past that the same join runs by shuffle.
+    What is joined is narrow: a seed goes with its id and the hashes of the few tokens
+    that a window around it can reach, however long the item or the document is. The
+    items' seeds are broadcast while they are at most ``broadcast_seeds`` rows and
+    ``broadcast_bytes``; past that the same join runs by shuffle.
     """
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must have one span")
@@ -89,13 +93,18 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
                     .where(F.col("item_id").isNotNull())
                     .withColumn("size", F.least(F.lit(window), F.size("item"))),
                     ["item_id", "size"], "item", "item_at", masks, margin, least)
-    if right.count() <= broadcast_seeds:
-        right = F.broadcast(right)
+    reach = span + 2 * margin
+    near = lambda words, at: F.slice(words, F.col(at) - margin + 1, reach)
+    right = right.select("item_id", "size", "seed", near("item", "item_at").alias("item"))
+    seeds, names = right.agg(F.count("*"), F.sum(F.length(F.col("item_id").cast("string")))).first()
+    if seeds <= broadcast_seeds and seeds * 8 * (reach + 8) + (names or 0) <= broadcast_bytes:
+        right, first = F.broadcast(right), F.col("at") - margin     # texts stay where they are
+    else:
+        left, first = left.select("doc_id", "seed", near("words", "at").alias("words")), F.lit(0)
     # One bit per token around the hit. A window that leaves the item has no more equal
     # tokens than the one moved back inside, which contains the hit too.
-    equal = sum((F.when(F.get("item", F.col("item_at") + k) == F.get("words", F.col("at") + k),
-                        F.lit(1 << (k + margin))).otherwise(0).cast("bigint")
-                 for k in range(-margin, span + margin)), F.lit(0).cast("bigint"))
+    equal = sum((F.when(F.get("item", F.lit(k)) == F.get("words", first + k), F.lit(1 << k))
+                 .otherwise(0).cast("bigint") for k in range(reach)), F.lit(0).cast("bigint"))
     counts = [F.bit_count(F.shiftright("equal", k).bitwiseAND(F.lit((1 << window) - 1)))
               for k in range(margin + 1)]
     hits = (left.join(right, "seed").select("doc_id", "item_id", "size", equal.alias("equal"))
