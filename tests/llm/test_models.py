@@ -283,6 +283,18 @@ def test_token_columns(spark):
     assert unigram.token_digests(empty, v).collect() == []
 
 
+def test_marker_characters_stay_in_the_texts(spark):
+    rows = [(1, "bars ▁▂▃▁▁ end"), (2, "▁"), (3, "a ▁b▁ a"), (4, "ab a"), (5, None)]
+    v = unigram.read_vocabulary(VOCABULARY)
+    df = helpers.documents(spark, rows)
+    back = unigram.decode_tokens(unigram.encode_texts(df, v), v).collect()
+    assert {r.doc_id: r.text for r in back} == {r.doc_id: r.decoded for r in back} == dict(rows)
+    assert unigram.token_digests(df, v).where("NOT round_trip").count() == 0
+    bare = unigram.build_vocabulary([p for p in PIECES if p[2] != "byte"])
+    got = {r.doc_id: r.round_trip for r in unigram.token_digests(df, bare).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True}
+
+
 def test_sentencepiece_query_round_trips(spark):
     rows = QUERIES["op8_sentencepiece"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -13,9 +13,10 @@ distinct unit, all units in step, and copies the result to every occurrence. Uni
 longer than ``LONG_UNIT`` bytes are searched one by one. The trie's alphabet is
 bytes, with 0x20 for the marker.
 
-Defined results: a null text has null tokens, an empty one none; texts that hold
-the marker character itself are read as if it were a space; rows with null or
-repeated ids are each encoded; an empty table gives no rows; columns that clash
+Defined results: a null text has null tokens, an empty one none; the marker character
+itself, in a text, is a character that no piece covers, so its byte pieces bring it
+back (a vocabulary without them loses it); rows with null or repeated ids are each
+encoded; an empty table gives no rows; columns that clash
 with an added one must be renamed first, the operator refuses them.
 """
 
@@ -316,13 +317,6 @@ def decode_chunk(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[byt
     return out
 
 
-def _unmarked(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches with marker characters of the texts read as spaces."""
-    for batch in batches:
-        at = batch.schema.get_field_index(text)
-        yield batch.set_column(at, text, pc.replace_substring(batch.column(at), MARKER, " "))
-
-
 def encode_texts(docs: DataFrame, v: Vocabulary, text: str = "text", ids: str = "token_ids"
                  ) -> DataFrame:
     """The rows with their token ids in a new column ``ids`` (array of int)."""
@@ -331,7 +325,7 @@ def encode_texts(docs: DataFrame, v: Vocabulary, text: str = "text", ids: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in chunks(_unmarked([batch], text), text, CHUNK_BYTES):
+            for rows, data, offsets in chunks([batch], text, CHUNK_BYTES):
                 found, counts = encode_chunk(v, data, offsets)
                 bounds = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 null = rows.column(rows.schema.get_field_index(text)).is_null()
@@ -377,7 +371,7 @@ def token_digests(docs: DataFrame, v: Vocabulary, doc_id: str = "doc_id", text:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in chunks(_unmarked([batch], "text"), "text", CHUNK_BYTES):
+            for rows, data, offsets in chunks([batch], "text", CHUNK_BYTES):
                 ids, counts = encode_chunk(v, data, offsets)
                 decoded = decode_chunk(v, ids, counts)
                 edges = np.concatenate(([0], np.cumsum(counts)))
