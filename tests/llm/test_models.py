@@ -84,6 +84,32 @@ def test_odd_rows_and_empty_tables(spark):
     assert language_id.keep_identified(blank, None).collect() == []
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
+              "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ")
+    chinese = "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。"
+    foreign = [polish, polish * 20, chinese, chinese * 20, "привет, как дела сегодня? " * 30,
+               *["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 400, 5000)],
+               "qzxjkvwq" * 200, "TGlmZSBpcyBnb29kIHRvZGF5IGFuZCBhbHdheXM" * 30]
+    table = docs.unionByName(spark.createDataFrame(
+        [(10**9 + k, t, None) for k, t in enumerate(foreign)], "doc_id bigint, text string, lang string"))
+    tree = language_id.fit_context_tree(table)
+    limits = language_id.fit_limits(table, tree)
+    kept = {r.doc_id for r in language_id.keep_identified(table, tree, limits=limits).collect()}
+    assert not {k for k in kept if k >= 10**9}
+    assert len(kept) >= 0.995 * docs.count()
+    beginnings = table.where("doc_id < 1000000000").selectExpr(
+        "doc_id", "substr(text, 1, 20 + pmod(doc_id, 200)) AS text", "lang")
+    short = language_id.keep_identified(beginnings, tree, limits=limits).count()
+    assert short >= 0.97 * language_id.keep_identified(beginnings, tree).count()
+    few = docs.limit(3)                      # too few to learn a limit from
+    tree = language_id.fit_context_tree(few)
+    assert language_id.keep_identified(few, tree, limits=language_id.fit_limits(few, tree)).count() == 3
+    assert language_id.fit_limits(docs.limit(0), None) is None
+
+
 def test_scores_do_not_depend_on_neighbours(spark):
     rows = helpers.corpus()[:40]
     table = helpers.documents(spark, rows)

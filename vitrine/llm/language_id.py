@@ -11,6 +11,11 @@ length per language is the sum over all its bytes. The shortest code wins.
 The tree is fitted on a bounded sample of labelled rows (``docs_per_language``
 expected rows each, drawn by a hash of the id); every text is scored whole.
 
+The shortest code only says which learned language is nearest. Whether a text is in it
+at all is a matter of the code's length per byte: ``fit_limits`` learns from one half of
+the rows how long the codes of the other half are, for beginnings of 8, 16, 32 ... bytes,
+and ``keep_identified`` rejects texts with a longer code than that allows.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the first language in alphabetical order; rows with null or repeated
 ids are each scored; without any labelled row everything is ``und``; an empty
@@ -36,6 +41,10 @@ MAX_NODES = 16384          # bound of the model's size: the most frequent contex
 DOCS_PER_LANGUAGE = 2000
 MAX_LANGUAGES = 1000       # bound of the learned languages: the most frequent ones
 CHUNK_BYTES = 1 << 20
+FIRST_CLASS, CLASSES = 3, 21   # beginnings of 2^3 to 2^23 bytes have limits of their own
+BINS = 64                  # of code length per byte, for one bit
+SPREADS = 3                # limit: so often the way from the median to the 95 % quantile
+LEAST_TEXTS = 30           # texts of one language that a limit is learned from
 UNDETERMINED = "und"
 _SCALE = 1_000_000
 
@@ -145,8 +154,8 @@ def fit_context_tree(training: DataFrame, docs_per_language: int = DOCS_PER_LANG
                        child.astype(np.int32), bits)
 
 
-def code_lengths(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits that each document takes under each language's statistics."""
+def _bits(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row of the table of code lengths that holds for each byte."""
     symbol = tree.symbols[data]
     size = tree.child.shape[1]
     node = np.zeros(len(data), np.int32)
@@ -155,7 +164,72 @@ def code_lengths(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np
         longer = tree.child.reshape(-1)[node * np.int32(size) + _preceding(symbol, offsets, k)]
         open_ &= longer >= 0
         node = np.where(open_, longer, node)
-    return segment_sums(tree.bits[node * np.int32(size) + symbol], np.diff(offsets))
+    return node * np.int32(size) + symbol
+
+
+def code_lengths(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits that each document takes under each language's statistics."""
+    return segment_sums(tree.bits[_bits(tree, data, offsets)], np.diff(offsets))
+
+
+def fit_limits(training: DataFrame, tree: ContextTree | None, docs_per_language: int = DOCS_PER_LANGUAGE,
+               **fit) -> np.ndarray | None:
+    """(language of the tree, class) -> highest code length per byte of texts in the language.
+
+    Class ``k`` is for texts of 2^(k + FIRST_CLASS) bytes or more, the first one for shorter
+    texts too. A second tree is learned from one half of the rows; the code lengths of a
+    bounded sample of the other half are counted in bins of 1 / BINS bit. The limit lies
+    SPREADS times as far above their median as their 95 % quantile does, so that a few per
+    cent of wrong labels do not move it. Without LEAST_TEXTS texts in a class, the limit of
+    the next shorter class holds, and where there is none, no text is too long.
+    """
+    if tree is None:
+        return None
+    rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id").cast("string")), F.lit(2))
+    other = fit_context_tree(rows.where(half == 0), docs_per_language, **fit)
+    limits = np.full((len(tree.languages), CLASSES), np.inf)
+    if other is None:
+        return limits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_, data, offsets in chunks(batches, "text", CHUNK_BYTES):
+            at, sizes = _bits(other, data, offsets), np.diff(offsets)
+            found = [np.zeros((0, 3), np.int64)]
+            names = rows_.column("lang").to_pylist()
+            for name in sorted(set(names) & set(other.languages)):
+                number = other.languages.index(name)
+                total = np.concatenate(([0], np.cumsum(other.bits[at, number], dtype=np.float64)))
+                own = np.array([n == name for n in names])
+                for k in range(CLASSES):
+                    size = 1 << (k + FIRST_CLASS)
+                    first = offsets[:-1][own & (sizes >= size)]
+                    rate = (total[first + size] - total[first]) / size
+                    bins, n = np.unique(np.ceil(rate * BINS).astype(np.int64), return_counts=True)
+                    found.append(np.stack([np.full(len(bins), number * CLASSES + k), bins, n], 1))
+            table = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in table.T], names=["class", "bin", "n"])
+
+    counted = (labelled_sample(bounded_batches(rows).where(half == 1).select("doc_id", "text", "lang"),
+                               docs_per_language)
+               .select("text", "lang").mapInArrow(count, "class bigint, bin bigint, n bigint")
+               .groupBy("class", "bin").agg(F.sum("n").alias("n")).orderBy("class", "bin").toArrow())
+    kinds, bins, n = (counted.column(c).to_numpy() for c in ("class", "bin", "n"))
+    for kind in np.unique(kinds):
+        name = other.languages[kind // CLASSES]
+        of = kinds == kind
+        if name not in tree.languages or n[of].sum() < LEAST_TEXTS:
+            continue
+        share = np.cumsum(n[of]) / n[of].sum()
+        middle, high = (bins[of][np.searchsorted(share, q)] / BINS for q in (0.5, 0.95))
+        limits[tree.languages.index(name), kind % CLASSES] = middle + SPREADS * (high - middle + 1 / BINS)
+    return np.minimum.accumulate(limits, axis=1)
+
+
+def in_language(limits: np.ndarray, best: np.ndarray, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the texts' codes in their best language are within its limits."""
+    kind = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64) - FIRST_CLASS
+    return bits <= limits[best, np.clip(kind, 0, CLASSES - 1)] * sizes
 
 
 def score_languages(docs: DataFrame, tree: ContextTree | None, doc_id: str = "doc_id",
@@ -185,10 +259,11 @@ def score_languages(docs: DataFrame, tree: ContextTree | None, doc_id: str = "do
 
 
 def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[str] | None = None,
-                    min_score: float = 0.5) -> DataFrame:
+                    min_score: float = 0.5, limits: np.ndarray | None = None) -> DataFrame:
     """The rows whose text is identified, as one of ``languages`` if given; columns unchanged.
 
-    Rejected are undetermined texts, other languages and scores under ``min_score``.
+    Rejected are undetermined texts, languages other than ``languages``, scores under
+    ``min_score`` and, with ``limits``, texts whose code is too long for the language.
     """
     if tree is None:
         return docs.limit(0)
@@ -198,10 +273,13 @@ def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[s
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-            nats = code_lengths(tree, data, offsets) * np.log(2)
+            bits = code_lengths(tree, data, offsets)
+            nats, best = bits * np.log(2), bits.argmin(1)
             posterior = 1 / np.exp(nats.min(1, keepdims=True) - nats).sum(1)
-            mask = (rows.column(letters).to_numpy(zero_copy_only=False) & wanted[nats.argmin(1)]
+            mask = (rows.column(letters).to_numpy(zero_copy_only=False) & wanted[best]
                     & (posterior >= min_score))
+            if limits is not None:
+                mask &= in_language(limits, best, bits.min(1), np.diff(offsets))
             yield rows.filter(pa.array(mask)).drop_columns([letters])
 
     return marked.mapInArrow(keep, docs.schema)
