@@ -17,6 +17,7 @@ from vitrine.llm.substring_dedup import deduplicate_substrings
 from vitrine.llm.suffix_dedup import remove_repeated_bytes
 from vitrine.llm.toxicity import classify_toxicity
 from vitrine.llm.unigram import read_vocabulary, token_digests
+from vitrine.llm.whitening import whiten
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -71,6 +72,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  with_bytes=False)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 # The others are fitted models, or the tokenizer: tests hold them against brute force.
