@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import oracle
+from vitrine.llm.conversation_repair import repair_damaged
 from vitrine.llm.decontaminate import benchmark_overlaps
 from vitrine.llm.language_id import identify_languages
 from vitrine.llm.ngram_join import ngram_join
@@ -76,6 +77,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 # The others are fitted models, or the tokenizer: tests hold them against brute force.
