@@ -220,10 +220,11 @@ def _sorted_rows(rows: DataFrame) -> DataFrame:
     """Distinct rows with their number of copies, whether they are the first of their role and text,
     dealt out by ranges of (id, turn, role, digest) and sorted."""
     keys = ["id", "turn", "role", "digest"]
-    merged = rows.withColumn("digest", F.md5(F.col("text").cast("binary"))).groupBy(*keys, "text").agg(
-        F.sum("copies").alias("copies"))
+    rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    merged = rows.groupBy(*keys, "text").agg(F.sum("copies").alias("copies"))
     place = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
-    repeated = merged.groupBy("id", "role", "digest").agg(
+    # from the rows again, without texts: the shuffle of the merged rows holds every text
+    repeated = rows.groupBy("id", "role", "digest").agg(
         F.min(place).alias("least"), F.count("*").alias("places")).where("places > 1")
     flagged = merged.alias("r").join(repeated.alias("f"), _same("r", "f", "id", "role", "digest"), "left").select(
         *[F.col(f"r.{c}") for c in [*keys, "text", "copies"]],
