@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vitrine.llm import oracle
 from vitrine.llm.conversation_repair import repair_damaged
 from vitrine.llm.decontaminate import benchmark_overlaps
+from vitrine.llm.imatch import compare_edited
 from vitrine.llm.language_id import identify_languages
 from vitrine.llm.ngram_join import ngram_join
 from vitrine.llm.quality_classifier import classify_quality
@@ -73,6 +74,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  with_bytes=False)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_conversation_repair": op13_conversation_repair,
 }
