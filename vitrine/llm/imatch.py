@@ -39,6 +39,7 @@ from vitrine.operators.ranking import global_row_number
 
 BUCKETS_LOG2 = 22
 BUCKETS = 1 << BUCKETS_LOG2
+BLOCK = 1 << 12            # counters that are sent as one row
 MIN_IDF = 2.3              # terms in at most a tenth of the texts
 MAX_IDF = 8.1              # and in at least three of ten thousand
 HEAVY = 10_000
@@ -77,9 +78,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, _ = terms(data, offsets)
         found, times = np.unique(_bucket(hashes), return_counts=True)
         counts[found] += times.astype(np.int32)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used].astype(np.int64))],
-                                     names=["bucket", "n"])
+    for block, part in enumerate(counts.reshape(-1, BLOCK)):
+        used = np.flatnonzero(part)
+        if len(used):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([used.astype(np.uint16).tobytes()], pa.binary()),
+                 pa.array([part[used].tobytes()], pa.binary())], names=["block", "at", "n"])
+
+
+def _in_band(low: float, high: float):
+    """Task: counters whose sum lies between; at most all of them are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                sums.setdefault(block, np.zeros(BLOCK, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(
+                    n, np.int32)
+        for block, total in sums.items():
+            found = np.flatnonzero((total >= low) & (total <= high) & (total > 0)) + block * BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["bucket"])
+    return run
 
 
 @dataclass(frozen=True)
@@ -104,8 +122,8 @@ def fit_lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_
     copies = hashed.join(F.broadcast(heavy), "h", "left_semi").agg(
         F.count("*").alias("n"), F.count_distinct("h").alias("d")).first()
     n = rows - copies.n + copies.d
-    found = texts.mapInArrow(_counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(
-        F.col("n").between(n * math.exp(-max_idf), n * math.exp(-min_idf))).select("bucket").toArrow()
+    found = texts.mapInArrow(_counted, "block int, at binary, n binary").repartition("block").mapInArrow(
+        _in_band(n * math.exp(-max_idf), n * math.exp(-min_idf)), "bucket int").toArrow()
     table = np.zeros(BUCKETS, bool)                                        # at most BUCKETS rows
     table[found.column("bucket").to_numpy()] = True
     return Lexicon(np.packbits(table, bitorder="little").tobytes())
@@ -210,18 +228,20 @@ def compare_edited(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     docs = bounded_batches(docs).select(
         F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lexicon = fit_lexicon(docs)
-    printed = fingerprint_documents(docs, lexicon)
-    links = _neighbours(docs)
+    # ids within a struct, which is never null: plain equality, and one partitioning for all that follows
+    printed = fingerprint_documents(docs, lexicon).select(F.struct("id").alias("key"), "text", "print")
+    links = _neighbours(docs).select(F.struct("id").alias("key"), F.struct(F.col("next_id").alias("id")).alias(
+        "next_key"), "next_h", "need")
     # not an equality of the hashes, which would become a join key and so another exchange
     is_next = F.xxhash64("s.text").bitwiseXOR(F.col("l.next_h")) == 0
     heads = (
-        printed.alias("s").join(links.alias("l"), F.col("s.id").eqNullSafe(F.col("l.next_id")))
+        printed.alias("s").join(links.alias("l"), F.col("s.key") == F.col("l.next_key"))
         .where(is_next)
-        .select("l.id", F.left("s.text", F.col("l.need")).alias("head"), F.col("s.print").alias("next_print"))
-        .groupBy("id").agg(F.min(F.struct("head", "next_print")).alias("next")))     # repeated rows
+        .select("l.key", F.left("s.text", F.col("l.need")).alias("head"), F.col("s.print").alias("next_print"))
+        .groupBy("key").agg(F.min(F.struct("head", "next_print")).alias("next")))    # repeated rows
     kept = F.expr("left(d.text, int(char_length(d.text) - char_length(d.text) div 4))")
-    both = printed.alias("d").join(heads.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id"))).select(
-        "d.id", F.char_length("d.text").cast("bigint").alias("n_chars"),
+    both = printed.alias("d").join(heads.alias("h"), F.col("d.key") == F.col("h.key")).select(
+        "d.key.id", F.char_length("d.text").cast("bigint").alias("n_chars"),
         F.concat(kept, F.expr("left(h.next.head, int(char_length(d.text) div 4))")).alias("text"),
         "d.print", F.col("h.next.next_print").alias("next_print")).withColumn(
         "edited_sha256", F.sha2(F.col("text").cast("binary"), 256))
