@@ -53,6 +53,14 @@ def release_memory() -> None:
         trim(0)
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a column of texts; a null text has no bytes."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    _, bounds, data = column.buffers()
+    offsets = np.frombuffer(bounds, np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
            ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Yield (rows, bytes, offsets): row ``i`` has the bytes ``offsets[i]:offsets[i + 1]``.
@@ -61,10 +69,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        _, bounds, data = column.buffers()
-        offsets = np.frombuffer(bounds, np.int64)[column.offset:column.offset + len(column) + 1]
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        data, offsets = flat(column)
         first = 0
         while first < len(column):
             last = int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrays import (BLANK, BYTE_CLASS, bounded_batches, chunks, mix, prefix_hashes, runs,
-                                substring_hashes)
+from vitrine.llm.arrays import (BLANK, BYTE_CLASS, bounded_batches, chunks, flat, mix, prefix_hashes,
+                                runs, substring_hashes)
 from vitrine.operators.ranking import global_row_number
 
 BUCKETS_LOG2 = 22
@@ -193,16 +193,17 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
 
 
-def fingerprint_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``id, text, print`` of ``docs(id, text)``; ``print`` holds the fingerprint's bytes."""
+def fingerprint_documents(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
+    """``print``, the fingerprint's bytes, of every row of ``docs``, beside the columns ``keep``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), rows.column("text"), _binary(fingerprint_bytes(lexicon, data, offsets))],
-                names=["id", "text", "print"])
+                [*[rows.column(c) for c in keep], _binary(fingerprint_bytes(lexicon, data, offsets))],
+                names=[*keep, "print"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, text string, print binary")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(
+        run, ", ".join([*kinds, "print binary"]))
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
@@ -229,27 +230,27 @@ def compare_edited(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lexicon = fit_lexicon(docs)
     # ids within a struct, which is never null: plain equality, and one partitioning for all that follows
-    printed = fingerprint_documents(docs, lexicon).select(F.struct("id").alias("key"), "text", "print")
+    texts = docs.select(F.struct("id").alias("key"), "text")
     links = _neighbours(docs).select(F.struct("id").alias("key"), F.struct(F.col("next_id").alias("id")).alias(
         "next_key"), "next_h", "need")
     # not an equality of the hashes, which would become a join key and so another exchange
     is_next = F.xxhash64("s.text").bitwiseXOR(F.col("l.next_h")) == 0
-    heads = (
-        printed.alias("s").join(links.alias("l"), F.col("s.key") == F.col("l.next_key"))
-        .where(is_next)
-        .select("l.key", F.left("s.text", F.col("l.need")).alias("head"), F.col("s.print").alias("next_print"))
-        .groupBy("key").agg(F.min(F.struct("head", "next_print")).alias("next")))    # repeated rows
+    following = texts.alias("s").join(links.alias("l"), F.col("s.key") == F.col("l.next_key")).where(
+        is_next).select("l.key", F.left("s.text", F.col("l.need")).alias("head"), "s.text")
+    heads = fingerprint_documents(following, lexicon, "key", "head").groupBy("key").agg(
+        F.min(F.struct("head", "print")).alias("next"))                             # repeated rows
     kept = F.expr("left(d.text, int(char_length(d.text) - char_length(d.text) div 4))")
-    both = printed.alias("d").join(heads.alias("h"), F.col("d.key") == F.col("h.key")).select(
-        "d.key.id", F.char_length("d.text").cast("bigint").alias("n_chars"),
-        F.concat(kept, F.expr("left(h.next.head, int(char_length(d.text) div 4))")).alias("text"),
-        "d.print", F.col("h.next.next_print").alias("next_print")).withColumn(
-        "edited_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    both = texts.alias("d").join(heads.alias("h"), F.col("d.key") == F.col("h.key")).select(
+        "d.key.id", F.char_length("d.text").cast("bigint").alias("n_chars"), "d.text",
+        F.concat(kept, F.expr("left(h.next.head, int(char_length(d.text) div 4))")).alias("edited"),
+        F.col("h.next.print").alias("next_print")).withColumn(
+        "edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-            edited, own, following = fingerprint_bytes(lexicon, data, offsets), _bytes(rows.column("print")), \
-                _bytes(rows.column("next_print"))
+        for rows, data, offsets in chunks(batches, "edited", CHUNK_BYTES):
+            edited, following = fingerprint_bytes(lexicon, data, offsets), _bytes(rows.column("next_print"))
+            data, offsets = flat(rows.column("text"))
+            own = fingerprint_bytes(lexicon, data[offsets[0]:offsets[-1]], offsets - offsets[0])
             yield pa.RecordBatch.from_arrays(
                 [rows.column("id"), rows.column("n_chars"), rows.column("edited_sha256"),
                  *[pa.array([r.tobytes().hex() for r in table]) for table in (own, edited)],
