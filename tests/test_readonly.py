@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from tests.fixtures import customer, product, raw, sale
@@ -66,6 +68,91 @@ REFUSED = [
 ]
 
 
+FUNCTIONS = [
+    "SELECT upper(canal_venda), coalesce(canal_venda, '-') FROM vendas_temporais",
+    "SELECT e FROM vendas_temporais LATERAL VIEW explode(array(1, 2)) t AS e",
+    "SELECT k FROM vendas_temporais LATERAL VIEW OUTER posexplode(array(id_cliente)) t AS p, k",
+    "SELECT * FROM vendas_temporais v, LATERAL explode(array(1, 2)) AS t(e)",
+    "SELECT * FROM explode(sequence(1, 3)) AS t(e)",
+    "SELECT transform(array(1, 2), x -> x + 1), aggregate(array(1), 0, (a, b) -> a + b) FROM vendas_temporais",
+    "SELECT data_venda, SUM(receita_total) FILTER (WHERE hora_venda > 3), COUNT(DISTINCT id_cliente), "
+    "PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY receita_total) FROM vendas_temporais GROUP BY data_venda",
+    "SELECT date_trunc('month', data_venda), CASE WHEN id_venda LIKE '1%' THEN 1 END, CAST(hora_venda AS STRING), "
+    "id_venda || 'x', EXTRACT(YEAR FROM data_venda), id_cliente IN ('a') FROM vendas_temporais",
+    "SELECT LAG(receita_total) OVER (PARTITION BY id_cliente ORDER BY data_venda), ROUND(receita_total, 1) FROM "
+    "vendas_temporais",
+    "SELECT to_json(named_struct('a', id_venda)), regexp_extract(id_venda, '[0-9]+', 0) FROM vendas_temporais",
+]
+
+
+@pytest.fixture
+def foreign(spark, registered, scratch):
+    """Functions that are not Spark's: of Python, of Python for tables, of SQL, of the JVM."""
+    from pyspark.sql.functions import udtf
+
+    mark = f"{scratch}/written"
+
+    @udtf(returnType="x int")
+    class Side:
+        def eval(self):
+            open(mark, "w").close()
+            yield 1,
+
+    @udtf
+    class Planned:                              # its analysis runs Python while a query is planned
+        @staticmethod
+        def analyze():
+            from pyspark.sql.types import IntegerType, StructType
+            from pyspark.sql.udtf import AnalyzeResult
+            open(mark, "w").close()
+            return AnalyzeResult(StructType().add("x", IntegerType()))
+
+        def eval(self):
+            yield 1,
+
+    spark.udtf.register("side", Side)
+    spark.udtf.register("planned", Planned)
+    spark.udf.register("py_f", lambda x: x)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION sql_f(x INT) RETURNS INT RETURN x + 1")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION jvm_f AS 'org.apache.hadoop.hive.ql.udf.UDFPI'")
+    yield mark
+    for name in ("side", "planned", "py_f", "sql_f", "jvm_f"):
+        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
+
+
+FOREIGN = [
+    "SELECT * FROM side()", "SELECT * FROM vendas_temporais, LATERAL side()", "SELECT * FROM planned()",
+    "WITH t AS (SELECT * FROM side()) SELECT * FROM t", "SELECT (SELECT MAX(x) FROM side())",
+    "SELECT 1 WHERE EXISTS (SELECT * FROM planned())",
+    "SELECT py_f(id_venda) FROM vendas_temporais", "SELECT sql_f(1)", "SELECT jvm_f()",
+    "SELECT 1 FROM vendas_temporais ORDER BY py_f(id_venda)", "SELECT transform(array(1), x -> sql_f(x))",
+    "SELECT spark_catalog.default.f(1)", "SELECT no_such_function(1)", "SELECT * FROM no_such_table_function()",
+    "SELECT e FROM vendas_temporais LATERAL VIEW py_f(id_venda) t AS e",
+    "SELECT from_protobuf(binary(id_venda), 'm', '/etc/passwd') FROM vendas_temporais",
+    "SELECT * FROM python_worker_logs()",
+]
+
+
+@pytest.mark.parametrize("text", FUNCTIONS)
+def test_functions_of_spark_pass(spark, registered, text):
+    assert sql_readonly(spark, text).collect() is not None
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_other_functions_are_refused_before_they_run(spark, foreign, text):
+    with pytest.raises(ReadOnlyViolation, match="Function not allowed"):
+        sql_readonly(spark, text)
+    assert not os.path.exists(foreign)
+
+
+def test_a_replaced_function_is_refused(spark):
+    other = spark.newSession()
+    assert sql_readonly(other, "SELECT upper('x') AS x").first().x == "X"
+    other.udf.register("upper", lambda x: "replaced")
+    with pytest.raises(ReadOnlyViolation, match="upper"):
+        sql_readonly(other, "SELECT upper('x') AS x")
+
+
 @pytest.mark.parametrize("text", ALLOWED)
 def test_queries_pass(spark, registered, text):
     assert sql_readonly(spark, text).collect() is not None

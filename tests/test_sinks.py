@@ -5,11 +5,12 @@ from __future__ import annotations
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.fixtures import customer, obs, product, raw, sale
 from vitrine.plans.marts import build_marts
 from vitrine.sources.tables import (
-    ContractViolation, create_gold_tables, full_refresh, full_refresh_jdbc, input_key_violations,
+    ContractViolation, PublicationError, create_gold_tables, full_refresh, full_refresh_jdbc, input_key_violations,
     load_marts, table_ddl,
 )
 from vitrine.sources.warehouse import MartSource
@@ -111,6 +112,73 @@ def test_price_over_decimal_10_2_is_refused(spark, tables):
     _refused(spark, SALES, sales_mart(huge.raw, True))                          # revenue over DECIMAL(12,2)
 
 
+def _rows(spark, table):
+    return sorted(map(str, spark.table(table).collect()))
+
+
+def test_failed_publication_keeps_the_old_rows_and_the_new_ones(spark, tables, monkeypatch):
+    from vitrine.sources import tables as module
+
+    marts = _marts(spark)
+    load_marts(marts)
+    before = {t: _rows(spark, t) for t in (SALES, CUSTOMERS)}
+    more = _marts(spark, vendas=[sale(k, "2025-03-07 10:00:00", cliente="a") for k in range(9)])
+    from vitrine.plans.marts import sales_mart
+
+    def fails(*args):
+        raise RuntimeError("catalog is gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "_publish", fails)
+        with pytest.raises(PublicationError, match="vendas_temporais__staging"):
+            full_refresh(sales_mart(more.raw, True), SALES)
+    assert _rows(spark, SALES) == before[SALES]
+    assert spark.table(f"{SALES}__staging").count() == 9            # nothing of the load is lost
+    assert full_refresh(sales_mart(more.raw, True), SALES) == 9     # and it can be run again
+    assert spark.table(SALES).count() == 9 and not spark.catalog.tableExists(f"{SALES}__staging")
+
+
+def test_task_failure_in_the_last_write_keeps_the_old_rows(spark, tables):
+    load_marts(_marts(spark))
+    before = _rows(spark, CUSTOMERS)
+    broken = _marts(spark).customers.withColumn(
+        "pais", F.when(F.col("id_cliente") == "b", F.raise_error(F.lit("disk full"))).otherwise(F.col("pais")))
+    with pytest.raises(ContractViolation, match="refused"):
+        full_refresh(broken, CUSTOMERS)
+    assert _rows(spark, CUSTOMERS) == before
+    assert not spark.catalog.tableExists(f"{CUSTOMERS}__staging")
+
+
+def test_a_query_that_reads_the_old_version_can_end(spark, tables):
+    load_marts(_marts(spark))
+    old = spark.table(SALES).select("id_venda")
+    files = old.inputFiles()
+    only = _marts(spark, vendas=[sale(9, "1995-03-01 10:00:00", cliente="a")])
+    load_marts(only)
+    assert spark.read.parquet(*files).count() == 2                  # the version before is kept
+    load_marts(only)
+    with pytest.raises(Exception):                                  # until the next load
+        spark.read.parquet(*files).count()
+
+
+def test_tables_at_a_location_and_replace(spark, tables, scratch):
+    for t in (SALES, CUSTOMERS, PRICING):
+        spark.sql(f"DROP TABLE {t}")
+    assert create_gold_tables(spark, location=scratch) == [SALES, CUSTOMERS, PRICING]
+    load_marts(_marts(spark))
+    assert all(f"{scratch}/public_gold_sales/vendas_temporais/version-" in f for f in spark.table(SALES).inputFiles())
+    assert create_gold_tables(spark, location=scratch) == []
+    create_gold_tables(spark, location=scratch, replace=True)
+    assert spark.table(SALES).count() == 0
+
+
+def test_table_with_partitions_in_the_catalog_is_refused(spark, tables, scratch):
+    spark.sql(f"DROP TABLE {SALES}")
+    spark.sql(table_ddl(SALES, f"{scratch}/plain"))
+    with pytest.raises(ValueError, match="create_gold_tables"):
+        full_refresh(_marts(spark).sales, SALES)
+
+
 def test_refresh_replaces_every_month_under_dynamic_overwrite(spark, tables):
     load_marts(_marts(spark))
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")

@@ -2,9 +2,11 @@
 
 The text is placed inside ``SELECT * FROM ( ... ) q``, where Spark's grammar admits
 only a query: DML, DDL, ``WITH ... INSERT``, several statements and parenthesis
-escapes fail to parse. What the grammar lets through is then looked up in the
-analyzed plan, before anything is evaluated: only the marts, views of this module and
-constants may be read, and no function may call into the JVM or Python.
+escapes fail to parse. Every function that the parse tree names must be one that Spark itself
+brings and that nobody has replaced in this session; so functions registered from Python, Scala or
+Hive, SQL functions and table functions are refused by their names, before analysis could run any
+code of theirs. What passes is then looked up in the analyzed plan, before anything is evaluated:
+only the marts, views of this module and constants may be read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ _QUALIFIED = re.compile("|".join(
        for k, (view, (_, schema)) in enumerate(MART_VIEWS.items()))]), re.IGNORECASE | re.DOTALL)
 _SAFE_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
 _WITH_A_PLAN = {"ScalarSubquery", "LateralSubquery", "Exists", "ListQuery", "FunctionTableSubqueryArgumentExpression"}
+# functions that come with Spark, but call into the JVM or read files by path
+_REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "from_protobuf", "to_protobuf", "from_avro", "to_avro",
+                      "schema_of_avro", "python_worker_logs"}
+_FUNCTION_NODES = {"UnresolvedFunction": "nameParts", "UnresolvedTableValuedFunction": "name",
+                   "UnresolvedGenerator": None}
 _UNSAFE_EXPRESSIONS = {"CallMethodViaReflection", "TryReflect", "PythonUDF", "PythonUDAF", "ScalaUDF",
                        "ScalaAggregator", "HiveGenericUDF", "HiveSimpleUDF"}
 
@@ -87,6 +94,39 @@ def _nodes(plan):
                 stack.append(node.plan())
 
 
+def function_names(plan) -> list[tuple[bool, list[str]]]:
+    """(whether it makes a table, name in its parts) of the functions named in a parse tree."""
+    found = []
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedGenerator":
+            found.append((True, node.name().unquotedString().lower().split(".")))
+        elif kind in _FUNCTION_NODES:
+            parts = getattr(node, _FUNCTION_NODES[kind])()
+            found.append((kind != "UnresolvedFunction", [str(p).lower() for p in _items(parts)]))
+    return found
+
+
+def _is_spark_own(spark: SparkSession, name: str, makes_table: bool) -> bool:
+    """Whether Spark brings the function and the session still has Spark's own under the name."""
+    analysis = spark._jvm.org.apache.spark.sql.catalyst.analysis
+    wanted, state = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name), spark._jsparkSession.sessionState()
+    own, session = analysis.FunctionRegistry.builtin(), state.functionRegistry()
+    tables = analysis.TableFunctionRegistry.builtin()
+    if makes_table and tables.lookupFunction(wanted).isDefined():     # LATERAL VIEW takes generators of either kind
+        own, session = tables, state.tableFunctionRegistry()
+    mine, now = own.lookupFunction(wanted), session.lookupFunction(wanted)
+    return mine.isDefined() and now.isDefined() and mine.get().getClassName() == now.get().getClassName()
+
+
+def check_functions(spark: SparkSession, plan) -> None:
+    """Raise unless every function in the parse tree is Spark's own and not one of the refused."""
+    for makes_table, parts in function_names(plan):
+        name = parts[-1]
+        if len(parts) > 1 or name in _REFUSED_FUNCTIONS or not _is_spark_own(spark, name, makes_table):
+            raise ReadOnlyViolation(f"Function not allowed: {'.'.join(parts)}")
+
+
 def check_analyzed(plan, allowed: set[str]) -> None:
     """Raise unless the analyzed plan reads only ``allowed`` names and calls nothing outside SQL."""
     for node in _nodes(plan):
@@ -118,8 +158,10 @@ def sql_readonly(spark: SparkSession, text: str, allowed: set[str] | None = None
     """
     if allowed is None:
         allowed = set(MART_VIEWS) | {f"{schema}.{view}" for view, (_, schema) in MART_VIEWS.items()}
+    tree = parsed(spark, text)
+    check_functions(spark, tree)
     # names of two or more parts (files, other schemas) are refused before they are looked up
-    for name in _relations(parsed(spark, text)):
+    for name in _relations(tree):
         if len(name) > 1 and ".".join(name[-2:]) not in allowed:
             raise ReadOnlyViolation(f"Not a mart: {'.'.join(name)}")
     try:

@@ -3,14 +3,24 @@
 Local warehouse tables are Parquet tables in the session catalog, created from
 the fixed contract in ``vitrine.schemas.GOLD_TABLES`` (CHAR/VARCHAR lengths,
 DECIMAL precision, SMALLINT/INT ranges). Spark enforces those on insert under
-ANSI store assignment. An ``INSERT OVERWRITE`` removes the old files before
-its job runs, so a load is first written to a staging table with the same
-contract; only when that write and the key check pass is the target replaced.
+ANSI store assignment.
+
+Publication is atomic. A table's files live in a version folder
+(``.../vendas_temporais/version-<id>``) and its catalog entry is the pointer to it. A load
+writes a new version through a staging table with the same contract, checks the key
+there, and then points the table at the new folder: one catalog change, with no write
+after it that could fail. Until that moment, whatever fails, the old rows are the table.
+Partitions are found by listing the version folder, not kept in the catalog (there are as
+many as months), so the same change covers them. The version before stays for queries that
+already read it, until the next load.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,10 +31,18 @@ from vitrine.schemas import GOLD_TABLES
 _LENGTH_TYPE = re.compile(r"^(CHAR|VARCHAR)\((\d+)\)$")
 
 
+_VERSION = "version-"
+_TRACK_PARTITIONS = "spark.sql.hive.manageFilesourcePartitions"
+
+
 class ContractViolation(ValueError):
     """The data breaks the table contract; nothing was written."""
 
 
+class PublicationError(RuntimeError):
+    """The new rows are whole and checked, but the table still shows the old ones."""
+
+
 def key_violations(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Keys that break a primary-key contract (NULL or not unique).
 
@@ -56,27 +74,77 @@ def table_ddl(table: str, location: str | None = None, name: str | None = None)
     return ddl
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _create(spark: SparkSession, table: str, location: str, name: str | None = None) -> None:
+    """A table over ``location`` whose partitions are those of the folder."""
+    with _setting(spark, _TRACK_PARTITIONS, "false"):
+        spark.sql(table_ddl(table, location, name))
+
+
+def _new_version(root: str) -> str:
+    return f"{root}/{_VERSION}{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop file system and path of a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def create_gold_tables(spark: SparkSession, location: str | None = None,
                        replace: bool = False) -> list[str]:
     """Create the gold tables (and their schemas) that are absent; returns their names.
 
     ``replace`` drops existing ones first, with their rows. ``location``, when given,
-    is a base folder; each table lives in ``{location}/{schema}/{table}``. Otherwise
-    the warehouse folder is used.
+    is a base folder; the versions of each table live in ``{location}/{schema}/{table}``.
+    Otherwise the schema's warehouse folder is used.
     """
     created = []
     for table in GOLD_TABLES:
-        schema = table.split(".")[0]
+        schema, plain = table.split(".")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
         if replace:
+            if spark.catalog.tableExists(table):
+                _discard_versions(spark, _version_root(_table_location(spark, table)), keep=())
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         if not spark.catalog.tableExists(table):
-            loc = f"{location}/{table.replace('.', '/')}" if location else None
-            spark.sql(table_ddl(table, loc))
+            base = f"{location}/{schema}" if location else spark.catalog.getDatabase(schema).locationUri
+            root = f"{base.rstrip('/')}/{plain}"
+            _create(spark, table, _new_version(root))
             created.append(table)
     return created
 
 
+def _version_root(location: str) -> str:
+    """Folder of a table's versions; a table that was not made here gets one beside it."""
+    parent, _, last = location.rstrip("/").rpartition("/")
+    return parent if last.startswith(_VERSION) else f"{location.rstrip('/')}__versions"
+
+
+def _discard_versions(spark: SparkSession, root: str, keep: tuple[str, ...]) -> None:
+    """Delete the version folders below ``root`` but those named."""
+    kept = {path.rstrip("/").rpartition("/")[2] for path in keep}
+    files, folder = _folder(spark, root)
+    if not files.exists(folder):
+        return
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(_VERSION) and name not in kept:
+            files.delete(status.getPath(), True)
+
+
 def _string_type(typ: str) -> bool:
     return typ == "STRING" or bool(_LENGTH_TYPE.match(typ))
 
@@ -104,28 +172,64 @@ def _table_location(spark: SparkSession, table: str) -> str | None:
     return None
 
 
+def _entry(spark: SparkSession, table: str):
+    """The session catalog, and a table's entry in it with its declared CHAR and VARCHAR types."""
+    schema, plain = table.split(".")
+    catalog = spark._jsparkSession.sessionState().catalog()
+    name = spark._jvm.org.apache.spark.sql.catalyst.TableIdentifier(
+        plain, spark._jvm.scala.Option.apply(schema))
+    return catalog, catalog.getTableRawMetadata(name)
+
+
+def _keeps_partitions_in_catalog(spark: SparkSession, table: str) -> bool:
+    _, entry = _entry(spark, table)
+    return entry.tracksPartitionsInCatalog() and entry.partitionColumnNames().nonEmpty()
+
+
+def _publish(spark: SparkSession, table: str, location: str) -> None:
+    """Point the table at a version folder: one change of its catalog entry.
+
+    ``ALTER TABLE ... SET LOCATION`` would do, but writes CHAR and VARCHAR columns back as
+    STRING, so the entry is changed as it is.
+    """
+    catalog, entry = _entry(spark, table)
+    kept = entry.storage()
+    _, folder = _folder(spark, location)
+    catalog.alterTable(entry.withNewStorage(
+        spark._jvm.scala.Option.apply(folder.toUri()), kept.inputFormat(), kept.outputFormat(),
+        kept.compressed(), kept.serde(), kept.properties()))
+    spark.catalog.refreshTable(table)
+
+
 def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
     """Replace all rows of ``table`` with ``df``; returns the rows written.
 
     1. ``df`` is computed once and written to ``{table}__staging`` (same
-       contract, next to the target): a row that breaks a type contract fails
+       contract, a new version folder): a row that breaks a type contract fails
        this write and the target is untouched;
     2. the key is checked on the staged files (a partially aggregated
        ``groupBy``; only the first few offending keys reach the driver);
-    3. the target is overwritten from the staged files, which already satisfy
-       the contract, and the staging table is dropped.
+    3. the target is pointed at the staged folder, and the staging entry is dropped;
+       no row is written after the check.
 
-    Both writes replace the whole table, whatever the session says about partition
+    A refused load deletes its folder and raises ``ContractViolation``. If step 3 fails,
+    the target keeps its old rows and the staging table is kept, with all new ones, and
+    named by the ``PublicationError``.
+
+    The staging write replaces the whole folder, whatever the session says about partition
     overwriting. Rows of a partitioned table are gathered by partition first, so a
     month is a few files instead of one per task; adaptive execution splits large
     months. The row count is observed during the staging write, not by another pass.
     """
     spark = df.sparkSession
-    staging = f"{table}__staging"
+    if _keeps_partitions_in_catalog(spark, table):
+        raise ValueError(f"{table} keeps its partitions in the catalog, so it cannot change its version at "
+                         "once; create it with create_gold_tables")
+    staging, before = f"{table}__staging", _table_location(spark, table)
+    root = _version_root(before)
+    version = _new_version(root)
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    target_loc = _table_location(spark, table)
-    loc = f"{target_loc.rstrip('/')}__staging" if target_loc else None
-    spark.sql(table_ddl(table, loc, name=staging))
+    _create(spark, table, version, name=staging)
     try:
         obs = Observation(f"rows_{table.replace('.', '_')}")
         _replace_rows(conform(df, table).observe(obs, F.count(F.lit(1)).alias("n")), table, staging)
@@ -137,28 +241,28 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
                 raise ContractViolation(
                     f"{table}: key {key} is NULL or repeated, e.g. "
                     + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
-        _replace_rows(spark.table(staging), table, table)
-        spark.sql(f"REFRESH TABLE {table}")
-        return n
-    except ContractViolation:
-        raise
     except Exception as exc:
-        raise ContractViolation(f"{table}: load refused: {exc}") from exc
-    finally:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        _discard_versions(spark, root, keep=(before,))
+        if isinstance(exc, ContractViolation):
+            raise
+        raise ContractViolation(f"{table}: load refused: {exc}") from exc
+    try:
+        _publish(spark, table, version)
+    except Exception as exc:
+        raise PublicationError(f"{table} shows its old rows; all {n} new ones are in {staging}: {exc}") from exc
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")         # the entry only: its files are the table's now
+    _discard_versions(spark, root, keep=(before, version))
+    return n
 
 
 def _replace_rows(df: DataFrame, contract: str, target: str) -> None:
     keys = GOLD_TABLES[contract]["partitioned_by"]
     if keys:
         df = df.hint("rebalance", *keys)
-    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(mode)
-    conf.set(mode, "static")                 # insertInto heeds the session's setting only
-    try:
+    # insertInto heeds the session's setting only
+    with _setting(df.sparkSession, "spark.sql.sources.partitionOverwriteMode", "static"):
         df.write.insertInto(target, overwrite=True)
-    finally:
-        conf.set(mode, before)
 
 
 def load_marts(marts, check_key: bool = True) -> dict[str, int]:
