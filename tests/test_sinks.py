@@ -226,6 +226,123 @@ def test_jdbc_round_trip_on_embedded_derby(spark):
         src.query("SELECT COUNT(*) AS n FROM clientes__staging").first()
 
 
+@pytest.fixture(scope="module")
+def warehouse(spark):
+    """A Derby warehouse with the three marts under their qualified names."""
+    from vitrine.plans.marts import sales_mart
+
+    url = "jdbc:derby:memory:vitrine_marts;create=true"
+    vendas = [sale(k, f"{2023 + k % 2}-{1 + k % 5:02d}-07 1{k % 3}:00:00", cliente="abc"[k % 3], produto="p1")
+              for k in range(60)]
+    clientes = [customer("a"), customer("b", estado="RJ"), customer("c", estado=None), customer("d", nome="D'Or")]
+    marts = _marts(spark, vendas=vendas, clientes=clientes,
+                   produtos=[product("p1", categoria="it's"), product("p2", categoria=None)])
+    frames = {SALES: sales_mart(marts.raw, True), CUSTOMERS: marts.customers, PRICING: marts.pricing}
+    for table, df in frames.items():
+        full_refresh_jdbc(df, table, url, DERBY)
+    return MartSource(spark, jdbc_url=url, jdbc_options=DERBY), marts
+
+
+def test_whole_marts_are_read_by_many_tasks(spark, warehouse):
+    source, marts = warehouse
+    sales = source.mart("sales")
+    assert sales.rdd.getNumPartitions() == 10                       # the months of two years
+    assert sorted(r.id_venda for r in sales.collect()) == sorted(str(k) for k in range(60))
+    whole = spark.read.format("jdbc").option("url", source.jdbc_url).options(**DERBY).option("dbtable", SALES).load()
+    assert sorted(map(str, sales.collect())) == sorted(
+        map(str, whole.toDF(*[c.lower() for c in whole.columns]).collect()))
+    customers, pricing = source.mart("customers"), source.mart("pricing")
+    assert customers.rdd.getNumPartitions() == 3 and pricing.rdd.getNumPartitions() == 2
+    assert sorted(r.nome_cliente for r in customers.collect()) == ["Cliente a", "Cliente b", "Cliente c", "D'Or"]
+    assert {r.categoria for r in pricing.collect()} == {"it's", None}
+    month = sales.where("mes_venda = 2 AND ano_venda = 2024")
+    assert month.count() == sum(1 for k in range(60) if k % 2 == 1 and k % 5 == 1)
+
+
+def test_queries_are_split_by_columns_of_their_result(spark, warehouse):
+    source, _ = warehouse
+    text = f"SELECT mes_venda, id_cliente, COUNT(*) AS n FROM {SALES} GROUP BY mes_venda, id_cliente"
+    split = source.query_readonly(text, split_by=("mes_venda",))
+    assert split.rdd.getNumPartitions() == 5 and source.query(text).rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, source.query(text).collect()))
+    assert source.query(f"SELECT * FROM {SALES} WHERE 1 = 0", split_by=("mes_venda",)).count() == 0
+
+
+def test_split_predicates_cover_every_row_once():
+    import datetime as dt
+
+    from vitrine.sources.warehouse import split_predicates
+    assert split_predicates(("a", "b"), [(1, "x'y"), (None, None), (1, "x'y")]) == [
+        "(a IS NULL AND b IS NULL)", "(a = 1 AND b = 'x''y')"]
+    assert split_predicates(("d",), [(dt.date(2024, 1, 2),), (None,)]) == ["(d IS NULL)", "(d = {d '2024-01-02'})"]
+    parts = split_predicates(("a",), [(k,) for k in range(25)], tasks=10)
+    assert len(parts) == 9 and sum(p.count("a = ") for p in parts) == 25
+    with pytest.raises(TypeError):
+        split_predicates(("a",), [(1.5,)])
+
+
+def test_catalog_of_loaded_tables_and_of_a_warehouse(spark, tables, warehouse):
+    from tests.test_readonly import _jobs_of
+    from vitrine.plans.readonly import mart_catalog
+
+    source, marts = warehouse
+    load_marts(marts)
+    loaded = MartSource(spark, catalog=True)
+    assert _jobs_of(spark, lambda: mart_catalog(spark, loaded)) == 0
+    assert _jobs_of(spark, lambda: mart_catalog(spark, source)) == 0
+    rows = sorted(map(tuple, mart_catalog(spark, loaded).collect()))
+    assert rows == sorted(map(tuple, mart_catalog(spark, source).collect()))
+    listed = {(r[0], r[2]): r[3:] for r in rows}
+    assert listed["clientes_segmentacao", "id_cliente"] == ("string", False)
+    assert listed["vendas_temporais", "estado"] == ("char(2)", True)
+    assert listed["precos_competitividade", "diferenca_percentual_vs_media"] == ("decimal(8,2)", True)
+    assert len(rows) == 21 + 10 + 13
+    local = mart_catalog(spark, MartSource(spark, marts=marts))
+    assert {r.mart for r in local.collect()} == {r[0] for r in rows}
+
+
+@pytest.fixture
+def views(spark, scratch):
+    from vitrine.sources.views import publish_views
+
+    for t in (SALES, CUSTOMERS, PRICING):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {t.split('.')[0]}")
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    publish_views(spark, _marts(spark), scratch)
+    yield scratch
+    for t in (SALES, CUSTOMERS, PRICING):
+        spark.sql(f"DROP VIEW IF EXISTS {t}")
+
+
+def test_qualified_names_through_plain_sql(spark, views):
+    from tests.test_readonly import QUALIFIED
+    from tests.test_plans import plan_text
+    from vitrine.plans.readonly import ReadOnlyViolation
+    from vitrine.sources.views import publish_views
+
+    for text in QUALIFIED:
+        assert spark.sql(text).collect() is not None
+        assert MartSource(spark, catalog=True).query_readonly(text).collect() is not None
+    with pytest.raises(ReadOnlyViolation):
+        MartSource(spark, catalog=True).query_readonly("DROP VIEW public_gold_cs.clientes_segmentacao")
+    month = spark.sql(f"SELECT SUM(total_vendas) AS n FROM {SALES} WHERE mes_venda = 2")
+    assert "PartitionFilters: [isnotnull(mes_venda" in plan_text(month) and month.first().n == 1
+    # the next publication replaces all rows; a running query keeps its files
+    files = spark.table(SALES).inputFiles()
+    more = _marts(spark, vendas=[sale(k, "2025-03-07 10:00:00", cliente="a") for k in range(9)])
+    publish_views(spark, more, views)
+    assert spark.table(SALES).count() == 9 and spark.read.parquet(*files).count() == 2
+    with pytest.raises(ContractViolation):
+        publish_views(spark, _marts(spark, clientes=[customer("a"), customer("a")]), views)
+    assert spark.table(SALES).count() == 9 and spark.table(CUSTOMERS).count() == 3
+
+
+def test_views_do_not_hide_loaded_tables(spark, tables, scratch):
+    from vitrine.sources.views import publish_views
+    with pytest.raises(ValueError, match="is a table"):
+        publish_views(spark, _marts(spark), scratch)
+
+
 def test_refused_jdbc_load_keeps_the_old_rows(spark):
     url = "jdbc:derby:memory:vitrine_refused;create=true"
     full_refresh_jdbc(_marts(spark).customers, "clientes", url, DERBY, contract=CUSTOMERS)

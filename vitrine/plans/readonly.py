@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.plans.marts import Marts, customer_mart_columns, sales_daily, sales_enriched
 from vitrine.schemas import (
-    CUSTOMERS_MART, CUSTOMERS_SCHEMA, PRICING_MART, PRICING_SCHEMA, SALES_MART, SALES_SCHEMA,
+    CUSTOMERS_MART, CUSTOMERS_SCHEMA, GOLD_TABLES, PRICING_MART, PRICING_SCHEMA, SALES_MART, SALES_SCHEMA,
 )
 
 # view name -> (attribute of ``Marts``, schema it has in the warehouse)
@@ -217,8 +217,40 @@ def local_query(spark: SparkSession, marts: Marts, text: str) -> DataFrame:
     return sql_readonly(spark, text, set(MART_VIEWS))
 
 
-def mart_catalog(spark: SparkSession, marts: Marts) -> DataFrame:
-    """Name, position, column and type of every mart column; starts no job."""
+_CATALOG = "mart string, posicao int, coluna string, tipo string, anulavel boolean"
+_READ_AS = {"STRING": "string", "CHAR": "string", "VARCHAR": "string", "SMALLINT": "smallint|int", "INT": "int",
+            "DATE": "date"}
+
+
+def declared_catalog(spark: SparkSession, source) -> DataFrame:
+    """The catalog of loaded tables or a warehouse, from their metadata; starts no job.
+
+    Columns are in the contract's order, others follow. The type is the contract's where the source's
+    type stands for it (drivers give SMALLINT as int, CHAR as string), else the source's own.
+    """
+    rows = []
+    for name, (mart, schema) in {"sales": (SALES_MART, SALES_SCHEMA), "customers": (CUSTOMERS_MART, CUSTOMERS_SCHEMA),
+                                 "pricing": (PRICING_MART, PRICING_SCHEMA)}.items():
+        contract = GOLD_TABLES[f"{schema}.{mart}"]
+        there = {f.name.lower(): f.dataType.simpleString() for f in source.schema(name).fields}
+        declared = dict(contract["columns"])
+        ordered = [c for c in declared if c in there] + [c for c in there if c not in declared]
+        for pos, column in enumerate(ordered, start=1):
+            kind, own = declared.get(column), there[column]
+            expected = _READ_AS.get(kind.split("(")[0], kind.lower()).split("|") if kind else []
+            rows.append((mart, pos, column, kind.lower() if own.split("(")[0] in expected or own in expected else own,
+                         column != contract["key"]))
+    return spark.createDataFrame(rows, _CATALOG)
+
+
+def mart_catalog(spark: SparkSession, marts) -> DataFrame:
+    """Name, position, column and type of every mart column; starts no job.
+
+    ``marts`` is a ``Marts``, or a ``MartSource`` of any mode.
+    """
+    if getattr(marts, "mode", "local") != "local":
+        return declared_catalog(spark, marts)
+    marts = getattr(marts, "marts", marts)
     sales = sales_enriched(marts.raw).schema.fields
     if marts.with_daily_context:
         sales = [*sales, *(f for f in sales_daily(marts.raw).schema.fields if f.name != "data_venda")]
@@ -227,5 +259,4 @@ def mart_catalog(spark: SparkSession, marts: Marts) -> DataFrame:
                                  (CUSTOMERS_MART, customer_mart_columns(marts.raw).schema.fields),
                                  (PRICING_MART, marts.pricing.schema.fields))
             for pos, field in enumerate(fields, start=1)]
-    return spark.createDataFrame(
-        rows, "mart string, posicao int, coluna string, tipo string, anulavel boolean")
+    return spark.createDataFrame(rows, _CATALOG)

@@ -117,7 +117,7 @@ def create_gold_tables(spark: SparkSession, location: str | None = None,
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
         if replace:
             if spark.catalog.tableExists(table):
-                _discard_versions(spark, _version_root(_table_location(spark, table)), keep=())
+                discard_versions(spark, _version_root(_table_location(spark, table)), keep=())
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         if not spark.catalog.tableExists(table):
             base = f"{location}/{schema}" if location else spark.catalog.getDatabase(schema).locationUri
@@ -133,7 +133,7 @@ def _version_root(location: str) -> str:
     return parent if last.startswith(_VERSION) else f"{location.rstrip('/')}__versions"
 
 
-def _discard_versions(spark: SparkSession, root: str, keep: tuple[str, ...]) -> None:
+def discard_versions(spark: SparkSession, root: str, keep: tuple[str, ...]) -> None:
     """Delete the version folders below ``root`` but those named."""
     kept = {path.rstrip("/").rpartition("/")[2] for path in keep}
     files, folder = _folder(spark, root)
@@ -243,7 +243,7 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
                     + ", ".join(f"{r.chave!r} x{r.ocorrencias}" for r in bad))
     except Exception as exc:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        _discard_versions(spark, root, keep=(before,))
+        discard_versions(spark, root, keep=(before,))
         if isinstance(exc, ContractViolation):
             raise
         raise ContractViolation(f"{table}: load refused: {exc}") from exc
@@ -252,7 +252,7 @@ def full_refresh(df: DataFrame, table: str, check_key: bool = True) -> int:
     except Exception as exc:
         raise PublicationError(f"{table} shows its old rows; all {n} new ones are in {staging}: {exc}") from exc
     spark.sql(f"DROP TABLE IF EXISTS {staging}")         # the entry only: its files are the table's now
-    _discard_versions(spark, root, keep=(before, version))
+    discard_versions(spark, root, keep=(before, version))
     return n
 
 

@@ -7,6 +7,9 @@ keeps that switch in one place.
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +24,42 @@ MART_TABLES = {
     "customers": f"{CUSTOMERS_SCHEMA}.{CUSTOMERS_MART}",
     "pricing": f"{PRICING_SCHEMA}.{PRICING_MART}",
 }
+# columns of few values that a warehouse read is split by
+SPLIT_COLUMNS = {"sales": ("ano_venda", "mes_venda"), "customers": ("estado",), "pricing": ("categoria",)}
+MAX_TASKS = 200            # connections of a split read
+MAX_VALUES = 10_000        # combinations of split values that the driver takes
+
+
+def _literal(value) -> str:
+    """The value in SQL that every JDBC driver reads."""
+    if isinstance(value, bool) or not isinstance(value, (int, Decimal, str, dt.date)):
+        raise TypeError(f"a warehouse read cannot be split by values like {value!r}")
+    if isinstance(value, dt.datetime):
+        return f"{{ts '{value.isoformat(' ')}'}}"
+    if isinstance(value, dt.date):
+        return f"{{d '{value.isoformat()}'}}"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def split_predicates(columns: tuple[str, ...], values: list[tuple], tasks: int = MAX_TASKS) -> list[str]:
+    """At most ``tasks`` conditions of which every row with one of the values meets exactly one."""
+    def one(row: tuple) -> str:
+        return " AND ".join(f"{c} IS NULL" if v is None else f"{c} = {_literal(v)}"
+                            for c, v in zip(columns, row))
+
+    rows = sorted(set(values), key=lambda r: [(v is not None, v) if v is not None else (False,) for v in r])
+    each = max(1, -(-len(rows) // tasks))
+    return [" OR ".join(f"({one(r)})" for r in rows[k:k + each]) for k in range(0, len(rows), each)]
 
 
 class MartSource:
     """``query(sql)`` and ``mart(name)`` over a JDBC warehouse, the loaded gold
     tables, or marts built from the raw files.
 
-    * ``jdbc_url``: the SQL runs in the warehouse and Spark reads the result
-      (pass ``numPartitions``/``partitionColumn`` options for large reads);
+    * ``jdbc_url``: the SQL runs in the warehouse and Spark reads the result. Whole marts are
+      read by many tasks, one connection each, split by ``SPLIT_COLUMNS`` (sales by month);
+      a query is split by the columns of its result given as ``split_by``. The split values are
+      asked for first, so a load that commits in between can be seen by some tasks only;
     * ``catalog=True``: the gold tables loaded by ``vitrine.sources.tables``
       are read from the session catalog under their schema-qualified names;
       filters on ``ano_venda``/``mes_venda`` prune the sales table's partitions;
@@ -53,19 +84,19 @@ class MartSource:
     def mode(self) -> str:
         return "jdbc" if self.jdbc_url else ("catalog" if self.catalog else "local")
 
-    def query(self, sql: str) -> DataFrame:
+    def query(self, sql: str, split_by: tuple[str, ...] = ()) -> DataFrame:
         """Run the text as it is (see :meth:`query_readonly` for text of others)."""
         if self.jdbc_url:
-            return self._jdbc().option("query", sql).load()
+            return self._read(sql, split_by, self._jdbc())
         if self.mode == "local":
             register_marts(self.marts)
         return self.spark.sql(sql)
 
-    def query_readonly(self, sql: str) -> DataFrame:
+    def query_readonly(self, sql: str, split_by: tuple[str, ...] = ()) -> DataFrame:
         """Like :meth:`query`, but only a single read-only query over the marts is accepted.
 
-        In Spark the analyzed plan is checked (see ``sql_readonly``). Over JDBC the text
-        must parse as one subquery in Spark's grammar, since Spark pastes it between
+        In Spark the functions it names and its analyzed plan are checked (see ``sql_readonly``). Over
+        JDBC the text must parse as one subquery in Spark's grammar, since Spark pastes it between
         parentheses; for PostgreSQL the session is read-only besides.
         """
         if self.jdbc_url:
@@ -73,11 +104,28 @@ class MartSource:
             reader = self._jdbc()
             if self.jdbc_url.startswith("jdbc:postgresql"):
                 reader = reader.option("sessionInitStatement", self.READ_ONLY_SESSION)
-            return reader.option("query", sql.rstrip().rstrip("; \n\t")).load()
+            return self._read(sql.rstrip().rstrip("; \n\t"), split_by, reader)
         if self.mode == "local":
             return local_query(self.spark, self.marts, sql)
         return sql_readonly(self.spark, sql)
 
+    def _read(self, sql: str, split_by: tuple[str, ...], reader) -> DataFrame:
+        if split_by:
+            return self._split(f"(\n{sql}\n) q", tuple(split_by), reader)
+        return reader.option("query", sql).load()
+
+    def _split(self, relation: str, columns: tuple[str, ...], reader) -> DataFrame:
+        """The relation's rows, read by one task per group of values of ``columns``."""
+        names = ", ".join(columns)
+        values = [tuple(r) for r in self._jdbc().option("dbtable", f"(SELECT DISTINCT {names} FROM {relation}) v")
+                  .load().limit(MAX_VALUES + 1).collect()]
+        if len(values) > MAX_VALUES:
+            raise ValueError(f"more than {MAX_VALUES} values of {names}; split by columns of fewer values")
+        predicates = split_predicates(columns, values)
+        if not predicates:
+            return reader.option("dbtable", relation).load()
+        return reader.jdbc(self.jdbc_url, relation, predicates=predicates)
+
     def _jdbc(self):
         return self.spark.read.format("jdbc").option("url", self.jdbc_url).options(**self.jdbc_options)
 
@@ -109,7 +157,7 @@ class MartSource:
     def mart(self, name: str, order_by_rank: bool = False) -> DataFrame:
         """Whole mart (``SELECT *``); customers optionally by rank, NULLs last."""
         if self.jdbc_url:
-            df = self._jdbc().option("dbtable", MART_TABLES[name]).load()
+            df = self._split(MART_TABLES[name], SPLIT_COLUMNS[name], self._jdbc())
             df = df.toDF(*[c.lower() for c in df.columns])
         elif self.catalog:
             df = self.spark.table(MART_TABLES[name])
@@ -118,3 +166,9 @@ class MartSource:
         if order_by_rank:
             df = df.orderBy(F.col("ranking_receita").asc_nulls_last())
         return df
+
+    def schema(self, name: str):
+        """Columns of a mart as its source declares them; reads no row."""
+        if self.jdbc_url:
+            return self._jdbc().option("dbtable", MART_TABLES[name]).load().schema
+        return self.spark.table(MART_TABLES[name]).schema if self.catalog else getattr(self.marts, name).schema
