@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 from decimal import Decimal as D
 
 import pytest
@@ -172,6 +173,79 @@ def test_sales_page_bundle_equals_single_datasets(marts, month):
     assert [tuple(r) for r in got["top_categories"].collect()] == \
         [tuple(r) for r in dash.top_categories(page).collect()]
     assert _rows(got["kpis"]) == _rows(dash.sales_kpis(page))
+    assert got["months"].collect() == dash.sales_months(marts.sales).collect()
+    pruned = dash.sales_page_datasets(marts.sales, month, prune=True)
+    for name, df in got.items():
+        assert [tuple(r) for r in pruned[name].collect()] == [tuple(r) for r in df.collect()], name
+        assert dict(df.dtypes) == dict(pruned[name].dtypes)
+
+
+def _counting(df):
+    """The frame, and the number of its rows that tasks have read so far."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+@pytest.mark.parametrize("month", [None, 2])
+def test_sales_page_reads_the_sales_once(marts, month):
+    sales, seen = _counting(marts.sales)
+    got = dash.sales_page_datasets(sales, month)
+    assert len(got) == 7
+    for df in got.values():
+        df.collect()
+    assert seen.value == marts.sales.count()
+
+
+def test_sales_page_of_a_month_without_sales(marts):
+    empty = dash.sales_page_datasets(marts.sales, 7)
+    assert _rows(empty["kpis"]) == _rows(dash.sales_kpis(dash.sales_page(marts.sales, 7)))
+    assert [r.mes_venda for r in empty["months"].collect()] == [1, 2]
+    assert all(df.count() == 0 for name, df in empty.items() if name not in ("kpis", "months"))
+    none = dash.sales_page_datasets(marts.sales.limit(0))
+    assert _rows(none["kpis"]) == _rows(dash.sales_kpis(marts.sales.limit(0))) and none["months"].count() == 0
+
+
+@pytest.mark.parametrize("segment", [None, "VIP", "TOP_TIER", "REGULAR"])
+def test_customers_page_from_marts_equals_single_datasets(spark, marts, segment):
+    from vitrine.sources.warehouse import MartSource
+
+    ranked, lean = marts.customers, build_marts(marts.raw)
+    for source in (lean, MartSource(spark, marts=build_marts(marts.raw)), ranked):
+        got = dash.customers_page_datasets(source, segment)
+        assert _rows(got["kpis"]) == _rows(dash.customer_kpis(ranked))
+        assert _rows(got["customers_by_segment"]) == _rows(dash.customers_by_segment(ranked))
+        assert _rows(got["revenue_by_segment"]) == _rows(dash.revenue_by_segment(ranked))
+        assert got["top_customers"].collect() == dash.top_customers(ranked).collect()
+        assert got["customers_by_state"].collect() == dash.customers_by_state(ranked).collect()
+        assert got["table"].collect() == dash.customer_table(ranked, segment).collect()
+        assert dict(got["kpis"].dtypes) == dict(dash.customer_kpis(ranked).dtypes)
+    assert ("customers" in vars(lean)) == (segment in (None, "REGULAR"))     # else nobody else is ranked
+
+
+def test_customers_page_reads_the_sales_once_and_ranks_nobody(marts):
+    vendas, seen = _counting(marts.raw.vendas)
+    lean = build_marts(replace(marts.raw, vendas=vendas))
+    got = dash.customers_page_datasets(lean, with_table=False)
+    assert "table" not in got
+    for df in got.values():
+        df.collect()
+    assert seen.value == marts.raw.vendas.count() and "customers" not in vars(lean)
+    dash.customers_page_datasets(lean)["table"].collect()
+    assert seen.value == marts.raw.vendas.count()
+
+
+def test_report_refuses_repeated_dimension_keys(spark, marts):
+    from vitrine.sources.tables import ContractViolation
+
+    twice = build_marts(replace(marts.raw, produtos=marts.raw.produtos.union(marts.raw.produtos)))
+    with pytest.raises(ContractViolation, match="produtos"):
+        rep.run_report(spark, twice)
 
 
 def test_other_page_bundles(marts):

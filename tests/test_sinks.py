@@ -356,6 +356,29 @@ def test_refused_jdbc_load_keeps_the_old_rows(spark):
     assert src.query("SELECT COUNT(*) AS n FROM clientes").first()[0] == 3
 
 
+def test_load_reads_each_input_once(spark, tables):
+    from dataclasses import replace
+
+    from tests.test_dashboard_reports import _counting
+    marts = _marts(spark)
+    seen, inputs = {}, {}
+    for name in ("vendas", "clientes", "produtos"):
+        inputs[name], seen[name] = _counting(getattr(marts.raw, name))
+    assert load_marts(build_marts(replace(marts.raw, **inputs))) == {SALES: 2, CUSTOMERS: 3, PRICING: 2}
+    assert {k: v.value for k, v in seen.items()} == {"vendas": 2, "clientes": 3, "produtos": 2}
+
+
+def test_load_refuses_repeated_dimension_keys_before_it_writes(spark, tables):
+    load_marts(_marts(spark))
+    before = {t: _rows(spark, t) for t in (SALES, CUSTOMERS, PRICING)}
+    for bad, match in ((dict(clientes=[customer("a"), customer("a")]), "clientes.*'a' x2"),
+                       (dict(clientes=[customer(None), customer("b")]), "clientes.*None x1"),
+                       (dict(produtos=[product("p1"), product("p1", "12.00")]), "produtos.*'p1' x2")):
+        with pytest.raises(ContractViolation, match=match):
+            load_marts(_marts(spark, vendas=[sale(7, "2024-01-07 10:00:00")], **bad))
+        assert {t: _rows(spark, t) for t in before} == before
+
+
 def test_input_keys(spark):
     good = input_key_violations(_marts(spark).raw).collect()
     bad = _marts(spark, clientes=[customer("a"), customer("a"), customer(None)],

@@ -88,13 +88,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.cmd == "load":
             marts = _marts(spark, args)
             if args.jdbc_url:
-                from vitrine.plans.marts import sales_mart
                 props = {"driver": args.jdbc_driver} if args.jdbc_driver else {}
-                frames = {"public_gold_sales.vendas_temporais": sales_mart(marts.raw, True),
-                          "public_gold_cs.clientes_segmentacao": marts.customers,
-                          "public_gold_pricing.precos_competitividade": marts.pricing}
                 counts = {t: tables.full_refresh_jdbc(df, t, args.jdbc_url, props)
-                          for t, df in frames.items()}
+                          for t, df in tables.mart_frames(marts).items()}
             else:
                 tables.create_gold_tables(spark)
                 counts = tables.load_marts(marts)

@@ -21,11 +21,11 @@ from vitrine.plans.marts import mean
 from vitrine.plans.reports import AVERAGE_DIGITS, exact_mean_2dp
 from vitrine.schemas import (
     CLASS_CHEAPER_THAN_ALL, CLASS_MORE_EXPENSIVE_THAN_ALL, CUSTOMER_TABLE_NAMES,
-    DASHBOARD_TOP_CATEGORIES, DASHBOARD_TOP_CUSTOMERS, MONEY, PRICE_ALERT_NAMES, SEGMENT_VIP,
+    DASHBOARD_TOP_CATEGORIES, DASHBOARD_TOP_CUSTOMERS, MONEY, PRICE_ALERT_NAMES, SEGMENT_TOP, SEGMENT_VIP,
 )
 
 
-def _sum_or_zero(col: str) -> F.Column:
+def _sum_or_zero(col: str | F.Column) -> F.Column:
     return F.coalesce(F.sum(col).cast(MONEY), F.lit(0).cast(MONEY))
 
 
@@ -41,12 +41,16 @@ def sales_page(sales: DataFrame, month: int | None = None) -> DataFrame:
 
 def sales_kpis(sales: DataFrame) -> DataFrame:
     """Revenue, number of sales, mean ticket (0 when empty), distinct customers."""
-    return sales.agg(
+    return _formatted_kpis(sales.agg(
         _sum_or_zero("receita_total").alias("receita_total"),
         F.count(F.lit(1)).alias("total_vendas"),
         F.coalesce(mean("receita_total"), F.lit(0.0)).alias("ticket_medio"),
         F.countDistinct("id_cliente").alias("clientes_unicos"),
-    ).select(
+    ))
+
+
+def _formatted_kpis(kpis: DataFrame) -> DataFrame:
+    return kpis.select(
         "*",
         brl(F.col("receita_total")).alias("receita_total_fmt"),
         thousands(F.col("total_vendas")).alias("total_vendas_fmt"),
@@ -232,54 +236,73 @@ def price_alerts(pricing: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ page bundles
-_SALES_CHART_KEYS = ("data_venda", "dia_semana_nome", "hora_venda", "canal_venda", "categoria")
-
-
-def sales_chart_totals(sales: DataFrame) -> DataFrame:
-    """Revenue and sale count per day, weekday, hour, channel and category in
-    one aggregation: ``GROUPING SETS`` expands each row once per key inside
-    the partial aggregate, so the sales are scanned and shuffled once instead
-    of five times. ``grupo`` names the key of each row; NULL keys are dropped
-    as the page did. The result has one row per distinct key value."""
-    keys = [F.col(k) for k in _SALES_CHART_KEYS]
-    gid = F.col("_gid")
-    full = (1 << len(keys)) - 1
-    which = F.lit(None).cast("string")
-    for i, k in enumerate(_SALES_CHART_KEYS):
-        which = F.when(gid == full - (1 << (len(keys) - 1 - i)), F.lit(k)).otherwise(which)
-    agg = (sales.groupingSets([[k] for k in keys], *keys)
-           .agg(_sum_or_zero("receita_total").alias("receita_total"),
-                F.count("id_venda").alias("vendas"),
-                F.grouping_id(*keys).alias("_gid"))
-           .withColumn("grupo", which).drop("_gid"))
-    present = F.lit(False)
-    for k in _SALES_CHART_KEYS:
-        present = present | ((F.col("grupo") == k) & F.col(k).isNotNull())
-    return agg.where(present)
-
-
-def sales_page_datasets(sales: DataFrame, month: int | None = None) -> dict[str, DataFrame]:
+_SALES_KEYS = ("data_venda", "dia_semana_nome", "hora_venda", "canal_venda", "categoria", "mes_venda", "id_cliente")
+
+
+def grouped_once(df: DataFrame, keys: Sequence[str], totals: Sequence[F.Column]) -> DataFrame:
+    """``totals`` per value of each of ``keys``, in one aggregation over ``df``.
+
+    ``GROUPING SETS`` expands each row once per key inside the partial aggregate, so the rows
+    are scanned and shuffled once instead of once per key. ``grupo`` names the key of a row.
+    """
+    columns = [F.col(k) for k in keys]
+    full, which = (1 << len(keys)) - 1, F.lit(None).cast("string")
+    for i, k in enumerate(keys):
+        which = F.when(F.col("_gid") == full - (1 << (len(keys) - 1 - i)), F.lit(k)).otherwise(which)
+    return (df.groupingSets([[k] for k in columns], *columns)
+            .agg(*totals, F.grouping_id(*columns).alias("_gid"))
+            .withColumn("grupo", which).drop("_gid"))
+
+
+def sales_page_totals(sales: DataFrame, month: int | None = None) -> DataFrame:
+    """What every dataset of the sales page is made of, from one scan of the sales.
+
+    Rows of other months add nothing to the totals and only show that their month is there. The
+    group of a customer is that customer's sales, so the distinct count is a count of such
+    groups: customers are merged before the shuffle, as a distinct count would do, and no second
+    pass is needed. The result has one row per customer, and one per distinct value of the
+    other keys.
+    """
+    here = F.lit(True) if month is None else F.coalesce(F.col("mes_venda") == month, F.lit(False))
+    rows = sales.select(*_SALES_KEYS, "receita_total", "id_venda", here.alias("_here"))
+    inside = lambda c: F.when(F.col("_here"), c)                          # noqa: E731
+    return grouped_once(rows, _SALES_KEYS, [
+        _sum_or_zero(inside(F.col("receita_total"))).alias("receita_total"),
+        F.count(inside(F.col("id_venda"))).alias("vendas"),
+        F.count(inside(F.col("receita_total"))).alias("tickets"),
+        F.count(inside(F.lit(1))).alias("linhas")])
+
+
+def sales_page_datasets(sales: DataFrame, month: int | None = None, prune: bool = False) -> dict[str, DataFrame]:
     """Every dataset of the sales page for one month filter.
 
     The page reads product categories but no customer attribute, so pass
     ``Marts.sales_with_products`` (or the loaded table) rather than the full
-    mart. The grouped charts come from one materialized ``sales_chart_totals``
-    (bounded by the number of distinct days, hours, weekdays, channels and
-    categories); the KPIs are one global aggregate.
+    mart. All seven datasets come from one materialized ``sales_page_totals``, one scan of
+    the sales. ``prune`` is for a table partitioned by month: the month's partitions alone are
+    read for the totals, and the partition column for the months.
     """
     from vitrine.operators.materialize import materialize
 
-    page = sales_page(sales, month)
-    totals = materialize(sales_chart_totals(page), "sales-page")
+    pruned = prune and month is not None
+    totals = materialize(sales_page_totals(sales_page(sales, month) if pruned else sales, month), "sales-page")
 
     def part(key: str) -> DataFrame:
-        return totals.where(F.col("grupo") == key)
+        return totals.where((F.col("grupo") == key) & F.col(key).isNotNull() & (F.col("linhas") > 0))
 
+    buyers = totals.where(F.col("grupo") == "id_cliente")
+    kpis = buyers.agg(
+        _sum_or_zero("receita_total").alias("receita_total"),
+        F.coalesce(F.sum("linhas"), F.lit(0).cast("bigint")).alias("total_vendas"),
+        F.coalesce(F.try_divide(F.sum("receita_total").cast("double"), F.sum("tickets")),
+                   F.lit(0.0)).alias("ticket_medio"),
+        F.count_if(F.col("id_cliente").isNotNull() & (F.col("linhas") > 0)).alias("clientes_unicos"))
+    months = totals.where(F.col("grupo") == "mes_venda")
     top = (part("categoria").orderBy(F.col("receita_total").desc(), F.col("categoria").asc())
            .limit(DASHBOARD_TOP_CATEGORIES))
     return {
-        "kpis": sales_kpis(page),
-        "months": sales_months(sales),
+        "kpis": _formatted_kpis(kpis),
+        "months": sales_months(sales if pruned else months),
         "revenue_by_day": part("data_venda").select("data_venda", "receita_total").orderBy("data_venda"),
         "revenue_by_weekday": part("dia_semana_nome").select("dia_semana_nome", "receita_total")
         .orderBy(weekday_order(F.col("dia_semana_nome")).asc_nulls_last(), "dia_semana_nome"),
@@ -290,16 +313,51 @@ def sales_page_datasets(sales: DataFrame, month: int | None = None) -> dict[str,
     }
 
 
-def customers_page_datasets(customers: DataFrame, segment: str | None = None) -> dict[str, DataFrame]:
-    """Every dataset of the customers page; ``segment`` filters the detail table."""
-    return {
-        "kpis": customer_kpis(customers),
-        "customers_by_segment": customers_by_segment(customers),
-        "revenue_by_segment": revenue_by_segment(customers),
-        "top_customers": top_customers(customers),
-        "customers_by_state": customers_by_state(customers),
-        "table": customer_table(customers, segment),
+_CUSTOMER_KEYS = ("segmento_cliente", "estado")
+
+
+def customers_page_datasets(customers, segment: str | None = None, with_table: bool = True) -> dict[str, DataFrame]:
+    """Every dataset of the customers page; ``segment`` filters the detail table.
+
+    ``customers`` is a ``Marts``, a ``MartSource``, or a customer mart with ranks. The KPIs and the three
+    charts come from one grouping-sets pass, whose few rows are written. From local marts the
+    per-customer stats are computed once for the whole page; the best customers, and the table of a segment
+    that ranks decide, are a top-k of them. Everyone is ranked only for a table that shows everyone (or
+    the last segment); a front end that does not show it leaves it out by ``with_table``.
+    """
+    from vitrine.operators.materialize import materialize
+
+    if isinstance(customers, DataFrame):
+        mart, best, table = customers, top_customers(customers), lambda: customers
+    else:
+        local = getattr(customers, "marts", None) if getattr(customers, "mode", "local") == "local" else None
+        marts = local or customers
+        if hasattr(marts, "top_customers"):                       # built here
+            mart = marts.customer_segments                       # which has the stats written
+            best = top_customers(marts.top_customers(DASHBOARD_TOP_CUSTOMERS))
+            table = lambda: marts.best_customers if segment in (SEGMENT_VIP, SEGMENT_TOP) else marts.customers
+        else:
+            mart = marts.customers
+            best, table = top_customers(mart), lambda: mart
+    totals = materialize(grouped_once(mart.select(*_CUSTOMER_KEYS, "receita_total", "ticket_medio"), _CUSTOMER_KEYS, [
+        F.count(F.lit(1)).alias("clientes"), _sum_or_zero("receita_total").alias("receita_total"),
+        F.sum("ticket_medio").alias("tickets"), F.count("ticket_medio").alias("com_ticket")]), "customers-page")
+    by_segment, is_vip = totals.where(F.col("grupo") == "segmento_cliente"), F.col("segmento_cliente") == SEGMENT_VIP
+    zero = F.lit(0).cast("bigint")
+    out = {
+        "kpis": by_segment.agg(
+            F.coalesce(F.sum("clientes"), zero).alias("total_clientes"),
+            F.coalesce(F.sum(F.when(is_vip, F.col("clientes"))), zero).alias("clientes_vip"),
+            _sum_or_zero(F.when(is_vip, F.col("receita_total"))).alias("receita_vip"),
+            F.round(F.try_divide(F.sum("tickets").cast("double"), F.sum("com_ticket")), AVERAGE_DIGITS)
+            .alias("ticket_medio_geral")),
+        "customers_by_segment": _grouped(by_segment, "segmento_cliente").select("segmento_cliente", "clientes"),
+        "revenue_by_segment": _grouped(by_segment, "segmento_cliente").select("segmento_cliente", "receita_total"),
+        "top_customers": best,
+        "customers_by_state": _grouped(totals.where(F.col("grupo") == "estado"), "estado")
+        .select("estado", "clientes").orderBy(F.col("clientes").desc(), F.col("estado").asc()),
     }
+    return out | ({"table": customer_table(table(), segment)} if with_table else {})
 
 
 def pricing_page_datasets(pricing: DataFrame,

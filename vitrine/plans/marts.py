@@ -142,17 +142,28 @@ def _customer_columns(clientes: DataFrame, ranked: DataFrame, vip_max: int, top_
 
 
 def customer_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
-                  top_max: int = TOP_TIER_MAX_RANK) -> DataFrame:
+                  top_max: int = TOP_TIER_MAX_RANK, stats: DataFrame | None = None) -> DataFrame:
     """Customers with stats, revenue rank and segment.
 
     Ranks are assigned over every customer id in the sales before the join to
     the customer table (a buyer missing from it still uses up a rank). Rank
-    order: revenue descending (NULL last), then customer id.
+    order: revenue descending (NULL last), then customer id. ``stats`` are the rows of
+    :func:`customer_stats` where a caller has them already.
     """
-    ranked = global_row_number(customer_stats(raw), _rank_order(), out="ranking_receita")
+    ranked = global_row_number(customer_stats(raw) if stats is None else stats, _rank_order(),
+                               out="ranking_receita")
     return _customer_columns(raw.clientes, ranked, vip_max, top_max)
 
 
+def best_customers(raw: RawTables, stats: DataFrame, vip_max: int = VIP_MAX_RANK,
+                   top_max: int = TOP_TIER_MAX_RANK) -> DataFrame:
+    """The rows of :func:`customer_mart` whose segment is not the last, from a top-k: nobody else is ranked."""
+    best = best_buyers(stats, max(vip_max, top_max)).select(
+        "id_cliente", F.col("_rank").cast("bigint").alias("ranking_receita"))
+    return _customer_columns(raw.clientes, stats.join(best, "id_cliente"), vip_max, top_max).where(
+        F.col("ranking_receita").isNotNull())
+
+
 def customer_mart_columns(raw: RawTables) -> DataFrame:
     """A frame with the columns of :func:`customer_mart` that is never evaluated: no job runs."""
     unranked = customer_stats(raw).withColumn("ranking_receita", F.lit(None).cast("bigint"))
@@ -174,7 +185,7 @@ def best_buyers(stats: DataFrame, n: int) -> DataFrame:
 
 
 def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
-                          top_max: int = TOP_TIER_MAX_RANK) -> DataFrame:
+                          top_max: int = TOP_TIER_MAX_RANK, stats: DataFrame | None = None) -> DataFrame:
     """The customer mart without ``ranking_receita``, for datasets that need
     only the segment.
 
@@ -184,7 +195,8 @@ def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     once to the checkpoint folder (customer-sized) so the sales are read once.
     Segments equal those of :func:`customer_mart`.
     """
-    stats = materialize(customer_stats(raw), "customer-stats")
+    if stats is None:
+        stats = materialize(customer_stats(raw), "customer-stats")
     return (
         raw.clientes.join(stats, "id_cliente", "left")
         .join(best_buyers(stats, max(vip_max, top_max)), "id_cliente", "left")
@@ -197,7 +209,7 @@ def customer_segment_mart(raw: RawTables, vip_max: int = VIP_MAX_RANK,
     )
 
 
-def top_customer_ranks(raw: RawTables, n: int) -> DataFrame:
+def top_customer_ranks(raw: RawTables, n: int, stats: DataFrame | None = None) -> DataFrame:
     """``ranking_receita, id_cliente, nome_cliente, receita_total`` of the ``n`` best-ranked
     buyers that are in the customer table, without ranking every buyer.
 
@@ -206,7 +218,8 @@ def top_customer_ranks(raw: RawTables, n: int) -> DataFrame:
     ``n`` in one aggregate over the stats (``n`` counters, no sort). ``n`` is the
     length of a displayed list.
     """
-    stats = materialize(customer_stats(raw).select("id_cliente", "receita_total"), "customer-stats")
+    if stats is None:
+        stats = materialize(customer_stats(raw).select("id_cliente", "receita_total"), "customer-stats")
     names = raw.clientes.select("id_cliente", "nome_cliente")
     best = stats.join(names, "id_cliente").orderBy(*_rank_order()).limit(n).collect()
     if not best:
@@ -343,9 +356,19 @@ class Marts:
         """Sales with product attributes only (one dimension join)."""
         return sales_enriched(self.raw, customers=False)
 
+    @cached_property
+    def customer_stats(self) -> DataFrame:
+        """Per-customer stats, written once to the checkpoint folder for the frames built after them."""
+        return materialize(customer_stats(self.raw), "customer-stats")
+
     @cached_property
     def customers(self) -> DataFrame:
-        return customer_mart(self.raw)
+        return customer_mart(self.raw, stats=vars(self).get("customer_stats"))
+
+    @cached_property
+    def best_customers(self) -> DataFrame:
+        """VIP and TOP_TIER customers with their ranks (no global rank)."""
+        return best_customers(self.raw, self.customer_stats)
 
     @cached_property
     def customer_base(self) -> DataFrame:
@@ -357,11 +380,11 @@ class Marts:
     @cached_property
     def customer_segments(self) -> DataFrame:
         """Customers with segment but without the global rank (no global sort)."""
-        return customer_segment_mart(self.raw)
+        return customer_segment_mart(self.raw, stats=self.customer_stats)
 
     def top_customers(self, n: int) -> DataFrame:
         """The best-ranked known buyers with their ranks (no global rank)."""
-        return top_customer_ranks(self.raw, n)
+        return top_customer_ranks(self.raw, n, vars(self).get("customer_stats"))
 
     @cached_property
     def pricing(self) -> DataFrame:

@@ -126,7 +126,15 @@ def run_report(spark: SparkSession, marts: Marts,
     caller gives are written to the checkpoint folder instead, since nothing bounds
     them. The pricing mart feeds two sections, so it is persisted for the run when
     the default sections are used. ``marts`` is a ``Marts`` or a ``MartSource``.
+
+    The sections rely on unique customer and product keys: marts built here are refused as a whole
+    (``ContractViolation``) if an input key is NULL or repeated. Loaded marts passed that gate.
     """
+    from vitrine.sources.tables import require_unique_inputs
+
+    built_here = getattr(marts, "marts", None) or marts
+    if hasattr(built_here, "raw"):
+        require_unique_inputs(built_here.raw)
     out = {}
     shared = False
     if sections is None:

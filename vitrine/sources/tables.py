@@ -268,20 +268,67 @@ def _replace_rows(df: DataFrame, contract: str, target: str) -> None:
 def load_marts(marts, check_key: bool = True) -> dict[str, int]:
     """Full refresh of the three gold tables from ``marts``; rows per table.
 
-    The sales table holds the per-day context, which is added here if ``marts``
-    leave it out.
+    The sales table holds the per-day context, whether or not ``marts`` have it. A repeated or
+    NULL key of the customers or products refuses the load before any table is written.
     """
-    from vitrine.plans.marts import sales_mart
+    return {table: full_refresh(df, table, check_key) for table, df in mart_frames(marts).items()}
+
+
+def mart_frames(marts) -> dict[str, DataFrame]:
+    """Gold table -> rows, over inputs that are read once (see ``shared_inputs``)."""
+    from vitrine.plans.marts import build_marts
     from vitrine.schemas import CUSTOMERS_MART, CUSTOMERS_SCHEMA, PRICING_MART, PRICING_SCHEMA
     from vitrine.schemas import SALES_MART, SALES_SCHEMA
 
-    plan = {
-        f"{SALES_SCHEMA}.{SALES_MART}":
-            marts.sales if marts.with_daily_context else sales_mart(marts.raw, True),
-        f"{CUSTOMERS_SCHEMA}.{CUSTOMERS_MART}": marts.customers,
-        f"{PRICING_SCHEMA}.{PRICING_MART}": marts.pricing,
-    }
-    return {table: full_refresh(df, table, check_key) for table, df in plan.items()}
+    marts = build_marts(shared_inputs(marts.raw), with_daily_context=True)
+    return {f"{SALES_SCHEMA}.{SALES_MART}": marts.sales,
+            f"{CUSTOMERS_SCHEMA}.{CUSTOMERS_MART}": marts.customers,
+            f"{PRICING_SCHEMA}.{PRICING_MART}": marts.pricing}
+
+
+def gated_dimension(df: DataFrame, key: str, label: str) -> DataFrame:
+    """The dimension's rows, written once; raises ``ContractViolation`` unless its key is unique and not NULL.
+
+    Rows are merged by key for the write, so the same job that writes them observes how many keys are
+    repeated or NULL; only if there are any, a few are looked up for the message.
+    """
+    from vitrine.operators.materialize import discard, materialize
+
+    others, seen = [c for c in df.columns if c != key], Observation(f"keys_{label}")
+    merged = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*others)).alias("row"))
+    bad = (F.col("n") > 1) | F.col(key).isNull()
+    written = materialize(merged.observe(seen, F.count_if(bad).alias("bad")), label)
+    if seen.get["bad"]:
+        some = written.where(bad).orderBy(F.desc("n"), key).limit(5).collect()
+        discard(written)
+        raise ContractViolation(f"{label}: key {key} is NULL or repeated, e.g. "
+                                + ", ".join(f"{r[key]!r} x{r.n}" for r in some))
+    return written.select(*[F.col(c) if c == key else F.col("row")[c].alias(c) for c in df.columns])
+
+
+def shared_inputs(raw):
+    """Raw tables for a job that builds all marts: each is scanned once.
+
+    The dimensions pass the key gate. The sales are written in the columns the marts read; the three
+    marts, the per-day totals among them, then read pruned columns of that copy.
+    """
+    from dataclasses import replace
+
+    from vitrine.operators.materialize import materialize
+    from vitrine.schemas import RAW_VENDAS
+
+    clientes = gated_dimension(raw.clientes, "id_cliente", "clientes")
+    produtos = gated_dimension(raw.produtos, "id_produto", "produtos")
+    vendas = materialize(raw.vendas.select(*[f.name for f in RAW_VENDAS.fields]), "vendas")
+    return replace(raw, vendas=vendas, clientes=clientes, produtos=produtos)
+
+
+def require_unique_inputs(raw) -> None:
+    """Raise ``ContractViolation`` if a customer or product key is NULL or repeated."""
+    bad = input_key_violations(raw).limit(5).collect()
+    if bad:
+        raise ContractViolation("inputs: key is NULL or repeated, e.g. "
+                                + ", ".join(f"{r.tabela} {r.chave!r} x{r.ocorrencias}" for r in bad))
 
 
 def input_key_violations(raw) -> DataFrame:
