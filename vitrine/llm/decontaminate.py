@@ -25,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ("11101011011", "11011010111")    # of the SQL version, which tries centred windows only
 SEEDS = ("111110001", "110100111", "110011011", "100111101")
 WINDOW = 13             # tokens of the verified window
 MIN_SHARE = 0.8         # share of equal tokens in it

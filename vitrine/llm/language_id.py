@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.arrays import bounded_batches, chunks, segment_sums
-from vitrine.llm.folds import held_out
+from vitrine.llm.folds import held_out, positional
 
 ORDER = 3
 MIN_COUNT = 32             # occurrences in the sample that make a context a node
@@ -267,12 +267,12 @@ def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[s
     """
     if tree is None:
         return docs.limit(0)
-    letters = "_letters"
-    marked = bounded_batches(docs).withColumn(letters, F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    plain, letters, text = positional(bounded_batches(docs)), "letters", f"c{docs.columns.index('text')}"
+    marked = plain.withColumn(letters, F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False)))
     wanted = np.array([languages is None or name in languages for name in tree.languages])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
+        for rows, data, offsets in chunks(batches, text, CHUNK_BYTES):
             bits = code_lengths(tree, data, offsets)
             nats, best = bits * np.log(2), bits.argmin(1)
             posterior = 1 / np.exp(nats.min(1, keepdims=True) - nats).sum(1)
@@ -282,7 +282,7 @@ def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[s
                 mask &= in_language(limits, best, bits.min(1), np.diff(offsets))
             yield rows.filter(pa.array(mask)).drop_columns([letters])
 
-    return marked.mapInArrow(keep, docs.schema)
+    return marked.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def identify_languages(docs: DataFrame, folds: int = 3, fold: int = 1, **fit) -> DataFrame:

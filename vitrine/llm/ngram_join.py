@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.arrays import bounded_batches, chunks, gram_hashes, mix, word_hashes
 from vitrine.llm.components import connected_components
+from vitrine.llm.folds import free_prefix, positional
 from vitrine.operators.materialize import discard, materialize
+from vitrine.operators.ranking import global_row_number
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -249,9 +251,24 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of one document per group of linked documents: the group's smallest id.
 
-    Rows with a null id stay; rows that share an id stay or go together.
+    Rows with a null id stay. Where an id is used by several rows, each row counts as a document of
+    its own (in the order of id, then of a hash of the text): a text linked with no other stays, and of
+    repeated rows one does.
     """
+    own = free_prefix(docs)
+    named = docs.where(F.col(doc_id).isNotNull())
+    repeated = named.groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not repeated:
+        return _without_followers(docs, doc_id, text, own, options)
+    at, words = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
+    numbered = global_row_number(positional(named), [F.col(at), F.xxhash64(words)], "place")
+    kept = _without_followers(numbered, "place", words, "_v", options).drop("place")
+    return kept.toDF(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+def _without_followers(docs: DataFrame, doc_id: str, text: str, own: str, options: dict) -> DataFrame:
+    """The rows whose id is the smallest of its group, or null; ids are unique."""
     joined = ngram_join(docs, doc_id=doc_id, text=text, **options)
     gone = joined.groupBy("doc_id").agg(F.min("class_id").alias("least")).where(
-        "least <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+        "least <> doc_id").select(F.col("doc_id").alias(f"{own}gone"))
+    return docs.join(gone, docs[doc_id] == gone[f"{own}gone"], "left_anti")

@@ -3,53 +3,37 @@
 from __future__ import annotations
 
 from vitrine.llm import ngram_join, substring_dedup, suffix_dedup
-from vitrine.llm.decontaminate import MASKS, MIN_SHARE, WINDOW
+from vitrine.llm.decontaminate import MIN_SHARE, MIN_TOKENS, WINDOW
 from vitrine.llm.secrets import RULES, Rule
 
-_SPAN = len(MASKS[0])
-
-
-def _seed(words: str, mask: str) -> str:
-    picked = [f"{words}[i + {k}]" for k, bit in enumerate(mask, start=1) if bit == "1"]
-    return " || ' ' || ".join(picked)
-
-
-def _seeds(table: str, key: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT {key}, i, {n} AS mask, {_seed('w', mask)} AS seed FROM (SELECT {key}, w, "
-        f"UNNEST(range(0, len(w) - {_SPAN - 1})) AS i FROM {table} WHERE len(w) >= {_SPAN})"
-        for n, mask in enumerate(MASKS))
+# The rule itself, without seeds: equal tokens of an item and a document at one shift, counted in
+# every window of the item. A window that starts at an equal token and leaves the item has no more of
+# them than the last window, which the first equal token inside it stands for.
+_FEWEST = f"ceil({MIN_TOKENS} * {MIN_SHARE})"
 
 
 def decontamination_ctes(documents: str = "documents", prefix: str = "") -> str:
     """CTEs ending in ``{prefix}overlap(doc_id, item_id, n_match, n_window)``."""
     p = prefix
+
+    def words(table: str, key: str) -> str:
+        return (f"SELECT {key}, w, len(w) AS size, UNNEST(range(len(w))) AS pos, UNNEST(w) AS word FROM (SELECT {key}, "
+                "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w "
+                f"FROM (SELECT DISTINCT {key}, text FROM {table} WHERE {key} IS NOT NULL)) WHERE len(w) >= {MIN_TOKENS}")
+
     return f"""
-{p}d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w
-         FROM {documents} WHERE doc_id IS NOT NULL),
-{p}b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w
-         FROM benchmark WHERE item_id IS NOT NULL),
-{p}ds AS ({_seeds(p + 'd', 'doc_id')}),
-{p}bs AS ({_seeds(p + 'b', 'item_id')}),
-{p}hit AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i AS di, bs.i AS bi
-           FROM {p}ds ds JOIN {p}bs bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
-{p}win AS (
-    SELECT DISTINCT h.doc_id, h.item_id, d.w AS dw, b.w AS bw, di - bi AS shift,
-           least({WINDOW}, len(b.w)) AS size,
-           greatest(0, least(len(b.w) - least({WINDOW}, len(b.w)),
-               greatest(0, bi - di,
-                        least(len(b.w) - least({WINDOW}, len(b.w)),
-                              len(d.w) - (di - bi) - least({WINDOW}, len(b.w)),
-                              bi - {(WINDOW - _SPAN) // 2})))) AS start
-    FROM {p}hit h JOIN {p}d d USING (doc_id) JOIN {p}b b USING (item_id)),
+{p}d AS ({words(documents, 'doc_id')}),
+{p}b AS ({words('benchmark', 'item_id')}),
 {p}eq AS (
-    SELECT doc_id, item_id, size, start, shift, sum(CASE
-               WHEN k < size AND start + shift + k >= 0 AND bw[start + k + 1] = dw[start + shift + k + 1]
-               THEN 1 ELSE 0 END) AS n
-    FROM {p}win, range({WINDOW}) r(k) GROUP BY ALL),
+    SELECT doc_id, item_id, d.w AS dw, b.w AS bw, d.pos - b.pos AS shift, b.pos, least({WINDOW}, b.size) AS size
+    FROM {p}d d JOIN {p}b b USING (word)),
+{p}near AS (
+    SELECT doc_id, item_id, size, count(*) OVER (PARTITION BY doc_id, item_id, hash(dw), hash(bw), shift ORDER BY pos
+        RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS n
+    FROM {p}eq QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, hash(dw), hash(bw), shift) >= {_FEWEST}),
 {p}overlap AS (
     SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_match, CAST(max(size) AS BIGINT) AS n_window
-    FROM {p}eq GROUP BY doc_id, item_id HAVING max(n) >= ceil(max(size) * {MIN_SHARE}))"""
+    FROM {p}near WHERE n >= ceil(size * {MIN_SHARE}) GROUP BY doc_id, item_id)"""
 
 
 DECONTAMINATION = (f"WITH {decontamination_ctes()}\n"

@@ -26,6 +26,8 @@ from re import _parser as _tree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.folds import free_prefix, same_columns
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -121,44 +123,65 @@ def candidates(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = R
     )
 
 
-def _searched(docs: DataFrame, rules: tuple[Rule, ...], doc_id: str, text: str) -> DataFrame:
-    """The documents with ``_text`` and ``_kinds`` (indexed rules to search them with)."""
+def _searched(docs: DataFrame, rules: tuple[Rule, ...], doc_id: str, text: str, own: str) -> DataFrame:
+    """The documents with ``{own}text`` and ``{own}kinds`` (indexed rules to search them with)."""
     found = candidates(docs.sparkSession, docs, rules, doc_id, text).select(
-        F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-    return docs.join(found.hint("shuffle_hash"), docs[doc_id].eqNullSafe(F.col("_id")), "left").drop(
-        "_id").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        F.col("doc_id").alias(f"{own}id"), F.col("kinds").alias(f"{own}kinds"))
+    return docs.join(found.hint("shuffle_hash"), docs[doc_id].eqNullSafe(F.col(f"{own}id")), "left").drop(
+        f"{own}id").withColumn(f"{own}text", F.coalesce(F.col(text), F.lit("")))
+
 
+def _pieces(rule: Rule, own: str) -> Column:
+    """Array of (text before a match, match, the rule's group); the last one has the text after all.
 
-def _due(rule: Rule) -> Column:
-    """Whether the rule's expression must be run on a row of ``_searched``."""
+    Null where the rule's expression need not be run on the row. The three searches are zipped, so
+    that each runs once a row: an array named within a lambda would be built again per element.
+    """
+    text, rx = F.col(f"{own}text"), F.lit(rule.pattern)
     if trigram_query(rule.pattern):
-        return F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
-    return F.rlike("_text", F.lit(rule.pattern))
+        due = F.coalesce(F.array_contains(f"{own}kinds", rule.kind), F.lit(False))
+    else:
+        due = F.rlike(text, rx)
+    return F.when(due, F.arrays_zip(
+        F.split(text, rule.pattern, -1).alias("before"), F.regexp_extract_all(text, rx, F.lit(0)).alias("match"),
+        F.regexp_extract_all(text, rx, F.lit(rule.group)).alias("group")))
 
 
-def _spans(rule: Rule, rank: int) -> Column:
-    """Array of (start, rank, end, kind) from the arrays of matches and of texts between them."""
-    found, between = F.col(f"_m_{rule.kind}"), F.col(f"_b_{rule.kind}")
-    add = lambda a, b: a + b
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,size:int>"
+_BLOCK = 256               # matches whose offsets are added up from one start
 
-    def span(match: Column, k: Column) -> Column:
-        start = F.aggregate(F.slice(between, 1, k + 1), F.lit(0), lambda n, x: n + F.length(x)) \
-            + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda n, x: n + F.length(x))
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"),
-                        add(start, F.length(match)).alias("end"), F.lit(rule.kind).alias("kind"),
-                        F.length(F.col(f"_g_{rule.kind}")[k]).alias("size"))
 
-    return F.filter(F.transform(found, span), lambda s: s["size"] >= rule.min_length)
+def _lengths(rule: Rule, own: str) -> Column:
+    """Lengths (before, match, group) of the pieces, the group's null after the last match."""
+    return F.transform(_pieces(rule, own), lambda piece: F.struct(
+        F.length(piece["before"]).alias("before"), F.coalesce(F.length(piece["match"]), F.lit(0)).alias("match"),
+        F.length(piece["group"]).alias("size")))
 
 
-def _matched(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    out = {}
-    for rule in rules:
-        rx, due = F.lit(rule.pattern), _due(rule)
-        out[f"_m_{rule.kind}"] = F.when(due, F.regexp_extract_all("_text", rx, F.lit(0)))
-        out[f"_g_{rule.kind}"] = F.when(due, F.regexp_extract_all("_text", rx, F.lit(rule.group)))
-        out[f"_b_{rule.kind}"] = F.when(due, F.split("_text", rule.pattern, -1))
-    return rows.withColumns(out)
+def _spans(rule: Rule, rank: int, lengths: str) -> Column:
+    """Array of (start, rank, end, kind, size) of the matches from the column of ``_lengths``.
+
+    An offset is its block's, added up over the pieces before, plus those before it in the block: for
+    n matches n * _BLOCK / 2 + n * n / _BLOCK / 2 additions. (An accumulator that holds the spans is copied
+    at every step.) The column is named more than once, so Catalyst keeps it as a column.
+    """
+    added = lambda some: F.aggregate(
+        some, F.lit(0), lambda n, piece: n + piece["before"] + piece["match"])
+
+    def block(k: Column) -> Column:
+        return F.struct(added(F.slice(lengths, 1, k * _BLOCK)).alias("at"),
+                        F.slice(lengths, k * _BLOCK + 1, _BLOCK).alias("pieces"))
+
+    def placed(one: Column) -> Column:
+        def span(piece: Column, k: Column) -> Column:
+            start = one["at"] + added(F.slice(one["pieces"], 1, k)) + piece["before"]
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + piece["match"]).alias("end"),
+                            F.lit(rule.kind).alias("kind"), piece["size"].alias("size"))
+        return F.transform(one["pieces"], span)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), block)
+    return F.when(F.col(lengths).isNotNull(), F.filter(
+        F.flatten(F.transform(blocks, placed)), lambda s: F.coalesce(s["size"] >= rule.min_length, F.lit(False))))
 
 
 def _joined(spans: Column) -> Column:
@@ -174,11 +197,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
     rules' order, comma-joined; ``base_sha256`` is the SHA-256 of that list for
     the base rules alone.
     """
-    rows = _matched(_searched(docs.select(doc_id, text), rules, doc_id, text), rules)
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,size:int>>")
-    rows = rows.withColumns({f"_s_{rule.kind}": F.coalesce(_spans(rule, rank), none)
+    rows = _searched(docs.select(doc_id, text), rules, doc_id, text, "_own_")
+    none = F.array().cast(f"array<{_SPAN}>")
+    rows = rows.withColumns({f"_l_{rule.kind}": _lengths(rule, "_own_") for rule in rules})
+    rows = rows.withColumns({f"_s_{rule.kind}": F.coalesce(_spans(rule, rank, f"_l_{rule.kind}"), none)
                              for rank, rule in enumerate(rules)})
-    spans = lambda some: F.array_sort(F.concat(*[F.col(f"_s_{r.kind}") for r in some]))
+    spans = lambda some: F.sort_array(F.concat(*[F.col(f"_s_{r.kind}") for r in some]))
     base = [r for r in rules if r.base]
     return rows.select(
         F.col(doc_id).alias("doc_id"),
@@ -187,16 +211,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
         _joined(spans(rules)).alias("spans"))
 
 
-def _replacements(rule: Rule, mask: str) -> Column:
-    group = F.col(f"_g_{rule.kind}")
-    return F.transform(f"_m_{rule.kind}", lambda match, k: F.when(
-        F.length(group[k]) >= rule.min_length, F.lit(mask)).otherwise(match))
-
+def _masked(rule: Rule, mask: str, own: str) -> Column:
+    """The text with the rule's matches replaced; null where there is nothing to search."""
+    def shown(piece: Column) -> Column:
+        match = F.when(F.length(piece["group"]) >= rule.min_length, F.lit(mask)).otherwise(piece["match"])
+        return F.concat(piece["before"], F.coalesce(match, F.lit("")))
 
-def _interleaved(rule: Rule) -> Column:
-    """The texts between the matches with the replacements put between them."""
-    return F.array_join(F.transform(f"_b_{rule.kind}", lambda text, k: F.concat(
-        text, F.coalesce(F.get("_k", k), F.lit("")))), "")
+    return F.array_join(F.transform(_pieces(rule, own), shown), "")
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id",
@@ -205,11 +226,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str
 
     Null texts stay null.
     """
-    rows = _searched(docs, rules, doc_id, text)
+    own = free_prefix(docs)
+    rows = _searched(docs, rules, doc_id, text, own)
     for rule in rules:
-        rows = _matched(rows, (rule,))
-        rows = rows.withColumn("_k", _replacements(rule, mask))
-        rows = rows.withColumn("_text", F.coalesce(_interleaved(rule), F.col("_text")))
-        rows = rows.drop("_k", *(f"_{x}_{rule.kind}" for x in "mgb"))
-    return rows.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_text"))).drop(
-        "_text", "_kinds").select(*docs.columns)
+        rows = rows.withColumn(f"{own}text", F.coalesce(_masked(rule, mask, own), F.col(f"{own}text")))
+    return same_columns(rows.withColumn(text, F.when(F.col(text).isNotNull(), F.col(f"{own}text"))), docs)

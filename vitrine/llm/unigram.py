@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vitrine.llm.arrays import bounded_batches, chunks, prefix_hashes, runs, substring_hashes
+from vitrine.llm.folds import positional
 
 MARKER = "▁"
 SPACE = 0x20
@@ -320,20 +321,22 @@ def decode_chunk(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[byt
 def encode_texts(docs: DataFrame, v: Vocabulary, text: str = "text", ids: str = "token_ids"
                  ) -> DataFrame:
     """The rows with their token ids in a new column ``ids`` (array of int)."""
-    if ids in docs.columns:
+    if ids.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"the table already has a column {ids!r}")
 
+    plain, at = positional(bounded_batches(docs)), f"c{docs.columns.index(text)}"
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in chunks([batch], text, CHUNK_BYTES):
+            for rows, data, offsets in chunks([batch], at, CHUNK_BYTES):
                 found, counts = encode_chunk(v, data, offsets)
                 bounds = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                null = rows.column(rows.schema.get_field_index(text)).is_null()
+                null = rows.column(rows.schema.get_field_index(at)).is_null()
                 column = pa.ListArray.from_arrays(bounds, pa.array(found), mask=null)
-                yield rows.append_column(ids, column)
+                yield rows.append_column("ids", column)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return bounded_batches(docs).mapInArrow(encode, schema)
+    schema = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return plain.mapInArrow(encode, schema).toDF(*docs.columns, ids)
 
 
 def decode_tokens(rows: DataFrame, v: Vocabulary, ids: str = "token_ids", text: str = "decoded"
@@ -342,7 +345,7 @@ def decode_tokens(rows: DataFrame, v: Vocabulary, ids: str = "token_ids", text:
 
     Null ids give a null text; bytes that are no UTF-8 become U+FFFD.
     """
-    if text in rows.columns:
+    if text.lower() in (c.lower() for c in rows.columns):
         raise ValueError(f"the table already has a column {text!r}")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
