@@ -43,7 +43,7 @@ def test_entry_works_without_the_subpackage():
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'corpus_pipeline' or name.startswith('vitrine.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert len(e.queries()) > 30 and not any(n.startswith('op') for n in e.queries())\n"
