@@ -47,6 +47,75 @@ def test_toxicity_held_out(spark, labels):
     assert sum(s >= 0.7 for s in clean) <= 0.02 * len(clean)
 
 
+def toxic_corpus(n):
+    """Texts of clean words; one in ten also has one to three of five bad words."""
+    rng = random.Random(3)
+    clean = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    bad = ["zwirk", "grobz", "quonk", "vlurt", "skrag"]
+    texts, toxic = [], []
+    for k in range(n):
+        toxic.append(k % 10 == 0)
+        texts.append(" ".join(rng.choices(clean, k=12) + (rng.sample(bad, rng.randint(1, 3)) if toxic[-1] else [])))
+    return texts, toxic
+
+
+def test_toxicity_counts_every_document(spark):
+    texts, toxic = toxic_corpus(60000)
+    third = [texts[7]] * 30000                       # one text is a third of all rows
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + third)],
+                                 "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 60000, 40)] + [(5, 0), (None, 1)],
+                                   "doc_id bigint, toxic int")
+    rows = toxicity.training_rows(docs, labels, max_positive=1000)
+    marked = rows.collect()
+    assert len(marked) == 90000 and sum(r.positive for r in marked) == 1000
+    n_pos, n_all = collections.Counter(), collections.Counter()
+    for r in marked:
+        for token in {w.encode() for w in r.text.split()} | {
+                (w[:k].encode(), k) for w in r.text.split() for k in (4, 5) if len(w) > k}:
+            n_all[token] += 1
+            n_pos[token] += r.positive
+    expected = {}
+    for token, b in n_all.items():
+        raw, scale = token if isinstance(token, tuple) else (token, 1)
+        data = np.frombuffer(raw, np.uint8)
+        value = toxicity.substring_hashes(toxicity.prefix_hashes(data), np.array([0]), np.array([len(data)]))
+        bucket = int((value * np.uint64(scale) >> np.uint64(20))[0]) % toxicity.BUCKETS
+        a, both = n_pos[token] / 1000, n_pos[token] + b
+        pooled = both / 91000
+        z = abs(a - b / 90000) / math.sqrt(pooled * (1.0001 - pooled) * (1 / 1000 + 1 / 90000))
+        if both >= 5 and z > 4:
+            expected[bucket] = (z, a, b / 90000)
+    strongest = sorted(expected.values(), reverse=True)
+    ratios = [b / a for _, a, b in strongest if a > b][:toxicity.STRONGEST]
+    buckets, prior, documents = toxicity.choose_features(rows)
+    assert documents == 90000 and set(buckets.tolist()) == set(expected)
+    assert prior == pytest.approx(np.median(ratios)) and 0.04 < prior < 0.1      # 6,000 of 90,000
+    model = toxicity.fit_toxicity(docs, labels, max_positive=1000, shard_documents=16000)
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((scored[k] >= 0.5) == toxic[k] for k in range(60000))
+    assert max(scored[k] for k in range(60000, 90000)) == scored[7] < 0.1
+
+
+def test_toxicity_score_by_hand(spark):
+    texts, toxic = toxic_corpus(3000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 3000, 20)], "doc_id bigint, toxic int")
+    one = toxicity.fit_toxicity(docs, labels, shard_documents=1000)
+    two = toxicity.fit_toxicity(docs.repartition(5), labels, shard_documents=1000)
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.bias, two.bias)
+    rows = toxicity.score_toxicity(docs.where("doc_id < 50"), one).collect()
+    for r in rows:
+        features = set()
+        for w in texts[r.doc_id].split():
+            for part, scale in [(w, 1)] + [(w[:k], k) for k in (4, 5) if len(w) > k]:
+                data = np.frombuffer(part.encode(), np.uint8)
+                value = toxicity.substring_hashes(toxicity.prefix_hashes(data), np.array([0]), np.array([len(data)]))
+                features.add(int(one.feature[int((value * np.uint64(scale) >> np.uint64(20))[0]) % toxicity.BUCKETS]))
+        logits = [sum(w[f] for f in features if f >= 0) + b for w, b in zip(one.weights, one.bias)]
+        assert r.score == pytest.approx(np.mean([1 / (1 + math.exp(-g)) for g in logits]))
+
+
 def test_language_held_out(spark):
     rows = {r.doc_id: r for r in QUERIES["op7_language_id"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

@@ -9,13 +9,21 @@ on the class-prior-corrected risk
 whose second term, an estimate of the risk on clean text, is kept from going
 negative (steps that would fit it below zero are reversed). Words are runs of
 letters with ASCII case folded, hashed into ``BUCKETS`` buckets; the features are
-the ``FEATURES`` buckets whose document frequencies differ most between the two
-samples. Both samples are bounded; every text is scored whole, and the score is
-the mean of the classifiers' probabilities.
+the ``FEATURES`` buckets whose document frequencies differ most between toxic and
+unlabelled text.
+
+Only the toxic texts are a bounded sample (of ``MAX_POSITIVE`` labelled rows). Document
+frequencies, class prior and unlabelled risk cover every document of the training fold:
+documents become patterns of features, equal patterns are counted, and the patterns are
+dealt to shards of about ``SHARD_DOCUMENTS`` documents, a pattern's documents evenly over
+all of them. Each shard trains on its documents against the same toxic texts, and a
+classifier is the mean of the shards' weights (parameter mixing). Every text is scored
+whole, and the score is the mean of the classifiers' probabilities.
 
 Defined results: null and empty texts have no word and get the classifiers' base
-score; rows with null or repeated ids are each scored; without a positive row
-every score is 0; an empty table gives no rows; extra columns are ignored.
+score; rows with null ids are scored, not learned from; rows that repeat an id are each
+scored and learned from; without a positive row every score is 0; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +39,20 @@ from pyspark.sql import functions as F
 from vitrine.llm.arrays import (BYTE_CLASS, LETTER, bounded_batches, chunks, prefix_hashes, runs,
                                 segment_sums, substring_hashes)
 from vitrine.llm.folds import bounded_ids, held_out
+from vitrine.operators.materialize import discard, materialize
 
 BUCKETS = 1 << 20
 STEMS = (4, 5)             # bytes of the word beginnings that are features beside the words
 FEATURES = 512
 STRONGEST = 16             # features that the class prior is estimated from
-MIN_DOCUMENTS = 5          # documents of the samples that a feature occurs in
-MAX_POSITIVE = 8000        # bound of the sample of toxic texts
-MAX_UNLABELLED = 16000     # bound of the sample of unlabelled texts
+MIN_DOCUMENTS = 5          # documents that a feature occurs in, toxic ones counted twice
+MAX_POSITIVE = 8000        # bound of the sample of texts labelled toxic
+SHARD_DOCUMENTS = 16000    # unlabelled documents that one task trains on
 CLASSIFIERS = 3
 STEPS = 300
 CHUNK_BYTES = 2 << 20
 THRESHOLD = 0.7
+_GRID = 1e12               # weights are added as whole numbers, in any order alike
 
 _FOLDED = np.arange(256)
 _FOLDED[65:91] += 32
@@ -65,15 +75,20 @@ def _word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per bucket, toxic and all, of the task's rows; bucket -1 has those of any text."""
+    total = np.zeros((2, BUCKETS + 1), np.int64)
     for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
         bucket, doc = _word_buckets(data, offsets)
         pairs = np.unique(doc * BUCKETS + bucket)
-        positive = rows.column("positive").to_numpy(zero_copy_only=False)[pairs // BUCKETS]
-        used, at = np.unique(pairs % BUCKETS, return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), *[pa.array(np.bincount(at, weights=w, minlength=len(used))
-                                        .astype(np.int64)) for w in (positive, ~positive)]],
-            names=["bucket", "n_pos", "n_unl"])
+        positive = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+        bucket = pairs % BUCKETS
+        total[0, :-1] += np.bincount(bucket[positive[pairs // BUCKETS]], minlength=BUCKETS)
+        total[1, :-1] += np.bincount(bucket, minlength=BUCKETS)
+        total[:, -1] += positive.sum(), len(positive)
+    used = np.flatnonzero(total[1])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.where(used < BUCKETS, used, -1)), *map(pa.array, total[:, used])],
+        names=["bucket", "n_pos", "n_all"])
 
 
 @dataclass(frozen=True)
@@ -127,64 +142,112 @@ def train_pu(x: np.ndarray, positive: np.ndarray, prior: float, seed: int,
     return p[:-1].astype(np.float64), float(p[-1])
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE) -> DataFrame:
+    """``text, positive`` of all documents with an id; toxic ones are of at most ``max_positive`` ids."""
+    labelled = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(
+        "doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = bounded_ids(labelled.where("toxic = 1").select("doc_id"), max_positive, "positive")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(
+        F.broadcast(toxic.withColumn("positive", F.lit(True))), "doc_id", "left").select(
+        "text", F.coalesce("positive", F.lit(False)).alias("positive"))
+
+
+def choose_features(rows: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, float, int]:
+    """Buckets of the features, strongest first, the class prior, and the number of documents.
+
+    A word that only toxic texts use occurs in unlabelled text at the prior times its
+    rate in toxic text, so the prior is the median of that ratio over the strongest toxic
+    features. The counts that reach the driver are one row per bucket, whatever the input.
+    """
+    counted = (rows.mapInArrow(_document_frequencies, "bucket bigint, n_pos bigint, n_all bigint")
+               .groupBy("bucket").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_all").alias("n_all"))
+               .toArrow())
+    bucket, pos, every = (counted.column(c).to_numpy() for c in ("bucket", "n_pos", "n_all"))
+    order = np.argsort(bucket)
+    bucket, pos, every = bucket[order], pos[order], every[order]
+    if not len(bucket) or not pos[0]:
+        return np.zeros(0, np.int64), 0.5, int(every[0]) if len(every) else 0
+    n_pos, n_all = float(pos[0]), float(every[0])       # bucket -1 comes first
+    a, b, both = pos[1:] / n_pos, every[1:] / n_all, pos[1:] + every[1:]
+    pooled = both / (n_pos + n_all)
+    z = np.abs(a - b) / np.sqrt(pooled * (1.0001 - pooled) * (1 / n_pos + 1 / n_all))
+    use = np.flatnonzero((both >= MIN_DOCUMENTS) & (z > 4))
+    use = use[np.argsort(-z[use], kind="stable")][:features]
+    ratios = (b[use] / np.maximum(a[use], 1e-9))[a[use] > b[use]][:STRONGEST]
+    prior = float(np.clip(np.median(ratios) if len(ratios) else 0.5, 0.001, 0.9))
+    return bucket[1:][use], prior, int(n_all)
+
+
+def _unpacked(patterns: list[bytes], times: np.ndarray, n: int) -> np.ndarray:
+    """One row of features per document, in the order of the patterns' bytes."""
+    order = np.argsort(np.array(patterns, dtype=object), kind="stable")
+    bits = np.frombuffer(b"".join(patterns[k] for k in order), np.uint8).reshape(len(patterns), -1)
+    x = np.unpackbits(bits, axis=1)[:, :n].astype(np.float32)
+    return np.repeat(x, times[order], axis=0)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None,
-                 max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
-                 features: int = FEATURES, classifiers: int = CLASSIFIERS) -> ToxicModel | None:
+                 max_positive: int = MAX_POSITIVE, features: int = FEATURES,
+                 classifiers: int = CLASSIFIERS, shard_documents: int = SHARD_DOCUMENTS
+                 ) -> ToxicModel | None:
     """Train on documents and labels of the training fold; None without a toxic row.
 
-    Without a given class prior it is estimated from the samples: a word that only
-    toxic texts use occurs in unlabelled text at the prior times its rate in toxic
-    text, so the median of that ratio over the strongest toxic features is taken.
+    Without a given class prior it is estimated (see ``choose_features``).
     """
-    labelled = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(
-        "doc_id").agg(F.max("toxic").alias("toxic"))
-    toxic = bounded_ids(labelled.where("toxic = 1").select("doc_id"), max_positive, "positive")
-    some = bounded_ids(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), max_unlabelled,
-                       "unlabelled")
-    ids = toxic.withColumn("positive", F.lit(True)).unionByName(
-        some.withColumn("positive", F.lit(False)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
-        "text", "positive")                 # at most max_positive + max_unlabelled ids
-
-    n_pos, n_unl = (F.greatest(F.lit(1.0), F.lit(float(n)))
-                    for n in (toxic.count(), some.count()))
-    a, b = F.col("n_pos") / n_pos, F.col("n_unl") / n_unl
-    pooled = (F.col("n_pos") + F.col("n_unl")) / (n_pos + n_unl)
-    z = F.abs(a - b) / F.sqrt(pooled * (1.0001 - pooled) * (1 / n_pos + 1 / n_unl))
-    chosen = (
-        sample.mapInArrow(_document_frequencies, "bucket bigint, n_pos bigint, n_unl bigint")
-        .groupBy("bucket").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_unl").alias("n_unl"))
-        .where(F.col("n_pos") + F.col("n_unl") >= MIN_DOCUMENTS)
-        .where(z > 4).orderBy(z.desc(), "bucket").limit(features)
-        .select("bucket", a.alias("a"), b.alias("b")).toArrow())
-    if not chosen.num_rows:
+    rows = training_rows(docs, labels, max_positive)
+    buckets, estimate, documents = choose_features(rows, features)
+    if not len(buckets):
         return None
-    if prior is None:
-        in_toxic, in_all = chosen.column("a").to_numpy(), chosen.column("b").to_numpy()
-        ratios = (in_all / np.maximum(in_toxic, 1e-9))[in_toxic > in_all][:STRONGEST]
-        prior = float(np.clip(np.median(ratios) if len(ratios) else 0.5, 0.001, 0.9))
-    n = chosen.num_rows
+    prior = estimate if prior is None else prior
+    n = len(buckets)
     feature = np.full(BUCKETS, -1, np.int32)
-    feature[chosen.column("bucket").to_numpy()] = np.arange(n)
+    feature[buckets] = np.arange(n)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-            x = np.zeros((rows.num_rows, n), bool)
+        for rows_, data, offsets in chunks(batches, "text", CHUNK_BYTES):
+            x = np.zeros((rows_.num_rows, n), bool)
             x.reshape(-1)[present(feature, data, offsets, n)] = True
             packed = np.packbits(x, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("positive"), pa.array([r.tobytes() for r in packed], pa.binary())],
+                [rows_.column("positive"), pa.array([r.tobytes() for r in packed], pa.binary())],
                 names=["positive", "x"])
 
-    rows = sample.mapInArrow(featurise, "positive boolean, x binary").toArrow()
-    bits = np.frombuffer(b"".join(sorted(rows.column("x").to_pylist())), np.uint8)
-    order = np.argsort(np.array(rows.column("x").to_pylist(), dtype=object), kind="stable")
-    positive = rows.column("positive").to_numpy(zero_copy_only=False)[order].astype(bool)
-    x = np.unpackbits(bits.reshape(rows.num_rows, -1), axis=1)[:, :n].astype(np.float32)
-    if not positive.any() or positive.all():
-        return None
-    trained = [train_pu(x, positive, prior, seed) for seed in range(classifiers)]
-    return ToxicModel(feature, np.array([w for w, _ in trained]), np.array([b for _, b in trained]))
+    # one row per pattern and shard; c documents with one pattern are dealt evenly to the shards
+    shards = max(1, round(documents / shard_documents))
+    patterns = rows.mapInArrow(featurise, "positive boolean, x binary").groupBy("x").agg(
+        F.count("*").alias("c"), F.count_if("positive").alias("n_pos"))
+    patterns = materialize(patterns, "toxicity-patterns")
+    try:
+        toxic = patterns.where("n_pos > 0").select("x", "n_pos").orderBy(
+            F.xxhash64("x"), "x").limit(max_positive).toArrow()
+        known, often = toxic.column("x").to_pylist(), np.diff(
+            np.minimum(np.cumsum(toxic.column("n_pos").to_numpy()), max_positive), prepend=0)
+        dealt = patterns.select("x", "c", F.explode(
+            F.sequence(F.lit(0), F.least("c", F.lit(shards)).cast("int") - 1)).alias("k")).select(
+            F.pmod(F.xxhash64("x") + F.col("k"), F.lit(shards)).cast("int").alias("shard"), "x",
+            (F.floor(F.col("c") / shards) + (F.col("k") < F.col("c") % shards).cast("int"))
+            .cast("long").alias("times"))
+
+        def train(shard: pa.Table) -> pa.Table:
+            x = np.vstack([_unpacked(known, often, n),
+                           _unpacked(shard.column("x").to_pylist(), shard.column("times").to_numpy(), n)])
+            positive = np.arange(len(x)) < often.sum()
+            number = shard.column("shard")[0].as_py()
+            trained = [train_pu(x, positive, prior, number * classifiers + k) for k in range(classifiers)]
+            values = np.array([[*w, b] for w, b in trained])
+            return pa.table({"shard": pa.array(np.full(values.size, number, np.int32)),
+                             "at": pa.array(np.arange(values.size)), "value": pa.array(values.reshape(-1))})
+
+        # rounded to a grid, so that the sums do not depend on their order
+        total = (dealt.groupBy("shard").applyInArrow(train, "shard int, at bigint, value double")
+                 .groupBy("at").agg(F.sum(F.round(F.col("value") * _GRID).cast("decimal(38,0)")).alias("s"),
+                                    F.count("*").alias("m"))
+                 .orderBy("at").select((F.col("s").cast("double") / F.col("m") / _GRID).alias("value"))
+                 .toArrow())
+    finally:
+        discard(patterns)
+    values = total.column("value").to_numpy().reshape(classifiers, n + 1)
+    return ToxicModel(feature, values[:, :-1], values[:, -1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
