@@ -226,7 +226,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None,
             F.sequence(F.lit(0), F.least("c", F.lit(shards)).cast("int") - 1)).alias("k")).select(
             F.pmod(F.xxhash64("x") + F.col("k"), F.lit(shards)).cast("int").alias("shard"), "x",
             (F.floor(F.col("c") / shards) + (F.col("k") < F.col("c") % shards).cast("int"))
-            .cast("long").alias("times"))
+            .cast("long").alias("times")).repartition(shards, "shard")   # patterns are small, training is not
 
         def train(shard: pa.Table) -> pa.Table:
             x = np.vstack([_unpacked(known, often, n),
