@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import pickle
 import random
 import zlib
 
@@ -193,10 +194,12 @@ def test_scores_do_not_depend_on_neighbours(spark):
     assert np.allclose(features(texts), np.vstack([features([t]) for t in texts]), atol=1e-5)
 
 
-def test_code_lengths_are_those_of_ppm(spark):
-    """The table's cost of every byte equals escape coding over counts kept in dictionaries."""
-    texts = ["abracadabra " * 20, "cadabra abc " * 15]
-    table = spark.createDataFrame([(k, t, "xy"[k]) for k, t in enumerate(texts)],
+def test_code_lengths_are_those_of_ppm(spark, monkeypatch):
+    """The cost of every byte equals escape coding over counts kept in dictionaries."""
+    rng = random.Random(8)
+    texts = ["abracadabra " * 20, "cadabra abc " * 15,       # and more languages than are held at once
+             *["".join(rng.choice("abcdr "[k % 4:] + "xyz"[k % 3]) for _ in range(300)) for k in range(17)]]
+    table = spark.createDataFrame([(k, t, f"l{k:02d}") for k, t in enumerate(texts)],
                                   "doc_id bigint, text string, lang string")
     tree = language_id.fit_context_tree(table, min_count=8)
     counts = [collections.defaultdict(collections.Counter) for _ in texts]
@@ -208,6 +211,8 @@ def test_code_lengths_are_those_of_ppm(spark):
                 counts[lang][padded[k - order:k]][padded[k]] += 1
                 both[padded[k - order:k]] += 1
 
+    known = set("".join(texts).encode())       # as contexts, other bytes are like a text's start
+
     def cost(lang, context, byte):
         own = counts[lang][context]
         total, distinct = sum(own.values()), len(own)
@@ -218,19 +223,55 @@ def test_code_lengths_are_those_of_ppm(spark):
 
     def bits(lang, text):
         padded, total = b"\0" * 3 + text, 0.0
+        before = bytes(b if b in known else 0 for b in padded)
         for k in range(3, len(padded)):
             context = b""
             for order in (1, 2, 3):
-                longer = padded[k - order:k]
+                longer = before[k - order:k]
                 if both[longer] < 8:
                     break
                 context = longer
             total -= math.log2(cost(lang, context, padded[k]))
         return total
 
-    for text in (b"abracadabra abc", b"cad", b"a"):
-        got = language_id.code_lengths(tree, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        assert np.allclose(got[0], [bits(0, text), bits(1, text)], rtol=1e-4)
+    samples = (b"abracadabra abc", b"cad", b"a", b"xyz \xc3\xa9 abc", b"")
+    expected = [[bits(k, text) for k in range(len(texts))] for text in samples]
+    data = np.frombuffer(b"".join(samples), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in samples])))
+    for table_bytes in (language_id.TABLE_BYTES, 800):       # 800: tables are not kept, but made again
+        monkeypatch.setattr(language_id, "TABLE_BYTES", table_bytes)
+        codes = language_id.Codes(tree)
+        for _ in range(2):
+            assert np.allclose(language_id.code_lengths(codes, data, offsets), expected, rtol=1e-4)
+        for text, row in zip(samples, expected):
+            got = language_id.code_lengths(codes, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            assert np.allclose(got[0], row, rtol=1e-4)
+    long_text = np.tile(np.frombuffer(samples[0], np.uint8), 150_000)         # more than one part
+    codes = language_id.Codes(tree)
+    whole = language_id.code_lengths(codes, long_text, np.array([0, len(long_text)]))
+    cells = language_id._cells(tree, long_text, np.array([0, len(long_text)]))
+    alone = [table[rows].sum(0, dtype=np.float64) for _, table, rows in codes.parts(cells)]
+    assert np.allclose(whole[0], np.concatenate(alone))
+
+
+def test_many_languages_are_all_learned(spark):
+    """Three hundred languages, none dropped, in a model far under a dense table's size."""
+    def made(k):
+        rng = random.Random(k)
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        own = ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(60)]
+        return " ".join(rng.choices(own, k=1500)), " ".join(rng.choices(own, k=30))
+
+    pairs = [made(k) for k in range(300)]
+    docs = spark.createDataFrame([(k, a, f"l{k:03d}") for k, (a, _) in enumerate(pairs)],
+                                 "doc_id bigint, text string, lang string")
+    tree = language_id.fit_context_tree(docs)
+    assert tree.languages == [f"l{k:03d}" for k in range(300)]
+    size = len(pickle.dumps(tree))
+    assert size < 100e6 and size < 0.25 * tree.child.size * 4 * 300
+    short = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(pairs)], "doc_id bigint, text string")
+    got = language_id.score_languages(short, tree).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in got) >= 295
 
 
 def test_pu_risk_learns_from_positives_and_unlabelled():

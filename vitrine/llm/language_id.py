@@ -5,8 +5,11 @@ context tree: a node is a context of up to ``ORDER`` preceding bytes that was se
 often enough. A byte that a context has not seen in the language costs an escape
 (method C: distinct symbols over count plus distinct symbols) and is coded in the
 next shorter context, finally uniformly over 256 bytes. With the statistics
-frozen, the cost of every (context, byte) pair is a table, and a text's exact code
-length per language is the sum over all its bytes. The shortest code wins.
+frozen, the cost of every (context, byte) pair is fixed, and a text's exact code
+length per language is the sum over all its bytes. The shortest code wins. Counts are
+kept where they are not 0, for any number of languages; costs are derived from them for
+the pairs that texts have, a few languages at a time. As contexts, bytes outside the
+training texts are like the start of a text.
 
 The tree is fitted on a bounded sample of labelled rows (``docs_per_language``
 expected rows each, drawn by a hash of the id); every text is scored whole.
@@ -39,8 +42,9 @@ ORDER = 3
 MIN_COUNT = 32             # occurrences in the sample that make a context a node
 MAX_NODES = 16384          # bound of the model's size: the most frequent contexts
 DOCS_PER_LANGUAGE = 2000
-MAX_LANGUAGES = 1000       # bound of the learned languages: the most frequent ones
 CHUNK_BYTES = 1 << 20
+LANGUAGES_AT_ONCE = 8      # languages whose code lengths of a chunk's bytes are held together
+TABLE_BYTES = 64 << 20     # of code lengths that a task keeps from chunk to chunk
 FIRST_CLASS, CLASSES = 3, 21   # beginnings of 2^3 to 2^23 bytes have limits of their own
 BINS = 64                  # of code length per byte, for one bit
 SPREADS = 3                # limit: so often the way from the median to the 95 % quantile
@@ -49,21 +53,69 @@ UNDETERMINED = "und"
 _SCALE = 1_000_000
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """Rows of numbers by language; only those that are not 0 are kept."""
+
+    bounds: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, row: np.ndarray, language: np.ndarray, value: np.ndarray, rows: int, languages: int
+           ) -> Sparse:
+        """Sums of ``value`` by row and language."""
+        key, at = np.unique(row * languages + language, return_inverse=True)
+        total = np.bincount(at, weights=value).astype(np.int64)
+        return cls(np.searchsorted(key, np.arange(rows + 1) * languages),
+                   (key % languages).astype(np.min_scalar_type(languages)),
+                   total.astype(np.min_scalar_type(int(total.max(initial=0)))))
+
+    def rows(self, row: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The rows' numbers of languages ``first`` to ``last``, zeros included."""
+        sizes = self.bounds[row + 1] - self.bounds[row]
+        of = np.repeat(np.arange(len(row)), sizes)
+        at = np.repeat(self.bounds[row] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(of))
+        language = self.language[at].astype(np.int64)
+        use = (language >= first) & (language < last)
+        out = np.zeros((len(row), last - first))
+        out[of[use], language[use] - first] = self.value[at[use]]
+        return out
+
+
 @dataclass(frozen=True)
 class ContextTree:
     languages: list[str]
     symbols: np.ndarray     # byte -> symbol; 0 for bytes outside the training texts
     child: np.ndarray       # (node, preceding symbol) -> longer context, or -1
-    bits: np.ndarray        # (node * symbols + symbol, language) -> code length
+    shorter: np.ndarray     # node -> the context it extends, or -1
+    seen: Sparse            # cell (node * symbols + symbol) -> counts by language
+    mass: Sparse            # node -> counts by language
+    distinct: Sparse        # node -> symbols seen by language
+
+    def lengths(self, cells: np.ndarray, first: int, last: int) -> np.ndarray:
+        """(cell, language from first to last) -> code length, along the cells' contexts."""
+        size = self.child.shape[1]
+        symbol, path = cells % size, [cells // size]
+        for _ in range(ORDER):
+            path.append(np.where(path[-1] >= 0, self.shorter[path[-1]], -1))
+        p = np.full((len(cells), last - first), 1 / 256)
+        for node in reversed(path):
+            at = np.flatnonzero(node >= 0)
+            count = self.seen.rows(node[at] * size + symbol[at], first, last)
+            mass, distinct = (t.rows(node[at], first, last) for t in (self.mass, self.distinct))
+            q = np.where(count > 0, count, distinct * p[at]) / np.maximum(mass + distinct, 1)
+            p[at] = np.where(mass > 0, q, p[at])
+        return (-np.log2(p)).astype(np.float32)
 
 
 def labelled_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """About ``docs_per_language`` rows of each language, chosen by a hash of the id.
 
-    The shares are one row per language, of at most MAX_LANGUAGES, so they are broadcast
-    and the texts stay where they are.
+    The shares are one row per language, a small part of the model that tasks get anyway,
+    so they are broadcast and the texts stay where they are.
     """
-    counts = docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
+    counts = docs.groupBy("lang").count()
     share = F.least(F.lit(1.0), docs_per_language / F.col("count"))
     limits = counts.select("lang", (share * _SCALE).cast("long").alias("limit"))
     return docs.join(F.broadcast(limits), "lang").where(
@@ -137,25 +189,19 @@ def fit_context_tree(training: DataFrame, docs_per_language: int = DOCS_PER_LANG
         at_level.append(node.copy())
         parents.append(of_parent)
         nodes += len(frequent)
-    probability = np.empty((nodes, size, total))
-    shorter = np.full((1, size, total), 1 / 256)
-    first = 0
-    for level, parent in zip(at_level, parents):
-        here = level >= 0
-        counts = np.zeros((len(parent), size, total))
-        np.add.at(counts, (level[here] - first, symbol[here], lang[here]), n[here])
-        mass, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        below = probability[parent] if first else shorter
-        p = np.where(counts > 0, counts, distinct * below) / np.maximum(mass + distinct, 1)
-        probability[first:first + len(parent)] = np.where(mass > 0, p, below)
-        first += len(parent)
-    bits = (-np.log2(probability)).astype(np.float32).reshape(nodes * size, total)
-    return ContextTree(languages, symbols.astype(np.uint8 if size < 256 else np.int32),
-                       child.astype(np.int32), bits)
-
-
-def _bits(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Row of the table of code lengths that holds for each byte."""
+    level, entry = np.concatenate(at_level), np.tile(np.arange(len(gram)), ORDER + 1)
+    level, entry = level[level >= 0], entry[level >= 0]
+    seen = Sparse.of(level * size + symbol[entry], lang[entry], n[entry], nodes * size, total)
+    cell = np.repeat(np.arange(nodes * size), np.diff(seen.bounds))
+    of = seen.language.astype(np.int64)
+    return ContextTree(
+        languages, symbols.astype(np.uint8 if size < 256 else np.int32), child.astype(np.int32),
+        np.concatenate(parents), seen, Sparse.of(cell // size, of, seen.value, nodes, total),
+        Sparse.of(cell // size, of, np.ones(len(cell)), nodes, total))
+
+
+def _cells(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The cell, a node and a symbol, that each byte is coded in."""
     symbol = tree.symbols[data]
     size = tree.child.shape[1]
     node = np.zeros(len(data), np.int32)
@@ -167,9 +213,54 @@ def _bits(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return node * np.int32(size) + symbol
 
 
-def code_lengths(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+class Codes:
+    """Code lengths of the cells a task has met, kept from chunk to chunk while they are few."""
+
+    def __init__(self, tree: ContextTree):
+        self.tree = tree
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = np.full(self.tree.child.size, -1, np.int32)
+        self.table = np.zeros((0, len(self.tree.languages)), np.float32)
+
+    def _new(self, cells: np.ndarray) -> np.ndarray:
+        missing = np.zeros(len(self.number), bool)
+        missing[cells] = True
+        return np.flatnonzero(missing & (self.number < 0))
+
+    def _lengths(self, cells: np.ndarray, first: int, last: int) -> np.ndarray:
+        parts = np.split(cells, np.arange(1 << 15, len(cells), 1 << 15))
+        return np.concatenate([self.tree.lengths(part, first, last) for part in parts])
+
+    def parts(self, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first language, table of its and the next languages, row of the table per cell)."""
+        total, new = len(self.tree.languages), self._new(cells)
+        room = TABLE_BYTES // (4 * total)
+        if len(self.table) + len(new) > room:
+            self.clear()
+            new = self._new(cells)
+        whole = len(new) <= room
+        self.number[new] = len(self.table) + np.arange(len(new))
+        rows = self.number[cells]
+        ranges = [(a, min(a + LANGUAGES_AT_ONCE, total)) for a in range(0, total, LANGUAGES_AT_ONCE)]
+        if whole and len(new):
+            self.table = np.concatenate([self.table, np.concatenate(
+                [self._lengths(new, a, b) for a, b in ranges], axis=1)])
+        for a, b in ranges:
+            yield a, self.table[:, a:b] if whole else self._lengths(new, a, b), rows
+        if not whole:
+            self.clear()
+
+
+def code_lengths(codes: Codes, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits that each document takes under each language's statistics."""
-    return segment_sums(tree.bits[_bits(tree, data, offsets)], np.diff(offsets))
+    out = np.zeros((len(offsets) - 1, len(codes.tree.languages)))
+    for first, table, rows in codes.parts(_cells(codes.tree, data, offsets)):
+        for low in range(0, max(len(rows), 1), CHUNK_BYTES):      # a longer text in parts
+            sizes = np.diff(np.clip(offsets, low, low + CHUNK_BYTES))
+            out[:, first:first + table.shape[1]] += segment_sums(table[rows[low:low + CHUNK_BYTES]], sizes)
+    return out
 
 
 def fit_limits(training: DataFrame, tree: ContextTree | None, docs_per_language: int = DOCS_PER_LANGUAGE,
@@ -193,20 +284,25 @@ def fit_limits(training: DataFrame, tree: ContextTree | None, docs_per_language:
         return limits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(other)
         for rows_, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-            at, sizes = _bits(other, data, offsets), np.diff(offsets)
+            cells, sizes = _cells(other, data, offsets), np.diff(offsets)
             found = [np.zeros((0, 3), np.int64)]
-            names = rows_.column("lang").to_pylist()
-            for name in sorted(set(names) & set(other.languages)):
-                number = other.languages.index(name)
-                total = np.concatenate(([0], np.cumsum(other.bits[at, number], dtype=np.float64)))
-                own = np.array([n == name for n in names])
-                for k in range(CLASSES):
-                    size = 1 << (k + FIRST_CLASS)
-                    first = offsets[:-1][own & (sizes >= size)]
-                    rate = (total[first + size] - total[first]) / size
-                    bins, n = np.unique(np.ceil(rate * BINS).astype(np.int64), return_counts=True)
-                    found.append(np.stack([np.full(len(bins), number * CLASSES + k), bins, n], 1))
+            names = np.array(rows_.column("lang").to_pylist(), dtype=object)
+            for first_, table_, at in codes.parts(cells):
+                for number in range(first_, first_ + table_.shape[1]):
+                    own = names == other.languages[number]
+                    if not own.any():
+                        continue
+                    bits = table_[at[np.repeat(own, sizes)], number - first_]
+                    total = np.concatenate(([0], np.cumsum(bits, dtype=np.float64)))
+                    starts = np.cumsum(sizes[own]) - sizes[own]
+                    for k in range(CLASSES):
+                        size = 1 << (k + FIRST_CLASS)
+                        first = starts[sizes[own] >= size]
+                        rate = (total[first + size] - total[first]) / size
+                        bins, n = np.unique(np.ceil(rate * BINS).astype(np.int64), return_counts=True)
+                        found.append(np.stack([np.full(len(bins), number * CLASSES + k), bins, n], 1))
             table = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in table.T], names=["class", "bin", "n"])
 
@@ -242,9 +338,9 @@ def score_languages(docs: DataFrame, tree: ContextTree | None, doc_id: str = "do
                             F.lit(0.0).alias("score"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*tree.languages, UNDETERMINED], dtype=object)
+        names, codes = np.array([*tree.languages, UNDETERMINED], dtype=object), Codes(tree)
         for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-            nats = code_lengths(tree, data, offsets) * np.log(2)
+            nats = code_lengths(codes, data, offsets) * np.log(2)
             best = nats.argmin(1)
             posterior = 1 / np.exp(nats.min(1, keepdims=True) - nats).sum(1)
             letters = rows.column("letters").to_numpy(zero_copy_only=False)
@@ -272,8 +368,9 @@ def keep_identified(docs: DataFrame, tree: ContextTree | None, languages: list[s
     wanted = np.array([languages is None or name in languages for name in tree.languages])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(tree)
         for rows, data, offsets in chunks(batches, text, CHUNK_BYTES):
-            bits = code_lengths(tree, data, offsets)
+            bits = code_lengths(codes, data, offsets)
             nats, best = bits * np.log(2), bits.argmin(1)
             posterior = 1 / np.exp(nats.min(1, keepdims=True) - nats).sum(1)
             mask = (rows.column(letters).to_numpy(zero_copy_only=False) & wanted[best]
