@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -114,5 +115,34 @@ def jaccard_links(rows, n=5, threshold=0.8):
     return collections.Counter((sets[a][0], least[find(a)], links[a]) for a in range(len(sets)))
 
 
+def plain_split(v, raw):
+    """Ids of the best split of ``raw`` from a dictionary of pieces, byte by byte."""
+    special = {k for k in range(len(v.surface)) if k in set(v.byte_ids.tolist()) or k < 3}
+    pieces = {}
+    for k, piece in enumerate(v.surface):
+        if k not in special:
+            pieces.setdefault(piece, k)
+    best, last = {0: 0.0}, {}
+    for s in range(len(raw)):
+        if s not in best:
+            continue
+        width = min(next(w for w, low in ((4, 0xF0), (3, 0xE0), (2, 0xC0), (1, 0)) if raw[s] >= low),
+                    len(raw) - s)
+        steps = [(raw[s:t], pieces[raw[s:t]]) for t in range(s + 1, min(len(raw), s + v.longest) + 1)
+                 if raw[s:t] in pieces]
+        if all(len(piece) != width for piece, _ in steps):
+            steps.append((raw[s:s + width], -1))
+        for piece, k in steps:
+            value = best[s] + (v.scores[k] if k >= 0 else v.unknown)
+            if value > best.get(s + len(piece), -math.inf):
+                best[s + len(piece)], last[s + len(piece)] = value, (s, k)
+    out, at = [], len(raw)
+    while at:
+        s, k = last[at]
+        out[:0] = [k] if k >= 0 else [int(v.byte_ids[b]) for b in raw[s:at]]
+        at = s
+    return out
+
+
 def rows_of(df, *columns):
     return collections.Counter(tuple(r[c] for c in columns) for r in df.collect())

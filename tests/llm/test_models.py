@@ -379,6 +379,25 @@ def test_units_in_step_equal_the_plain_search():
         assert ids == (unigram.split_one(v, (" " + text).encode()) if text else [])
 
 
+def test_long_units_equal_a_search_without_borders(monkeypatch):
+    """Texts without spaces: cut at borders, they split as a plain search over all bytes does."""
+    v = unigram.read_vocabulary(VOCABULARY)
+    rng = random.Random(5)
+    words = ["的", "中国", "是", "在", "我们", "人民", "经济", "，", "发展", "了", "上海"]
+    texts = ["".join(rng.choice(words) for _ in range(600)),
+             "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(1500)),
+             "".join(chr(rng.randrange(0x4E00, 0x5500)) for _ in range(400)), "A" * 700, "=-" * 300,
+             "héé日本" * 80 + "x" * 400 + " " * 300 + "\n" * 250 + "日" * 90]
+    for walk in (unigram.WALK, 37):
+        monkeypatch.setattr(unigram, "WALK", walk)
+        for text, ids in zip(texts, encode(v, texts)):
+            raw = (" " + text).encode()
+            assert ids == helpers.plain_split(v, raw) == unigram.split_one(v, raw)
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    cut = unigram.borders(v, data, np.array([0]), np.array([len(data)]))
+    assert np.diff(cut).max() < unigram.LONG_UNIT
+
+
 def test_double_array_holds_exactly_the_pieces():
     v = unigram.read_vocabulary(VOCABULARY)
 

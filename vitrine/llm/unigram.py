@@ -9,9 +9,11 @@ turns markers into spaces and drops the first one.
 
 No piece has a marker after another character, so a text falls apart before every
 run of spaces: a task splits a chunk into such units, runs the search once per
-distinct unit, all units in step, and copies the result to every occurrence. Units
-longer than ``LONG_UNIT`` bytes are searched one by one. The trie's alphabet is
-bytes, with 0x20 for the marker.
+distinct unit, all units in step, and copies the result to every occurrence. A unit
+longer than ``LONG_UNIT`` bytes (scripts without spaces, encoded data) falls apart
+further, wherever no piece that occurs in it spans a place: the best split has a
+border there. What stays longer is searched one by one. The trie's alphabet is bytes,
+with 0x20 for the marker.
 
 Defined results: a null text has null tokens, an empty one none; the marker character
 itself, in a text, is a character that no piece covers, so its byte pieces bring it
@@ -39,6 +41,7 @@ MARKER = "▁"
 SPACE = 0x20
 UNKNOWN_PENALTY = 10.0
 LONG_UNIT = 192
+WALK = 1 << 18               # places whose pieces are looked up at once
 CHUNK_BYTES = 2 << 20
 _CHAR_BYTES = np.ones(256, np.int64)           # bytes of a character by its first byte
 _CHAR_BYTES[0xC0:0xE0], _CHAR_BYTES[0xE0:0xF0], _CHAR_BYTES[0xF0:] = 2, 3, 4
@@ -141,29 +144,71 @@ def _double_array(pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.
     return base[:end].copy(), check[:end].copy(), piece[:end].copy()
 
 
+def occurrences(v: Vocabulary, data: np.ndarray, places: np.ndarray, ends: np.ndarray
+                ) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(index into ``places``, bytes, piece ids) of the pieces that start at the places and
+    end by ``ends``, shorter ones first; the trie is followed from all places in step."""
+    active, state = np.arange(len(places)), np.zeros(len(places), np.int32)
+    for size in range(1, v.longest + 1):
+        on = places[active] + size <= ends[active]
+        active, state = active[on], state[on]
+        after = v.base[state] + data[places[active] + size - 1]
+        on = v.check[after] == state
+        active, state = active[on], after[on]
+        if not len(active):
+            return
+        k = v.piece[state]
+        hit = k >= 0
+        if hit.any():
+            yield active[hit], size, k[hit]
+
+
+def borders(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places within the units ``starts:ends`` that no piece occurring there spans."""
+    found = []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        reach = a
+        for low in range(a, b, WALK):
+            places = low + np.flatnonzero((data[low:min(low + WALK, b)] & 0xC0) != 0x80)
+            if not len(places):
+                continue
+            to = np.minimum(places + _CHAR_BYTES[data[places]], b)
+            for on, size, _ in occurrences(v, data, places, np.full(len(places), b)):
+                to[on] = np.maximum(to[on], places[on] + size)
+            to = np.maximum(np.maximum.accumulate(to), reach)
+            before = np.append(reach, to[:-1])
+            found.append(places[(before <= places) & (places > a)])
+            reach = int(to[-1])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def split_one(v: Vocabulary, unit: bytes) -> list[int]:
-    """Ids of one unit by a plain search (long units; also the reference in tests)."""
-    n = len(unit)
+    """Ids of one unit by a search from left to right over the pieces that occur in it."""
+    n, data = len(unit), np.frombuffer(unit, np.uint8)
     best, before, ids = [-np.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     best[0] = 0.0
-    base, check, piece, scores = v.base, v.check, v.piece, v.scores
-    for s in range(n):
-        if best[s] == -np.inf:
-            continue
-        width = min(int(_CHAR_BYTES[unit[s]]), n - s)
-        state, single = 0, False
-        for t in range(s, min(n, s + v.longest)):
-            after = int(base[state]) + unit[t]
-            if check[after] != state:
-                break
-            state = after
-            k = int(piece[state])
-            if k >= 0:
-                single |= t + 1 - s == width
-                if best[s] + scores[k] > best[t + 1]:
-                    best[t + 1], before[t + 1], ids[t + 1] = best[s] + scores[k], s, k
-        if not single and best[s] + v.unknown > best[s + width]:
-            best[s + width], before[s + width], ids[s + width] = best[s] + v.unknown, s, -1
+    unknown = v.unknown
+    for low in range(0, n, WALK):
+        places = np.arange(low, min(low + WALK, n))
+        rows = list(occurrences(v, data, places, np.full(len(places), n)))
+        place, size, piece = (np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (
+            [r[0] for r in rows], [np.full(len(r[0]), r[1]) for r in rows], [r[2] for r in rows]))
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(len(places) + 1)).tolist()
+        size, score, piece = (c[order].tolist() for c in (size, v.scores[piece], piece))
+        widths = np.minimum(_CHAR_BYTES[data[places]], n - places).tolist()
+        for k, width in enumerate(widths):
+            s = low + k
+            if best[s] == -np.inf:
+                continue
+            single = False
+            for j in range(bounds[k], bounds[k + 1]):
+                single |= size[j] == width
+                t = s + size[j]
+                if best[s] + score[j] > best[t]:
+                    best[t], before[t], ids[t] = best[s] + score[j], s, piece[j]
+            if not single and best[s] + unknown > best[s + width]:
+                best[s + width], before[s + width], ids[s + width] = best[s] + unknown, s, -1
     out, at = [], n
     while at > 0:
         s, k = before[at], ids[at]
@@ -280,6 +325,10 @@ def encode_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray
     keep = np.concatenate(([True], ~(follows & ~inner)))
     starts = starts[keep]
     ends = np.append(starts[1:], len(data))
+    wide = ends - starts > LONG_UNIT
+    if wide.any():
+        starts = np.union1d(starts, borders(v, data, starts[wide], ends[wide]))
+        ends = np.append(starts[1:], len(data))
     _, first, inverse = np.unique(substring_hashes(prefix_hashes(data), starts, ends),
                                   return_index=True, return_inverse=True)
     starts_, lengths = starts[first], ends[first] - starts[first]
