@@ -9,8 +9,9 @@ import pytest
 
 from tests.llm import helpers
 from vitrine.llm.repeats import Layout, merged, pieces, span_pairs, squeeze, unsqueeze
-from vitrine.llm.substring_dedup import deduplicate_substrings
-from vitrine.llm.suffix_dedup import maximal_intervals, remove_repeated_bytes, suffix_array
+from vitrine.llm.substring_dedup import deduplicate_substrings, factors_of, greedy_factors
+from vitrine.llm.suffix_dedup import (_symbols, maximal_intervals, remove_repeated_bytes,
+                                      suffix_array)
 
 WORDS = ("doc_id", "n_words", "n_removed", "kept_sha256")
 BYTES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -89,7 +90,7 @@ def test_texts_longer_than_a_slice(monkeypatch):
 
     def found():
         return {(int(f) + s.base, int(v)) for s in substring_dedup._symbols(text, offsets, layout)
-                for d, a, b, h in [pieces(s.grams, s.offsets, layout)]
+                for d, a, b, h, _ in [pieces(s.grams, s.offsets, layout)]
                 for lo, hi, v in zip(a, b, layout.value(h)) for f in range(lo, hi + 1)}
 
     whole = found()
@@ -124,3 +125,76 @@ def test_intervals_are_the_maximal_repeats():
             if len(at) > 1 and len(lefts) > 1 and len(rights) > 1:
                 expect[s] = at
     assert found == expect
+
+
+def brute_factors(texts, window):
+    """Greedy parse by trying every earlier start: (start, words) of each factor."""
+    out = []
+    for n, text in enumerate(texts):
+        found, p = [], 0
+        while p < len(text):
+            best = 0
+            for m, other in enumerate(texts[:n + 1]):
+                for q in range(len(other) if m < n else p):
+                    size = 0
+                    while (p + size < len(text) and q + size < len(other)
+                           and text[p + size] == other[q + size]):
+                        size += 1
+                    best = max(best, size)
+            if best >= window:
+                found.append((p, best))
+                p += best
+            else:
+                p += 1
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_factors_equal_a_brute_force_parse(seed):
+    rng = __import__("random").Random(seed)
+    texts = [[f"w{rng.randrange(3)}" for _ in range(rng.randrange(60))] for _ in range(6)]
+    texts += [texts[0][5:40] + texts[1][:30] + texts[2][3:], ["a"] * 40, ["b"] + ["a"] * 30, []]
+    got = factors_of(texts, window=4)
+    assert [[f[:2] for f in found] for found in got] == brute_factors(texts, 4)
+    for number, found in enumerate(got):
+        for start, size, origin, there in found:
+            assert (origin, there) < (number, start)
+            assert texts[number][start:start + size] == texts[origin][there:there + size]
+
+
+def test_windows_over_a_factors_end_are_looked_up():
+    """A longest factor hides a window that another source has: it is removed all the same."""
+    a, b = [f"a{k}" for k in range(6)], [f"b{k}" for k in range(6)]
+    texts = [a + ["x"], a[3:] + b[:3], a + b]
+    got = factors_of(texts, window=4)
+    assert [f[:2] for f in got[2]] == [(0, 6)]
+    length = np.array([3, 2, 1, 1, 1, 0, 0, 0, 0])       # of a + b: windows 3 and 4 cross the end
+    _, crossing = greedy_factors(length, np.arange(9, 0, -1), np.zeros(9, np.int64), 4)
+    assert crossing.tolist() == [False] * 3 + [True] * 3 + [False] * 3
+
+
+def test_runs_are_few_pieces():
+    layout = Layout(50, 16, 4, 40)
+    for text in (b"A" * 200_000, b"ab" * 100_000):
+        data = np.frombuffer(text, np.uint8)
+        offsets = np.array([0, 100_000, 100_000, 200_000])
+        part, = _symbols(data, offsets, layout)
+        doc, first, last, value, _ = pieces(part.grams, part.offsets, layout)
+        size = last - first + layout.window
+        assert int(size.sum()) < 1.3 * len(text) and len(np.unique(value)) == 1
+        assert int((last - first + 1).sum()) == 2 * (100_000 - 49)
+        assert (first >= part.offsets[doc]).all()
+        assert (last + layout.window <= part.offsets[doc + 1]).all()
+
+
+def test_runs_equal_brute_force(spark):
+    rng = __import__("random").Random(8)
+    rows = [(1, "A" * 900), (2, "x" + "A" * 700 + "y" + "A" * 60), (3, "ab" * 500), (4, "b" + "ab" * 300),
+            (5, "the " * 600), (6, "of the " * 300 + "the " * 400), (7, "=" * 49), (8, "=" * 51),
+            (9, "-" * 60 + "=" * 3000), (10, "A" * 400 + helpers.prose(rng, 30) + "A" * 300),
+            (11, "of the " * 500)]
+    got = remove_repeated_bytes(helpers.documents(spark, rows), with_bytes=False)
+    assert named(got, BYTES) == expected(helpers.repeated_bytes, rows, 50)
+    got = deduplicate_substrings(helpers.documents(spark, rows), with_text=False)
+    assert named(got, WORDS) == expected(helpers.substring_dedup, rows, 20)

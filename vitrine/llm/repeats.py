@@ -6,8 +6,8 @@ least hash in it, and equal windows have equal anchors at the same place. So
 
 1. every document's anchors (about 2 / (window - gram + 2) per symbol) are sent by
    hash to reducers as compressed integers, which send the repeated ones back;
-2. every document cuts out pieces around its repeated anchors: the windows that
-   share one anchor. Pieces go to the reducer of their anchor, which therefore
+2. every document cuts out pieces around its repeated anchors: neighbouring windows
+   that share one. Pieces go to the reducer of their anchor, which therefore
    sees every occurrence of all their windows and finds what is to be removed;
 3. spans go back by document and are applied to its text.
 
@@ -41,6 +41,7 @@ PACK_ANCHORS = 400_000
 PACK_PIECE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 SLICE = 1 << 22              # symbols handled at once
+LONGEST_PIECE = 256          # windows of a piece; a run of one anchor is cut into several
 POSITION_BITS = 23
 _DATA, _READY = 0, 1
 _ROUTED = "part int, kind int, data binary"
@@ -88,6 +89,7 @@ class Layout:
     gram: int
     parts: int               # reducers
     bits: int                # of an anchor's hash
+    within: bool = True      # repeats within one document count
 
     def value(self, hashes: np.ndarray) -> np.ndarray:
         """An anchor's value, spread evenly: the hashes themselves are small, being minima."""
@@ -107,11 +109,14 @@ class Layout:
 
 
 def pieces(grams: np.ndarray, offsets: np.ndarray, layout: Layout
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that share an anchor: document, first and last window start, anchor hash.
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows whose anchors have one hash: document, first and last window
+    start, that hash, whether it stands at several places.
 
     ``grams`` has the hash of the ``gram`` symbols from every position (those that
-    run past a document's end are not looked at).
+    run past a document's end are not looked at). In a text that repeats itself, such as
+    a run of one byte, every window has an anchor of its own but all have the same hash:
+    they are one piece (of at most LONGEST_PIECE windows), not a piece each.
     """
     spread = layout.window - layout.gram + 1
     place = np.uint64((1 << POSITION_BITS) - 1)
@@ -125,12 +130,17 @@ def pieces(grams: np.ndarray, offsets: np.ndarray, layout: Layout
     amount = np.maximum(np.diff(offsets) - layout.window + 1, 0)
     starts = gather(offsets[:-1], amount)
     anchor = (least[starts] & place).astype(np.int64)
+    doc = np.repeat(np.arange(len(amount)), amount)
+    value = grams[anchor]
     first = np.ones(len(starts), bool)
-    first[1:] = anchor[1:] != anchor[:-1]
+    first[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
+    run = np.diff(np.append(at, len(starts)))
+    if len(run) and run.max() > LONGEST_PIECE:
+        times = -(-run // LONGEST_PIECE)
+        at = np.repeat(at, times) + LONGEST_PIECE * gather(np.zeros(len(run), np.int64), times)
     last = np.append(at[1:], len(starts)) - 1 if len(at) else at
-    doc = np.repeat(np.arange(len(amount)), amount)[at]
-    return doc, starts[at], starts[last], grams[anchor[at]]
+    return doc[at], starts[at], starts[last], value[at], anchor[at] != anchor[last]
 
 
 def slices(offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
@@ -238,20 +248,27 @@ def entries(rows: list[tuple[int, bytes]]) -> pa.Table:
 
 # -- stage 1: repeated anchors ---------------------------------------------------------
 
+def _repeated(value: np.ndarray, owner: np.ndarray, within: bool) -> np.ndarray:
+    """Of entries sorted by value and owner, those whose value occurs again, in another
+    document unless ``within``."""
+    if not len(value):
+        return np.zeros(0, bool)
+    new = np.append(True, value[1:] != value[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(value)) - 1
+    return (tails > heads if within else owner[tails] != owner[heads])[np.cumsum(new) - 1]
+
+
 def _anchors(symbols: Callable, layout: Layout):
     def flush(pack: Pack, salt: int) -> Iterator[pa.RecordBatch]:
         if not pack.columns:
             return
         ids, keys, (doc, value) = pack.arrays()
-        order = np.lexsort((doc, value))
+        order = np.lexsort((doc, ids[doc], value))
         doc, value = doc[order], value[order]
-        same = value[1:] == value[:-1]
-        twice = np.zeros(len(value), bool)
-        twice[1:], lead = same, np.ones(len(value), bool)
-        twice[:-1] |= same
-        lead[1:] = ~same
-        once = twice.copy()                       # each document once
-        once[1:] &= ~(same & (doc[1:] == doc[:-1]))
+        lead, once = np.ones(len(value), bool), _repeated(value, ids[doc], layout.within)
+        lead[1:] = value[1:] != value[:-1]
+        once[1:] &= lead[1:] | (doc[1:] != doc[:-1])       # each document once
         rows = ready(layout, salt, doc[once], ids, keys, value[once])
         doc, value = doc[lead], value[lead]
         for part, at in by_part(layout.part_of_value(value), layout.parts):
@@ -265,8 +282,9 @@ def _anchors(symbols: Callable, layout: Layout):
         for records, data, offsets in chunks(batches, "text", CHUNK_BYTES):
             found = []
             for part in symbols(data, offsets, layout):
-                doc, _, _, anchor = pieces(part.grams, part.offsets, layout)
-                found.append((doc, layout.value(anchor)))
+                doc, _, _, anchor, several = pieces(part.grams, part.offsets, layout)
+                again = np.repeat(np.arange(len(doc)), 1 + several)
+                found.append((doc[again], layout.value(anchor)[again]))
             doc, value = (np.concatenate(c) for c in zip(*found))
             pack.add(records, doc, value, size=len(doc))
             if pack.size >= PACK_ANCHORS:
@@ -285,15 +303,13 @@ def _repeated_anchors(layout: Layout):
             value = np.concatenate([np.cumsum(f[0]) for f in found])
             source = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             number = np.concatenate([f[1] for f in found])
-            order = np.argsort(value, kind="stable")
-            value, source, number = value[order], source[order], number[order]
-            twice = np.zeros(len(value), bool)
-            twice[1:] = value[1:] == value[:-1]
-            twice[:-1] |= twice[1:]
-            value, source, number = value[twice], source[twice], number[twice]
             base = np.cumsum([0, *(len(f[2]) for f in found)])
             doc = base[source] + number
             ids, keys = (np.concatenate([f[k] for f in found]) for k in (2, 3))
+            order = np.lexsort((ids[doc], value))
+            value, doc = value[order], doc[order]
+            twice = _repeated(value, ids[doc], layout.within)
+            value, doc = value[twice], doc[twice]
             out += to_documents(layout, doc, ids, keys, value) if len(doc) else []
         return entries(out)
 
@@ -347,9 +363,11 @@ def flagged(records: pa.RecordBatch, doc: np.ndarray, value: np.ndarray) -> np.n
 
 
 def remove_repeats(docs: DataFrame, window: int, gram: int, symbols: Callable, cut: Callable,
-                   solve: Callable, apply: Callable, schema: str) -> DataFrame:
+                   solve: Callable, apply: Callable, schema: str, within: bool = True) -> DataFrame:
     """Run the three stages over ``docs`` (``doc_id`` bigint, ``text``).
 
+    Repeats count ``within`` one document too, or only between documents.
+
     ``symbols(data, offsets, layout)`` yields ``Symbols``; ``cut(layout)`` makes the
     function of stage 2 over texts with a ``payload`` of repeated anchors,
     ``solve(layout)`` the reducer of its pieces, ``apply`` the function that turns texts
@@ -361,7 +379,7 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, symbols: Callable, c
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     layout = Layout(window, gram, max(2 * spark.sparkContext.defaultParallelism,
                                       math.ceil(size / PART_BYTES)),
-                    min(60, max(32, math.ceil(math.log2(size + 2)) + 8)))
+                    min(60, max(32, math.ceil(math.log2(size + 2)) + 8)), within)
 
     anchors = known.mapInArrow(_anchors(symbols, layout), _ROUTED)
     repeated = (

@@ -78,7 +78,7 @@ def _cut(layout: Layout):
         pack, salt = Pack(), 0
         for records, data, offsets in chunks(batches, "text", CHUNK_BYTES):
             for part in _symbols(data, offsets, layout):
-                doc, first, last, anchor = pieces(part.grams, part.offsets, layout)
+                doc, first, last, anchor, _ = pieces(part.grams, part.offsets, layout)
                 value = layout.value(anchor)
                 on = flagged(records, doc, value)
                 doc, first, value = doc[on], first[on], value[on]
@@ -258,4 +258,5 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     kinds = ["bigint"] * 4 + (["binary", "array<array<bigint>>"] if with_bytes else ["string"])
     schema = ", ".join(f"{n} {k}" for n, k in zip(_names(with_bytes), kinds))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return remove_repeats(plain, length, gram, _symbols, _cut, _solve, _apply(with_bytes), schema)
+    return remove_repeats(plain, length, gram, _symbols, _cut, _solve, _apply(with_bytes), schema,
+                          within=False)
