@@ -41,7 +41,6 @@ PACK_ANCHORS = 400_000
 PACK_PIECE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 SLICE = 1 << 22              # symbols handled at once
-LONGEST_PIECE = 256          # windows of a piece; a run of one anchor is cut into several
 POSITION_BITS = 23
 _DATA, _READY = 0, 1
 _ROUTED = "part int, kind int, data binary"
@@ -116,7 +115,7 @@ def pieces(grams: np.ndarray, offsets: np.ndarray, layout: Layout
     ``grams`` has the hash of the ``gram`` symbols from every position (those that
     run past a document's end are not looked at). In a text that repeats itself, such as
     a run of one byte, every window has an anchor of its own but all have the same hash:
-    they are one piece (of at most LONGEST_PIECE windows), not a piece each.
+    they share pieces of as many windows as one place can serve, instead of a piece each.
     """
     spread = layout.window - layout.gram + 1
     place = np.uint64((1 << POSITION_BITS) - 1)
@@ -136,9 +135,9 @@ def pieces(grams: np.ndarray, offsets: np.ndarray, layout: Layout
     first[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
     run = np.diff(np.append(at, len(starts)))
-    if len(run) and run.max() > LONGEST_PIECE:
-        times = -(-run // LONGEST_PIECE)
-        at = np.repeat(at, times) + LONGEST_PIECE * gather(np.zeros(len(run), np.int64), times)
+    if len(run) and run.max() > spread:
+        times = -(-run // spread)
+        at = np.repeat(at, times) + spread * gather(np.zeros(len(run), np.int64), times)
     last = np.append(at[1:], len(starts)) - 1 if len(at) else at
     return doc[at], starts[at], starts[last], value[at], anchor[at] != anchor[last]
 
