@@ -380,18 +380,21 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, symbols: Callable, c
                                       math.ceil(size / PART_BYTES)),
                     min(60, max(32, math.ceil(math.log2(size + 2)) + 8)), within)
 
+    def by_parts(rows: DataFrame):
+        """Groups by part in as many tasks as parts, so that a task does not grow with the input."""
+        return rows.repartition(layout.parts, "part").groupBy("part")
+
     anchors = known.mapInArrow(_anchors(symbols, layout), _ROUTED)
-    repeated = (
-        anchors.groupBy("part").applyInArrow(_repeated_anchors(layout), "part int, data binary")
-        .groupBy("part").applyInArrow(_per_document(lambda v: np.unique(_short(v)).tobytes()), _KEYED))
+    found = by_parts(anchors).applyInArrow(_repeated_anchors(layout), "part int, data binary")
+    repeated = by_parts(found).applyInArrow(
+        _per_document(lambda v: np.unique(_short(v)).tobytes()), _KEYED)
 
     # one exchange of the texts serves both joins
     dealt = known.repartition(layout.parts, "doc_id", "text_key")
     cuts = dealt.join(repeated.hint("shuffle_hash"), ["doc_id", "text_key"]).select(
         "doc_id", "text_key", "text", "payload").mapInArrow(cut(layout), _ROUTED)
-    spans = (
-        cuts.groupBy("part").applyInArrow(solve(layout), "part int, data binary")
-        .groupBy("part").applyInArrow(_per_document(merged), _KEYED))
+    solved = by_parts(cuts).applyInArrow(solve(layout), "part int, data binary")
+    spans = by_parts(solved).applyInArrow(_per_document(merged), _KEYED)
     judged = dealt.join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select(
         "doc_id", "text", "payload").mapInArrow(apply, schema)
     unnamed = plain.where(F.col("doc_id").isNull()).select(
