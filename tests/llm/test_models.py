@@ -254,6 +254,41 @@ def test_code_lengths_are_those_of_ppm(spark, monkeypatch):
     assert np.allclose(whole[0], np.concatenate(alone))
 
 
+def test_language_model_and_limits_are_learned_from_all_rows(spark, monkeypatch):
+    """More rows than weigh in full, and more grams than a task holds or a part has: all are counted."""
+    monkeypatch.setattr(language_id, "GRAMS_HELD", 50)
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 64)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=20)) for _ in range(90)]
+    rows = [(k % 80, t, "aa" if k < 85 else "bb") for k, t in enumerate(texts)]
+    rows += [(None, "lorem ipsum", "bb"), (500, None, "aa"), (501, "sit", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    tree = language_id.fit_context_tree(table, docs_per_language=4, min_count=2)
+    counts = [collections.Counter(), collections.Counter()]
+    for _, text, lang in rows:
+        if text and lang:
+            counts["ab".index(lang[0])].update(text.encode())
+    size = tree.child.shape[1]
+    root = tree.seen.rows(np.arange(size), 0, 2)
+    for byte in set(counts[0] | counts[1]):
+        assert [*root[tree.symbols[byte]]] == [counts[0][byte], counts[1][byte]]
+    assert [*tree.mass.rows(np.array([0]), 0, 2)[0]] == [sum(c.values()) for c in counts]
+    # contexts: an occurrence in aa weighs 4 / 85, in bb 4 / 6
+    weighted = collections.Counter()
+    for _, text, lang in rows:
+        if text and lang:
+            padded = b"\0" * 3 + text.encode()
+            for k in range(3, len(padded)):
+                for order in (1, 2, 3):
+                    weighted[padded[k - order:k]] += 4 * 10**6 // (85 if lang == "aa" else 6)
+    assert len(tree.child) == 1 + sum(n >= 2 * 10**6 for n in weighted.values())
+    most = language_id.fit_context_tree(table, docs_per_language=4, min_count=2, max_nodes=20)
+    assert len(most.child) == 20 and most.mass.rows(np.array([0]), 0, 2).sum() == sum(map(len, filter(
+        None, (t for _, t, lang in rows if lang))))
+    limits = language_id.fit_limits(table, tree, docs_per_language=4, min_count=2)
+    assert np.isfinite(limits[0]).all() and np.isinf(limits[1]).all()      # too few of bb
+
+
 def test_many_languages_are_all_learned(spark):
     """Three hundred languages, none dropped, in a model far under a dense table's size."""
     def made(k):

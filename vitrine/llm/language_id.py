@@ -11,8 +11,9 @@ kept where they are not 0, for any number of languages; costs are derived from t
 the pairs that texts have, a few languages at a time. As contexts, bytes outside the
 training texts are like the start of a text.
 
-The tree is fitted on a bounded sample of labelled rows (``docs_per_language``
-expected rows each, drawn by a hash of the id); every text is scored whole.
+The tree is fitted on all labelled rows. Only for the choice of the contexts that become
+nodes, a language with more than ``docs_per_language`` rows weighs as much as so many; all
+its occurrences are counted. Every text is scored whole.
 
 The shortest code only says which learned language is nearest. Whether a text is in it
 at all is a matter of the code's length per byte: ``fit_limits`` learns from one half of
@@ -32,17 +33,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.arrays import bounded_batches, chunks, segment_sums
 from vitrine.llm.folds import held_out, positional
+from vitrine.operators.materialize import discard, materialize
 
 ORDER = 3
-MIN_COUNT = 32             # occurrences in the sample that make a context a node
+MIN_COUNT = 32             # weighted occurrences that make a context a node
 MAX_NODES = 16384          # bound of the model's size: the most frequent contexts
-DOCS_PER_LANGUAGE = 2000
+DOCS_PER_LANGUAGE = 2000   # rows of a language that weigh in full in the choice of contexts
 CHUNK_BYTES = 1 << 20
+GRAMS_HELD = 1 << 20       # gram counts that a task adds up before it sends them
 LANGUAGES_AT_ONCE = 8      # languages whose code lengths of a chunk's bytes are held together
 TABLE_BYTES = 64 << 20     # of code lengths that a task keeps from chunk to chunk
 FIRST_CLASS, CLASSES = 3, 21   # beginnings of 2^3 to 2^23 bytes have limits of their own
@@ -109,17 +112,15 @@ class ContextTree:
         return (-np.log2(p)).astype(np.float32)
 
 
-def labelled_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """About ``docs_per_language`` rows of each language, chosen by a hash of the id.
+def language_weights(rows: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """``lang, weight``: what an occurrence in the language counts, in millionths, when contexts are chosen.
 
-    The shares are one row per language, a small part of the model that tasks get anyway,
-    so they are broadcast and the texts stay where they are.
+    All rows of a language together weigh as much as ``docs_per_language`` rows at most, so that neither
+    the input's size nor its largest language decides which contexts become nodes. One row per language,
+    a small part of the model that tasks get anyway.
     """
-    counts = docs.groupBy("lang").count()
-    share = F.least(F.lit(1.0), docs_per_language / F.col("count"))
-    limits = counts.select("lang", (share * _SCALE).cast("long").alias("limit"))
-    return docs.join(F.broadcast(limits), "lang").where(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(_SCALE)) < F.col("limit"))
+    share = F.least(F.lit(1.0), docs_per_language / F.count(F.lit(1)))
+    return rows.groupBy("lang").agg(F.greatest(F.lit(1), (share * _SCALE).cast("long")).alias("weight"))
 
 
 def _preceding(data: np.ndarray, offsets: np.ndarray, distance: int) -> np.ndarray:
@@ -132,72 +133,101 @@ def _preceding(data: np.ndarray, offsets: np.ndarray, distance: int) -> np.ndarr
     return out
 
 
+def _counted(names: dict[str, int], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    lang = pa.DictionaryArray.from_arrays(pa.array((keys >> np.uint64(32)).astype(np.int32)),
+                                          pa.array(list(names), pa.string()))
+    return pa.RecordBatch.from_arrays(
+        [lang.cast(pa.string()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)],
+        names=["lang", "gram", "n"])
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (three preceding bytes, byte) per language of the task's rows."""
+    """Counts of (three preceding bytes, byte) per language of the task's rows.
+
+    They are added up in the task while there are few different ones; a longer text is taken in parts.
+    """
+    names: dict[str, int] = {}
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for rows, data, offsets in chunks(batches, "text", CHUNK_BYTES):
-        code = data.astype(np.uint32)
-        for k in range(1, ORDER + 1):
-            code |= _preceding(data, offsets, k).astype(np.uint32) << np.uint32(8 * k)
-        names = np.array(rows.column("lang").to_pylist())
-        of_byte = np.repeat(names, np.diff(offsets))
-        for name in sorted(set(names)):
-            grams, counts = np.unique(code[of_byte == name], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)),
-                 pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+        lang = np.array([names.setdefault(name, len(names)) for name in rows.column("lang").to_pylist()],
+                        np.uint64) << np.uint64(32)
+        before = [_preceding(data, offsets, k) for k in range(1, ORDER + 1)]
+        for low in range(0, len(data), CHUNK_BYTES):
+            part = slice(low, low + CHUNK_BYTES)
+            key = np.repeat(lang, np.diff(np.clip(offsets, low, low + CHUNK_BYTES))) | data[part]
+            for k, values in enumerate(before, 1):
+                key |= values[part].astype(np.uint64) << np.uint64(8 * k)
+            for held, new in zip((keys, counts), np.unique(key, return_counts=True)):
+                held.append(new)
+            if sum(map(len, keys)) > GRAMS_HELD:
+                merged, at = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+                keys, counts = [merged], [n]
+                if 2 * len(merged) > GRAMS_HELD:
+                    yield _counted(names, merged, n)
+                    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    merged, at = np.unique(np.concatenate(keys), return_inverse=True)
+    yield _counted(names, merged, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64))
+
+
+def _contexts(first: int) -> Column:
+    """The contexts of ``first`` to ``ORDER`` bytes of a gram, the nearest byte first."""
+    paths, path = [F.lit(0).cast("long")], F.lit(0).cast("long")
+    for k in range(1, ORDER + 1):
+        path = F.shiftleft(path, 8).bitwiseOR(F.shiftright("gram", 8 * k).bitwiseAND(F.lit(255)))
+        paths.append(path)
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), paths[k].alias("path"))
+                               for k in range(first, ORDER + 1)]))
 
 
 def fit_context_tree(training: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
                      min_count: int = MIN_COUNT, max_nodes: int = MAX_NODES) -> ContextTree | None:
-    """Fit on rows with ``doc_id, text, lang``; None without a labelled, non-empty text.
+    """Fit on all rows with ``doc_id, text, lang``; None without a labelled, non-empty text.
 
-    The gram counts that reach the driver come from the bounded sample.
+    Spark counts the grams, chooses the contexts and adds up their cells; what reaches the driver
+    is bounded by the model's size: at most ``max_nodes`` contexts, and their symbols by language.
     """
-    rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    grams = (labelled_sample(bounded_batches(rows).select("doc_id", "text", "lang"), docs_per_language)
-             .select("text", "lang")
-             .mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
-    if not grams.num_rows:
+    rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    grams = materialize(bounded_batches(rows).mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
+                        .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    # shorter contexts first; a context is not more frequent than its shorter one, so that one is a node too
+    chosen = (grams.join(F.broadcast(language_weights(rows, docs_per_language)), "lang")
+              .select(_contexts(1).alias("c"), (F.col("n") * F.col("weight")).alias("n"))
+              .groupBy("c.level", "c.path").agg(F.sum("n").alias("n"))
+              .where(F.col("n") >= min_count * _SCALE)
+              .orderBy("level", F.desc("n"), "path").limit(max(0, max_nodes - 1)).toArrow())
+    levels, paths = (np.append(0, chosen.column(c).to_numpy()).astype(np.int64) for c in ("level", "path"))
+    order = np.lexsort((paths, levels))
+    levels, paths = levels[order], paths[order]
+    nodes = grams.sparkSession.createDataFrame(
+        list(zip(levels.tolist(), paths.tolist(), range(len(paths)))), "level int, path long, node long")
+    cells = (grams.select("lang", F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n", _contexts(0).alias("c"))
+             .select("lang", "byte", "n", "c.level", "c.path").join(F.broadcast(nodes), ["level", "path"])
+             .groupBy("lang", "node", "byte").agg(F.sum("n").alias("n")).toArrow())
+    discard(grams)
+    if not cells.num_rows:
         return None
-    languages = sorted(set(grams.column("lang").to_pylist()))
-    lang = np.searchsorted(languages, np.array(grams.column("lang").to_pylist()))
-    gram, n = grams.column("gram").to_numpy(), grams.column("n").to_numpy().astype(np.float64)
-    seen = np.unique(gram & 255)
+    names = cells.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    lang = np.searchsorted(languages, names.dictionary.to_pylist())[names.indices.to_numpy()]
+    node, byte, n = (cells.column(c).to_numpy() for c in ("node", "byte", "n"))
+    seen = np.unique(byte)
     symbols = np.zeros(256, np.int64)
     symbols[seen] = np.arange(1, len(seen) + 1)
     size, total = len(seen) + 1, len(languages)
-    symbol = symbols[gram & 255]
-    # grow the tree level by level: a context becomes a node under its shorter context's node
-    node = np.zeros(len(gram), np.int64)
-    parents, nodes = [np.array([-1])], 1
-    child = np.full((1, size), -1, np.int64)
-    at_level = [node.copy()]
+    shorter = np.full(len(paths), -1, np.int64)
+    child = np.full((len(paths), size), -1, np.int64)
     for k in range(1, ORDER + 1):
-        before = symbols[(gram >> (8 * k)) & 255]
-        key = np.where(node >= 0, node * size + before, -1)
-        mass = np.bincount(key[key >= 0], weights=n[key >= 0], minlength=nodes * size)
-        frequent = np.flatnonzero(mass >= min_count)
-        frequent = np.sort(frequent[np.argsort(-mass[frequent], kind="stable")][
-            :max(0, max_nodes - nodes)])
-        ids = np.full(nodes * size, -1, np.int64)
-        ids[frequent] = nodes + np.arange(len(frequent))
-        of_parent, of_symbol = frequent // size, frequent % size
-        child = np.concatenate([child, np.full((len(frequent), size), -1, np.int64)])
-        child[of_parent, of_symbol] = ids[frequent]
-        node = np.where(key >= 0, ids[np.maximum(key, 0)], -1)
-        at_level.append(node.copy())
-        parents.append(of_parent)
-        nodes += len(frequent)
-    level, entry = np.concatenate(at_level), np.tile(np.arange(len(gram)), ORDER + 1)
-    level, entry = level[level >= 0], entry[level >= 0]
-    seen = Sparse.of(level * size + symbol[entry], lang[entry], n[entry], nodes * size, total)
-    cell = np.repeat(np.arange(nodes * size), np.diff(seen.bounds))
+        longer, parents = np.flatnonzero(levels == k), np.flatnonzero(levels == k - 1)
+        shorter[longer] = parents[np.searchsorted(paths[parents], paths[longer] >> 8)]
+        child[shorter[longer], symbols[paths[longer] & 255]] = longer
+    seen = Sparse.of(node * size + symbols[byte], lang, n, len(paths) * size, total)
+    cell = np.repeat(np.arange(len(paths) * size), np.diff(seen.bounds))
     of = seen.language.astype(np.int64)
     return ContextTree(
         languages, symbols.astype(np.uint8 if size < 256 else np.int32), child.astype(np.int32),
-        np.concatenate(parents), seen, Sparse.of(cell // size, of, seen.value, nodes, total),
-        Sparse.of(cell // size, of, np.ones(len(cell)), nodes, total))
+        shorter, seen, Sparse.of(cell // size, of, seen.value, len(paths), total),
+        Sparse.of(cell // size, of, np.ones(len(cell)), len(paths), total))
 
 
 def _cells(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -268,8 +298,8 @@ def fit_limits(training: DataFrame, tree: ContextTree | None, docs_per_language:
     """(language of the tree, class) -> highest code length per byte of texts in the language.
 
     Class ``k`` is for texts of 2^(k + FIRST_CLASS) bytes or more, the first one for shorter
-    texts too. A second tree is learned from one half of the rows; the code lengths of a
-    bounded sample of the other half are counted in bins of 1 / BINS bit. The limit lies
+    texts too. A second tree is learned from one half of the rows; the code lengths of all rows
+    of the other half are counted in bins of 1 / BINS bit. The limit lies
     SPREADS times as far above their median as their 95 % quantile does, so that a few per
     cent of wrong labels do not move it. Without LEAST_TEXTS texts in a class, the limit of
     the next shorter class holds, and where there is none, no text is too long.
@@ -286,6 +316,8 @@ def fit_limits(training: DataFrame, tree: ContextTree | None, docs_per_language:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(other)
         for rows_, data, offsets in chunks(batches, "text", CHUNK_BYTES):
+            longest = 1 << (CLASSES - 1 + FIRST_CLASS)      # no class looks beyond; such a text is alone
+            data, offsets = data[:longest], np.minimum(offsets, longest)
             cells, sizes = _cells(other, data, offsets), np.diff(offsets)
             found = [np.zeros((0, 3), np.int64)]
             names = np.array(rows_.column("lang").to_pylist(), dtype=object)
@@ -306,9 +338,7 @@ def fit_limits(training: DataFrame, tree: ContextTree | None, docs_per_language:
             table = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in table.T], names=["class", "bin", "n"])
 
-    counted = (labelled_sample(bounded_batches(rows).where(half == 1).select("doc_id", "text", "lang"),
-                               docs_per_language)
-               .select("text", "lang").mapInArrow(count, "class bigint, bin bigint, n bigint")
+    counted = (bounded_batches(rows).where(half == 1).select("text", "lang").mapInArrow(count, "class bigint, bin bigint, n bigint")
                .groupBy("class", "bin").agg(F.sum("n").alias("n")).orderBy("class", "bin").toArrow())
     kinds, bins, n = (counted.column(c).to_numpy() for c in ("class", "bin", "n"))
     for kind in np.unique(kinds):
